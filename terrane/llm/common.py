@@ -1,12 +1,10 @@
-"""Shared pieces of the text operators: word splitting, bindings, written intermediates."""
+"""Shared pieces of the text operators: word splitting and bindings."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space of every contract: space and tab to carriage return.
@@ -15,31 +13,6 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the driver and all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="terrane-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/terrane-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts lineage, survives lost executors, and is compressed and column-pruned on
-    reading, so it costs less disk than a checkpoint of rows.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``let value in body``: the optimizer can't inline a lambda's argument, so it is computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

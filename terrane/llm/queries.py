@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import quality_rules
+from terrane.llm import quality_rules, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,5 +45,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
 FROM judged"""
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
-ORACLE = {"op3_quality_rules": _op3_sql()}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.deduplicate(_read(spark, sf_dir, "pages"))
+    full = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    digest = F.coalesce(F.sha2("payload", 256), F.col("payload_digest"))
+    return back.select("page_id", full.alias("payload_bytes"), digest.alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM q"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
+ORACLE = {"op3_quality_rules": _op3_sql(), "op9_warc": OP9_SQL}
