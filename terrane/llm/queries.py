@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import quality_rules, sharding, url_filter, warc
+from terrane.llm import language_id, quality_rules, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
 FROM judged"""
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
@@ -71,5 +76,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op6_url_filter": op6_url_filter, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
 ORACLE = {"op3_quality_rules": _op3_sql(), "op9_warc": OP9_SQL}
