@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import language_id, quality_rules, sharding, url_filter, warc
+from terrane.llm import language_id, packing, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
+
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,10 +56,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_lattice.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return coded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "score", F.get("others", 0).alias("second_score"), "restored")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.deduplicate(_read(spark, sf_dir, "pages"))
     full = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
@@ -76,5 +91,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op6_url_filter": op6_url_filter, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
 ORACLE = {"op3_quality_rules": _op3_sql(), "op9_warc": OP9_SQL}
