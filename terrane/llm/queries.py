@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import language_id, packing, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
+from terrane.llm import decontaminate, language_id, near_dups, packing, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
 
 
 #: Folder of the public tokenizers' files.
@@ -18,6 +18,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.quality(_read(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept")
@@ -91,5 +99,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_near_dups": op2_near_dups, "op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
 ORACLE = {"op3_quality_rules": _op3_sql(), "op9_warc": OP9_SQL}
