@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, language_id, near_dups, packing, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
+from terrane.llm import decontaminate, language_id, line_dedup, near_dups, packing, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
 
 
 #: Folder of the public tokenizers' files.
@@ -77,6 +77,32 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, u.i - 1 AS line, string_split(text, chr(10))[u.i] AS t
+  FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i)),
+s AS (
+  SELECT doc_id, line, t, list_sort(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
+w AS (SELECT doc_id, line, len(words) AS n, unnest(words) AS word FROM s WHERE len(words) >= 3),
+df AS (SELECT word, count(*) AS c FROM w GROUP BY word),
+r AS (SELECT doc_id, line, n, word, row_number() OVER (PARTITION BY doc_id, line ORDER BY c, word) AS i FROM w JOIN df USING (word)),
+p AS (SELECT * FROM r WHERE 5 * (n - i + 1) >= 4 * n),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS ad, a.line AS al, b.doc_id AS bd, b.line AS bl, a.n AS an, b.n AS bn
+  FROM p a JOIN p b ON a.word = b.word AND (b.doc_id, b.line) < (a.doc_id, a.line) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+late AS (
+  SELECT DISTINCT ad, al FROM pairs JOIN s x ON x.doc_id = ad AND x.line = al JOIN s y ON y.doc_id = bd AND y.line = bl
+  WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (an + bn))
+SELECT s.doc_id, count(*) FILTER (len(words) > 0)::BIGINT AS n_lines, count(ad)::BIGINT AS n_removed,
+       coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (ad IS NULL), '') AS text
+FROM s LEFT JOIN late ON ad = s.doc_id AND al = s.line GROUP BY s.doc_id"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.deduplicate(_read(spark, sf_dir, "pages"))
     full = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
@@ -99,5 +125,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_near_dups": op2_near_dups, "op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
-ORACLE = {"op3_quality_rules": _op3_sql(), "op9_warc": OP9_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_near_dups": op2_near_dups, "op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
+ORACLE = {"op3_quality_rules": _op3_sql(), "op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}
