@@ -503,12 +503,12 @@ def wellindex_precedence(spark, d):
 
 
 @query("""
-SELECT o_orderkey, round(least(greatest((o_totalprice + sum(l_quantity * l_discount * 100)) / greatest(sum(l_quantity), 1e-12), 10.0), 9000.0), 2) AS p_bh
+SELECT o_orderkey, round(0.99731 * least(greatest((o_totalprice + sum(l_quantity * l_discount * 100)) / greatest(sum(l_quantity), 1e-12), 10.0), 9000.0), 4) AS p_bh
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice""")
 def closed_form_elimination(spark, d):
     j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     p = scalars.closed_form_bhp("o_totalprice", "l_quantity", F.col("l_discount") * 100, 10.0, 9000.0)
-    return j.groupBy("o_orderkey", "o_totalprice").agg(_r(p, 2).alias("p_bh")).select("o_orderkey", "p_bh")
+    return j.groupBy("o_orderkey", "o_totalprice").agg(_r(0.99731 * p).alias("p_bh")).select("o_orderkey", "p_bh")
 
 
 @query("SELECT event_id FROM events ORDER BY md5(event_id || '/30'), event_id LIMIT 200")
