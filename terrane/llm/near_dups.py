@@ -144,7 +144,7 @@ def check_block(table: pa.Table, percent: int, bits: int) -> tuple[list[int], li
     """
     ids, label, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "label", "n"))
     major = np.array(table.column("major").to_pylist(), bool)
-    sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(ids), -1)
+    sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(U64).reshape(len(ids), -1)  # counts of ones are of unsigned numbers
     sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
     names, at = np.unique(label, return_inverse=True)
     root = list(range(len(names)))
