@@ -73,6 +73,36 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
+def _op6_sql() -> str:
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    part = lambda x, pattern: f"coalesce(regexp_extract({x}, '(?s)^{pattern}', 1), '')"
+    host = lambda x: lower(part(x, ".*?://([^/?#]*)"))
+    path = lambda x: part(x, ".*?://[^/?#]*([^?#]*)")
+    rest = lambda x: part(x, ".*?://[^/?#]*([^#]*)")
+    node = lambda x: f"CASE WHEN contains({x}, '://') THEN {host(x)} || CASE WHEN starts_with({rest(x)}, '/') THEN '' ELSE '/' END || {rest(x)} END"
+    origin, folder = part("url", "(.*?://[^/?#]*)"), part("url", "(.*?://[^/?#]*(?:/[^?#]*/|/)?)")
+    rules = ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.verdict}')" for r in url_filter.RULES)
+    tags = url_filter.TAGS.replace("'", "''")
+    fits = lambda h, p: f"({h} = r.host OR ends_with({h}, '.' || r.host)) AND starts_with({p}, r.path)"
+    return f"""
+WITH RECURSIVE r(rule, host, path, verdict) AS (VALUES {rules}),
+t AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '{tags}')) AS tag FROM pages),
+h AS (SELECT url, CASE WHEN starts_with(lower(tag), '<meta') THEN regexp_extract(tag, '(?i)url\\s*=\\s*[''"]?([^''">\\s]+)', 1) ELSE regexp_extract(tag, '(?i)href\\s*=\\s*[''"]?([^''">\\s]+)', 1) END AS href FROM t),
+g AS (SELECT {node("url")} AS src, CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href
+  WHEN starts_with(href, '/') THEN {origin} || href ELSE {folder} || CASE WHEN ends_with({folder}, '/') THEN '' ELSE '/' END || href END AS target FROM h),
+e AS (SELECT src, {node("target")} AS dst FROM g WHERE src IS NOT NULL AND target IS NOT NULL),
+s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+reach AS (SELECT a AS id, a AS other FROM s UNION SELECT reach.id, s.b FROM reach JOIN s ON s.a = reach.other),
+nodes AS (SELECT DISTINCT other AS node, {host("'x://' || other")} AS nh, {path("'x://' || other")} AS np FROM reach),
+judged AS (SELECT node, arg_max(r.verdict, length(r.rule)) AS v FROM nodes JOIN r ON {fits("nh", "np")} GROUP BY node),
+alias AS (SELECT id, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS shared FROM reach JOIN judged ON node = other GROUP BY id),
+p AS (SELECT page_id, {host("url")} AS host, {path("url")} AS path, {node("url")} AS node FROM pages),
+own AS (SELECT host, path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict FROM (SELECT DISTINCT host, path FROM p) q JOIN r ON {fits("q.host", "q.path")} GROUP BY 1, 2)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, shared, 'allow') AS verdict,
+       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN shared IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+FROM p LEFT JOIN own ON own.host = p.host AND own.path = p.path LEFT JOIN alias ON alias.id = p.node""".replace("SELECT host, path, arg_max", "SELECT q.host, q.path, arg_max")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -126,4 +156,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_near_dups": op2_near_dups, "op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
-ORACLE = {"op3_quality_rules": _op3_sql(), "op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLE = {"op3_quality_rules": _op3_sql(), "op6_url_filter": _op6_sql(), "op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}

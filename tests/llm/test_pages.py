@@ -67,3 +67,15 @@ def test_queries_cover_their_tables(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     for name in ("op6_url_filter", "op9_warc"):
         assert QUERIES[name](spark, sf_dir).count() == n
+
+
+def test_url_sql_on_linked_pages(spark):
+    import duckdb
+    from oracle import rows_of, rows_of_sql
+
+    from terrane.llm.queries import ORACLE
+
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert rows_of(url_filter.judge(df)) == rows_of_sql(con, ORACLE["op6_url_filter"])
