@@ -3,7 +3,7 @@
 A line's set is its distinct words. A line goes if an earlier line (by document id, then
 place) has a set with a Jaccard similarity of 0.8 or more, whether or not that line stays.
 
-1. Words are counted in a table of 2^20 hash buckets, which gives their order of rarity. The
+1. Words, known by 64-bit hashes, are counted in a table of 2^16 hash buckets, which gives their order of rarity. The
    table only orders: any total order gives the same result.
 2. Lines with equal sets form a class by its size and a 96-bit digest; its first line stands
    for it, so a line that fills a third of the corpus is one row from there on.
@@ -24,41 +24,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import SPACE_CHARS, words_of
+from terrane.llm.common import SPACE_CHARS, bind, words_of
 from terrane.plans.storage import sized, written
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 16
 MIN_WORDS = 3
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(BUCKETS))
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def rarity(docs: DataFrame, text_col: str) -> bytes:
-    """For each bucket a class that grows with its words' count: 4 classes a doubling."""
+    """For each bucket a class that grows with its words' count, 4 classes a doubling."""
     words = docs.select(F.explode(F.split(F.col(text_col), r"[\x20\x09-\x0D]+")).alias("w"))
-    table = words.groupBy(_bucket(F.col("w")).alias("b")).count().select("b", F.ceil(F.log2("count") * 4).cast("int").alias("c")).toPandas()  # BUCKETS rows at most
+    table = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().select("b", F.ceil(F.log2("count") * 4).cast("int").alias("c")).toPandas()  # BUCKETS rows at most
     classes = bytearray(BUCKETS)
     for b, c in zip(table["b"].tolist(), table["c"].tolist(), strict=True):
-        classes[b] = min(c + 1, 255)
+        classes[b] = min(c + 1, 127)
     return bytes(classes)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc, line, words (distinct) of each line that takes part."""
+    """doc, line, words (64-bit hashes of the distinct words) of each line that takes part."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "t"))
-    return rows.select("doc", "line", F.array_distinct(words_of(F.col("t"))).alias("words")).filter(F.size("words") >= min_words)
+    return rows.select("doc", "line", F.array_distinct(F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w))).alias("words")).filter(F.size("words") >= min_words)
 
 
 def sketched(lines: DataFrame, classes: bytes) -> DataFrame:
-    """doc, line, n, h1, h2 (digest), s (parity of the words), prefix (hashes of the rarest words) of each line."""
+    """doc, line, n, h1, h2 (digest), s (parity of the words), prefix (the rarest words) of each line.
+
+    A word's rank is one number: its bucket's class in the top byte, its hash below.
+    """
     table = F.lit(classes)
-    ranked = F.sort_array(F.transform("words", lambda w: F.struct(F.substring(table, _bucket(w) + 1, F.lit(1)).alias("c"), F.hash(w).alias("h"), w.alias("w"))))
-    rows = lines.select("doc", "line", F.size("words").alias("n"), F.transform(F.array(ranked), lambda r: F.struct(F.transform(r, lambda x: x["w"]).alias("w"), F.transform(r, lambda x: x["h"]).alias("h")))[0].alias("r"))
-    parity = F.aggregate("r.h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(h), F.lit(64)))))
-    prefix = F.slice("r.h", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
-    return rows.select("doc", "line", "n", F.xxhash64("r.w").alias("h1"), F.hash(F.lit(7), "r.w").alias("h2"), parity.alias("s"), prefix.alias("prefix"))
+    shift = lambda name, x, n: F.call_function(name, x, F.lit(n))
+    of = lambda h: F.ascii(F.substring(table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    ranked = F.sort_array(F.transform("words", lambda h: shift("shiftleft", of(h), 56).bitwiseOR(shift("shiftrightunsigned", h, 8))))
+    rows = lines.select("doc", "line", F.size("words").alias("n"), ranked.alias("r"))
+
+    def facts(r: Column) -> Column:
+        parity = F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+        prefix = F.slice(r, F.lit(1), F.size(r) - F.ceil(F.size(r) * 4 / 5).cast("int") + 1)
+        return F.struct(F.xxhash64(r).alias("h1"), F.hash(F.lit(7), r).alias("h2"), parity.alias("s"), prefix.alias("prefix"))
+
+    return rows.select("doc", "line", "n", bind(F.col("r"), facts).alias("f")).select("doc", "line", "n", "f.*")
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def _verified(chosen: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     ids = written(others.select("doc", "line").distinct())
     texts = docs.join(sized(written(ids.select(F.col("doc").alias("__doc")).distinct())), F.col(id_col) == F.col("__doc"), "left_semi")
     full = lines_of(texts, id_col, text_col, min_words).join(sized(ids), ["doc", "line"], "left_semi")
-    full = written(full.select("doc", "line", F.transform("words", lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["doc", "line"]))
+    full = written(full.dropDuplicates(["doc", "line"]))
     a = chosen.join(full, ["doc", "line"]).alias("a")
     b = others.join(full, ["doc", "line"]).alias("b")
     same = F.size(F.array_intersect(F.col("a.words"), F.col("b.words"))) * 9 >= (F.col("a.n") + F.col("b.n")) * 4
