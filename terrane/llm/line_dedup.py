@@ -87,7 +87,8 @@ def _candidate(a: str, b: str) -> Column:
 def _verified(chosen: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """doc, line of the sets in ``chosen`` (prefix rows) that an earlier set at the same word is similar to."""
     words = sized(written(chosen.select("word").distinct()))
-    others = written(rows.join(words, "word", "left_semi"))
+    near = rows.join(words, "word", "left_semi").alias("b").join(chosen.alias("a"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b"), "left_semi")
+    others = written(near.unionByName(chosen.select(*rows.columns)).distinct())
     ids = written(others.select("doc", "line").distinct())
     texts = docs.join(sized(written(ids.select(F.col("doc").alias("__doc")).distinct())), F.col(id_col) == F.col("__doc"), "left_semi")
     full = lines_of(texts, id_col, text_col, min_words).join(sized(ids), ["doc", "line"], "left_semi")
