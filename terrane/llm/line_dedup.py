@@ -56,9 +56,9 @@ def sketched(lines: DataFrame, classes: bytes) -> DataFrame:
 
     A word's rank is one number: its bucket's class in the top byte, its hash below.
     """
-    table = F.lit(classes)
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded to one constant
     shift = lambda name, x, n: F.call_function(name, x, F.lit(n))
-    of = lambda h: F.ascii(F.substring(table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    of = lambda h: F.get(table, _bucket(h).cast("int")).cast("long")
     ranked = F.sort_array(F.transform("words", lambda h: shift("shiftleft", of(h), 56).bitwiseOR(shift("shiftrightunsigned", h, 8))))
     rows = lines.select("doc", "line", F.size("words").alias("n"), ranked.alias("r"))
 
