@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/terrane-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries.
+
+    Spark deletes them when the driver collects its garbage, which by itself it may do
+    half an hour later; until then they fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -30,6 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

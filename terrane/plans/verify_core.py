@@ -364,7 +364,7 @@ def strided_cap(spark, d):
     return ids.withColumn("k", F.col("k").cast("long")).join(F.broadcast(pick), "k", "left_semi").select("event_id")
 
 
-@query("SELECT c_custkey, round(c_acctbal * 14.503774, 4) AS psia, round(c_nationkey * 3.28084, 4) AS ft, round(c_acctbal * 6.28981, 4) AS bbl, round(c_acctbal * 0.0353147, 4) AS mscf FROM customer")
+@query("SELECT c_custkey, round(c_acctbal * 14.503774, 4) AS psia, round(c_nationkey * 3.28084::DOUBLE, 4) AS ft, round(c_acctbal * 6.28981, 4) AS bbl, round(c_acctbal * 0.0353147, 4) AS mscf FROM customer")
 def unit_normalize(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("psia"), F.col("c_nationkey").cast("double").alias("ft"), F.col("c_acctbal").alias("bbl"), F.col("c_acctbal").alias("mscf"))
     u = units.to_field(c, {"psia": "pressure", "ft": "length", "bbl": "liquid", "mscf": "gas"}, "METRIC")
@@ -481,7 +481,7 @@ def time_warp_argmax(spark, d):
 
 
 @query("""
-WITH w AS (SELECT p_partkey, c, exp(-pow((p_retailprice - c) / 200, 2) / 2) AS g FROM part, (SELECT 1000.0 + 200 * i AS c FROM unnest(generate_series(0, 4)) AS u(i)))
+WITH w AS (SELECT p_partkey, c, exp(-pow((p_retailprice - c) / 200, 2) / 2) AS g FROM part, (SELECT (1000 + 200 * i)::DOUBLE AS c FROM unnest(generate_series(0, 4)) AS u(i)))
 SELECT p_partkey, c, round(g / sum(g) OVER (PARTITION BY p_partkey), 6) AS share FROM w""")
 def gaussian_partition(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_retailprice", F.explode(F.array(*[F.lit(1000.0 + 200 * i) for i in range(5)])).alias("c"))
