@@ -45,9 +45,11 @@ def rarity(docs: DataFrame, text_col: str) -> bytes:
     return bytes(classes)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc, line, words (64-bit hashes of the distinct words) of each line that takes part."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, only: DataFrame | None = None) -> DataFrame:
+    """doc, line, words (64-bit hashes of the distinct words) of each line that takes part, or of those in ``only``."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "t"))
+    if only is not None:  # before the words are split
+        rows = rows.join(only, ["doc", "line"], "left_semi")
     return rows.select("doc", "line", F.array_distinct(F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w))).alias("words")).filter(F.size("words") >= min_words)
 
 
@@ -91,7 +93,7 @@ def _verified(chosen: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     others = written(near.unionByName(chosen.select(*rows.columns)).distinct())
     ids = written(others.select("doc", "line").distinct())
     texts = docs.join(sized(written(ids.select(F.col("doc").alias("__doc")).distinct())), F.col(id_col) == F.col("__doc"), "left_semi")
-    full = lines_of(texts, id_col, text_col, min_words).join(sized(ids), ["doc", "line"], "left_semi")
+    full = lines_of(texts, id_col, text_col, min_words, sized(ids))
     full = written(full.dropDuplicates(["doc", "line"]))
     a = chosen.join(full, ["doc", "line"]).alias("a")
     b = others.join(full, ["doc", "line"]).alias("b")
