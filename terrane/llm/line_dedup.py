@@ -106,7 +106,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(id_col, text_col)
     lines = written(sketched(lines_of(docs, id_col, text_col, min_words), rarity(docs, text_col)))
     sets = lines.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("m"), F.first("s").alias("s"), F.first("prefix").alias("prefix"))
-    sets = written(sets.select("n", "h1", "h2", F.col("f.doc").alias("doc"), F.col("f.line").alias("line"), "m", "s", "prefix"))
+    # in the order of prefix_rows: a projection on one side only would keep the join from reading one exchange twice
+    sets = written(sets.select(F.col("f.doc").alias("doc"), F.col("f.line").alias("line"), "n", "s", "prefix", "h1", "h2", "m"))
 
     rows = prefix_rows(sets.filter("n > 3"))  # sets of three are similar to their equals only
     open_ = written(rows.alias("a").join(rows.alias("b"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b"), "left_semi"))
