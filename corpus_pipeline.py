@@ -14,6 +14,10 @@ from terrane.llm import decontaminate, line_dedup, near_dups, quality_rules, sen
 from terrane.llm.queries import TOKENIZERS
 from terrane.plans.storage import written
 
+#: Near copies go from a Jaccard similarity of 0.8 on. Of pairs at 0.8, 3e-6 share none of 32
+#: bands and 6e-8 fail the sketch check at a slack of 0.58.
+NEAR_PERCENT, NEAR_SLACK, NEAR_BANDS = 80, 0.58, 32
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the threshold table."""
@@ -29,7 +33,7 @@ def without_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.drop_near_duplicates(docs)
+    return near_dups.drop_near_duplicates(docs, percent=NEAR_PERCENT, slack=NEAR_SLACK, bands=NEAR_BANDS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,9 +66,9 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    rows = textnp.mix(samples[: ROWS * BANDS].reshape(BANDS, ROWS)) * textnp._PLACE[:ROWS]
-    return textnp.mix(rows.sum(1, dtype=U64) + np.arange(BANDS, dtype=U64) * textnp._PLACE[6]).view(np.int64)
+def band_keys(samples: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    rows = textnp.mix(samples[: ROWS * bands].reshape(bands, ROWS)) * textnp._PLACE[:ROWS]
+    return textnp.mix(rows.sum(1, dtype=U64) + np.arange(bands, dtype=U64) * textnp._PLACE[6]).view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -81,7 +81,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS) -> DataFrame:
     """id, n (set size), d1, d2 (digest), sketch, bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if len(s):
                         samples = minhashes(s)
                         sketches.append(odd_sketch(samples).tolist())
-                        bands.append(band_keys(samples).tolist())
+                        bands.append(band_keys(samples, n_bands).tolist())
                     else:
                         sketches.append(None)
                         bands.append(None)
@@ -172,12 +172,15 @@ def check_block(table: pa.Table, percent: int, bits: int) -> tuple[list[int], li
     return a, b
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, slack: float | None = None) -> DataFrame:
-    """id, n_shingles, component_id (its smallest id) and kept (id is component_id) of every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, slack: float | None = None, bands: int = BANDS) -> DataFrame:
+    """id, n_shingles, component_id (its smallest id) and kept (id is component_id) of every row.
+
+    ``slack`` and ``bands`` (up to SAMPLES / ROWS) are made for the default ``percent``; a lower one needs others.
+    """
     spark = docs.sparkSession
     ship(spark)
     bits = most_bits(SLACK if slack is None else slack)
-    sig = written(signatures(docs, id_col, text_col))
+    sig = written(signatures(docs, id_col, text_col, bands))
     some = sig.filter("n > 0 AND id IS NOT NULL")
     classes = written(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
     chosen = classes.select(F.col("rep").alias("id"), "n", "d1", "d2")
