@@ -26,7 +26,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later matches; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, min_words=1)
     out = out.filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
     length = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -14,7 +14,9 @@ place) has a set with a Jaccard similarity of 0.8 or more, whether or not that l
 4. Candidates are verified on their full sets, again in semi joins: first at each set's
    rarest word with a candidate, then for sets still open at all the others.
 
-Lines with fewer than ``min_words`` distinct words stay and match nothing. Null and blank
+Sets of up to three words are similar to their equals only, so their classes are the answer
+and they have no prefix rows. Lines with fewer than ``min_words`` distinct words stay and match
+nothing; ``op8_line_dedup`` and the pipeline take every line that has a word (1). Null and blank
 texts have no lines; null ids are left as they are. Rows with one id are one document:
 what stands in the same line of both is the same line if equal.
 """
@@ -109,7 +111,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # in the order of prefix_rows: a projection on one side only would keep the join from reading one exchange twice
     sets = written(sets.select(F.col("f.doc").alias("doc"), F.col("f.line").alias("line"), "n", "s", "prefix", "h1", "h2", "m"))
 
-    rows = prefix_rows(sets.filter("n > 3"))  # sets of three are similar to their equals only
+    rows = prefix_rows(sets.filter("n > 3"))  # sets of up to three are similar to their equals only
     open_ = written(rows.alias("a").join(rows.alias("b"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b"), "left_semi"))
     rarest = open_.groupBy("doc", "line").agg(F.min("i").alias("i"))
     first = written(open_.join(rarest, ["doc", "line", "i"], "left_semi"))

@@ -108,7 +108,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return docs.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
 
 

@@ -1,9 +1,10 @@
 """The pipeline's stages against brute force at the whole of their contracts."""
 
 import numpy as np
-from test_dedup import shingles
+from test_dedup import all_lines, shingles
 
 import corpus_pipeline as cp
+from terrane.llm.queries import QUERIES
 
 
 def components_at(rows, percent):
@@ -35,3 +36,15 @@ def test_near_stage_links_from_80(spark):
     kept = {r["doc_id"] for r in cp.one_of_each_group(spark, df, "").collect()}
     want = {p: {i for i, c in components_at(rows, p).items() if i == c} for p in (80, 85)}
     assert kept == want[80] and len(want[80]) == 60 and len(want[85]) == 90
+
+
+def test_lines_of_one_and_two_words_take_part(spark, tmp_path):
+    rows = [(1, "Yes.\nno no no\nred green\na b c\na b c d"), (2, "yes.\nno\ngreen red red\na b\na b c d e"), (3, "Yes."), (4, " \nYes.\nblue"), (5, "a b\n\tblue "), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    want = all_lines(rows, least=1)
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert {i: n for i, (_, n) in got.items()} == {1: 0, 2: 3, 3: 1, 4: 1, 5: 2, 6: 0, 7: 0}
+    staged = {r["doc_id"]: r["text"] for r in cp.without_later_lines(spark, docs, "").collect()}
+    assert staged == {i: t for i, t in want.items() if i not in (3, 5)}
