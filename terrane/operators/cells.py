@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.plans.storage import written
+from terrane.plans.storage import sized, written
 
 
 def ordinal(i: Column, j: Column, k: Column, nx: int, ny: int) -> Column:
@@ -87,21 +88,31 @@ def boundary_faces(cells: DataFrame, axes: Sequence[str] = ("i", "j", "k")) -> D
     return neighbours(cells, axes).join(there, [f"n_{a}" for a in axes], "left_anti")
 
 
-def owners(cells: DataFrame, seeds: DataFrame, axes: Sequence[str], max_hops: int) -> DataFrame:
+def owners(cells: DataFrame, seeds: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Breadth-first owner and hops of each cell from the seeds (axes, owner); of owners that are as near, the least.
 
-    A frontier a hop, each written; it ends when no cell is reached any more.
+    A frontier a hop, each written; it ends when no cell is reached any more. A step leads one
+    hop back, aside or on, so it is held against the last two frontiers only. Cells that no
+    seed reaches get the seed nearest by place, with hops -1; with no seed at all that is an error.
     """
-    done = written(seeds.select(*axes, "owner").withColumn("hops", F.lit(0)))
-    frontier = done
-    for hop in range(1, max_hops + 1):
+    before, frontier = None, written(seeds.select(*axes, "owner").withColumn("hops", F.lit(0)))
+    starts, reached = frontier, [frontier]
+    while not frontier.isEmpty():
         step = neighbours(frontier.select(*axes, "owner"), axes).select(*[F.col(f"n_{a}").alias(a) for a in axes], "owner")
-        new = step.join(cells.select(*axes), list(axes), "left_semi").join(done.select(*axes), list(axes), "left_anti")
-        frontier = written(new.groupBy(*axes).agg(F.min("owner").alias("owner")).withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        done = done.unionByName(frontier)
-    return done
+        known = frontier.select(*axes) if before is None else frontier.select(*axes).unionByName(before.select(*axes))
+        new = step.join(cells.select(*axes), list(axes), "left_semi").join(known, list(axes), "left_anti")
+        before, frontier = frontier, written(new.groupBy(*axes).agg(F.min("owner").alias("owner")).withColumn("hops", F.lit(len(reached))))
+        reached.append(frontier)
+    done = reduce(DataFrame.unionByName, reached)
+    left = written(cells.select(*axes).distinct().join(done.select(*axes), list(axes), "left_anti"))
+    if left.isEmpty():
+        return done
+    if starts.isEmpty():
+        raise ValueError("no seeds to own the cells")
+    d2 = sum(((F.col(a) - F.col(f"__s_{a}")) * (F.col(a) - F.col(f"__s_{a}")) for a in axes), F.lit(0))
+    pairs = left.crossJoin(sized(starts.select("owner", *[F.col(a).alias(f"__s_{a}") for a in axes])))
+    nearest = pairs.groupBy(*axes).agg(F.min(F.struct(d2.alias("d"), "owner")).alias("m"))
+    return done.unionByName(nearest.select(*axes, F.col("m.owner").alias("owner"), F.lit(-1).alias("hops")))
 
 
 def corner_points(cells: DataFrame, dx: str = "dx", dy: str = "dy", dz: str = "dz") -> DataFrame:

@@ -48,7 +48,7 @@ SELECT i, j, hops, min(owner) AS owner FROM m JOIN b USING (i, j, hops) GROUP BY
 def bfs_owner_hops(spark, d):
     c = _lattice(spark, d).withColumn("id", F.col("i") * 1000 + F.col("j"))
     seeds = c.filter("(i + j) % 23 = 0").select("i", "j", F.col("id").alias("owner"))
-    return cells.owners(c.select("i", "j"), seeds, ["i", "j"], max_hops=12).select("i", "j", "hops", "owner")
+    return cells.owners(c.select("i", "j"), seeds, ["i", "j"]).select("i", "j", "hops", "owner")
 
 
 @query("""

@@ -31,3 +31,39 @@ def test_components_of_high_ids(spark, tmp_path):
     got = {r["id"]: r["component"] for r in QUERIES["connected_components"](spark, str(tmp_path)).collect()}
     k = 1000000000
     assert got == {500: 500, 600: 500, k + 1: 500, k + 2: 500, 700: 700, k + 5: 700, 1: 1, k + 7: 1}
+
+
+def hops_and_owners(cells):
+    """Breadth first over all cells; the rest go to the seed nearest by place, with hops -1."""
+    level = {c: c[0] * 1000 + c[1] for c in cells if (c[0] + c[1]) % 23 == 0}
+    seeds, out, hops = dict(level), {}, 0
+    while level:
+        out |= {c: (hops, o) for c, o in level.items()}
+        new = {}
+        for (i, j), o in level.items():
+            for n in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
+                if n in cells and n not in out:
+                    new[n] = min(o, new.get(n, o))
+        level, hops = new, hops + 1
+    for i, j in cells - set(out):
+        out[i, j] = (-1, min(((i - a) ** 2 + (j - b) ** 2, o) for (a, b), o in seeds.items())[1])
+    return out
+
+
+def test_owners_of_far_and_unreached_cells(spark, tmp_path):
+    # cells about the seed (1, 22), and three apart from it
+    cells = {(1, 22)} | {(1, j) for j in range(23, 43) if (7 + j) % 4} | {(2, j) for j in range(22, 44) if (14 + j) % 4} | {(30, 30), (40, 11), (40, 12)}
+    cells = {(i, j) for i, j in cells if (i * 7 + j) % 4}
+    save(spark, tmp_path, "part", [(i, f"Brand#{j}") for i, j in sorted(cells)], "p_size int, p_brand string")
+    got = {(r["i"], r["j"]): (r["hops"], r["owner"]) for r in QUERIES["bfs_owner_hops"](spark, str(tmp_path)).collect()}
+    assert got == hops_and_owners(cells)
+    assert -1 in {h for h, _ in got.values()}
+
+
+def test_owners_of_the_whole_lattice(spark):
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT DISTINCT p_size, CAST(substr(p_brand, 7) AS INT) FROM '{d}/part.parquet'").fetchall()
+    cells = {(i, j) for i, j in rows if (i * 7 + j) % 4}
+    got = {(r["i"], r["j"]): (r["hops"], r["owner"]) for r in QUERIES["bfs_owner_hops"](spark, d).collect()}
+    assert got == hops_and_owners(cells)
+    assert max(h for h, _ in got.values()) > 12 and -1 in {h for h, _ in got.values()}
