@@ -53,6 +53,31 @@ def nearest(df: DataFrame, references: DataFrame, id_col: str, columns: Sequence
     return df.crossJoin(F.broadcast(refs)).withColumn("__m", F.array_min(dist)).withColumn(out, F.col("__m.id")).withColumn("distance", F.sqrt("__m.d")).drop("__m", "__refs")
 
 
+def nearest_on_axis(df: DataFrame, references: DataFrame, id_col: str, column: str, ref_column: str, out: str = "nearest_id", buckets: int = 256) -> DataFrame:
+    """Id of the nearest of any number of references along one axis (ties: lowest id); null where ``column`` is.
+
+    Both sides meet in ranges of the axis: the nearest is the reference before or after a row,
+    in its own range or at the edge of another. Ranges only spread the work.
+    """
+    ref = references.select(F.col(ref_column).cast("double").alias("__x"), F.col(id_col).alias("__id")).filter("__x IS NOT NULL AND __id IS NOT NULL")
+    ref = ref.groupBy("__x").agg(F.min("__id").alias("__id")).select("__x", F.struct("__x", "__id").alias("__r"))
+    rows = df.select(F.struct(*df.columns).alias("__l"), F.col(column).cast("double").alias("__x"))
+    both = rows.unionByName(ref, allowMissingColumns=True)
+    splits = both.agg(F.percentile_approx("__x", [i / buckets for i in range(1, buckets)], 10000).alias("__s"))
+    place = F.size(F.filter(F.coalesce("__s", F.array().cast("array<double>")), lambda s: s <= F.col("__x")))
+    edges = ref.crossJoin(F.broadcast(splits)).groupBy(place.alias("b")).agg(F.min("__r").alias("lo"), F.max("__r").alias("hi"))
+    edges = edges.agg(F.collect_list(F.struct("b", "lo", "hi")).alias("__e"))  # one row of ``buckets`` entries at most
+    both = both.crossJoin(F.broadcast(splits)).withColumn("__b", place).drop("__s")
+    so_far = lambda order: F.last("__r", ignorenulls=True).over(Window.partitionBy("__b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    near = both.withColumn("__before", so_far(F.asc("__x"))).withColumn("__after", so_far(F.desc("__x"))).filter("__l IS NOT NULL").crossJoin(F.broadcast(edges))
+    before = F.coalesce("__before", F.array_max(F.transform(F.filter("__e", lambda e: e["b"] < F.col("__b")), lambda e: e["hi"])))
+    after = F.coalesce("__after", F.array_min(F.transform(F.filter("__e", lambda e: e["b"] > F.col("__b")), lambda e: e["lo"])))
+    two = F.filter(F.array(before, after), lambda r: r.isNotNull())
+    dist = F.transform(two, lambda r: F.struct(((r["__x"] - F.col("__x")) * (r["__x"] - F.col("__x"))).alias("d"), r["__id"].alias("id")))
+    near = near.withColumn("__m", F.when(F.col("__x").isNotNull(), F.array_min(dist)))
+    return near.select("__l.*", F.col("__m.id").alias(out), F.sqrt("__m.d").alias("distance"))
+
+
 def nearest_in_grid(df: DataFrame, references: DataFrame, id_col: str, columns: Sequence[str], cell: float, key: str, out: str = "nearest_id") -> DataFrame:
     """Nearest reference within ``cell`` of each row, for many references: both sides meet by grid cell and its neighbours."""
     ref = references.select(F.col(id_col).alias("__rid"), *[F.col(c).alias(f"__r_{c}") for c in columns])

@@ -375,8 +375,7 @@ def unit_normalize(spark, d):
 SELECT c_custkey, arg_min(s_suppkey, struct_pack(d := pow(c_acctbal - s_acctbal, 2), i := s_suppkey)) AS nearest_id
 FROM customer, (SELECT * FROM supplier WHERE s_suppkey <= 50) GROUP BY 1""")
 def nearest_reference(spark, d):
-    refs = table(spark, d, "supplier").filter("s_suppkey <= 50").select("s_suppkey", F.col("s_acctbal").alias("b"))
-    return joins.nearest(table(spark, d, "customer").withColumn("b", F.col("c_acctbal")), refs, "s_suppkey", ["b"]).select("c_custkey", "nearest_id")
+    return joins.nearest_on_axis(table(spark, d, "customer"), table(spark, d, "supplier"), "s_suppkey", "c_acctbal", "s_acctbal").select("c_custkey", "nearest_id")
 
 
 @query("""

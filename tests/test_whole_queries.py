@@ -67,3 +67,15 @@ def test_owners_of_the_whole_lattice(spark):
     got = {(r["i"], r["j"]): (r["hops"], r["owner"]) for r in QUERIES["bfs_owner_hops"](spark, d).collect()}
     assert got == hops_and_owners(cells)
     assert max(h for h, _ in got.values()) > 12 and -1 in {h for h, _ in got.values()}
+
+
+def test_nearest_of_all_suppliers(spark, tmp_path):
+    d = "/root/testdata/sf0.1"
+    want = dict(duckdb.sql(f"""SELECT c_custkey, arg_min(s_suppkey, struct_pack(d := pow(c_acctbal - s_acctbal, 2), i := s_suppkey))
+        FROM '{d}/customer.parquet', '{d}/supplier.parquet' GROUP BY 1""").fetchall())
+    got = {r["c_custkey"]: r["nearest_id"] for r in QUERIES["nearest_reference"](spark, d).collect()}
+    assert got == want and max(got.values()) > 50
+    save(spark, tmp_path, "customer", [(1, 5.0), (2, None), (3, 100.0), (4, -9.0), (5, 7.0)], "c_custkey long, c_acctbal double")
+    save(spark, tmp_path, "supplier", [(90, 4.0), (80, 6.0), (70, 6.0), (60, None), (10, 8.0)], "s_suppkey long, s_acctbal double")
+    got = {r["c_custkey"]: r["nearest_id"] for r in QUERIES["nearest_reference"](spark, str(tmp_path)).collect()}
+    assert got == {1: 70, 2: None, 3: 10, 4: 90, 5: 10}
