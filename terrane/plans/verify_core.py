@@ -357,8 +357,7 @@ WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) O
 pick AS (SELECT DISTINCT round_even(i * (m - 1) / 99.0, 0)::BIGINT AS k FROM (SELECT max(n) AS m FROM n), unnest(generate_series(0, 99)) AS u(i))
 SELECT event_id FROM n JOIN pick USING (k)""")
 def strided_cap(spark, d):
-    e = _events(spark, d).filter("user_id < 100")
-    ids = windows.first_appearance_ids(e, ["event_id"], F.unix_micros(F.col("ts").cast("timestamp")), "k")
+    ids = windows.first_appearance_ids(_events(spark, d), ["event_id"], F.unix_micros(F.col("ts").cast("timestamp")), "k")
     n = ids.agg(F.count("*").alias("m"))
     pick = n.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.bround(i * (F.col("m") - 1) / F.lit(99.0)).cast("long")))).alias("k"))
     return ids.withColumn("k", F.col("k").cast("long")).join(F.broadcast(pick), "k", "left_semi").select("event_id")

@@ -79,3 +79,11 @@ def test_nearest_of_all_suppliers(spark, tmp_path):
     save(spark, tmp_path, "supplier", [(90, 4.0), (80, 6.0), (70, 6.0), (60, None), (10, 8.0)], "s_suppkey long, s_acctbal double")
     got = {r["c_custkey"]: r["nearest_id"] for r in QUERIES["nearest_reference"](spark, str(tmp_path)).collect()}
     assert got == {1: 70, 2: None, 3: 10, 4: 90, 5: 10}
+
+
+def test_strides_over_all_events(spark):
+    d = "/root/testdata/sf0.01"
+    ids = [r[0] for r in duckdb.sql(f"SELECT event_id FROM '{d}/events.parquet' ORDER BY ts").fetchall()]
+    want = {ids[round(i * (len(ids) - 1) / 99)] for i in range(100)}
+    got = [r["event_id"] for r in QUERIES["strided_cap"](spark, d).collect()]
+    assert len(got) == 100 and set(got) == want
