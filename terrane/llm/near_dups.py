@@ -12,8 +12,9 @@
    over tasks; within one, links that join nothing new aren't confirmed or returned.
 5. Links and classes give the components.
 
-So every pair that shares a bucket is either linked exactly, joined by exact links, or
-refuted; pairs at 0.85 share none of the 25 buckets with a chance of 4e-7.
+So every pair that shares a bucket is either linked exactly, joined by exact links, refuted,
+or thrown out by its sketches. Pairs at 0.85 share none of the 25 buckets with a chance of
+4e-7, and fail the sketch check with one of 2e-8 (computed for random odd sketches).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than five words has
 its whole sequence as its one shingle. Null and wordless texts are linked with nothing.
@@ -38,8 +39,8 @@ U64 = np.uint64
 SAMPLES, ROWS, BANDS, BITS = 160, 5, 25, 512
 #: Percent of the union that the intersection must reach.
 PERCENT = 85
-#: Sketches may differ in this many bits: an estimate over four deviations below 0.85.
-SLACK = 0.72
+#: Sketches may differ in the bits of this estimate; pairs at 0.85 fall below it with a chance of 2e-8.
+SLACK = 0.65
 BLOCK = 1024
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _rng.integers(1, 1 << 63, SAMPLES, dtype=U64) * U64(2) + U64(1)

@@ -1,9 +1,12 @@
 """The pipeline's stages against brute force at the whole of their contracts."""
 
+from math import comb
+
 import numpy as np
 from test_dedup import all_lines, shingles
 
 import corpus_pipeline as cp
+from terrane.llm import near_dups as nd
 from terrane.llm.queries import QUERIES
 
 
@@ -48,3 +51,22 @@ def test_lines_of_one_and_two_words_take_part(spark, tmp_path):
     assert {i: n for i, (_, n) in got.items()} == {1: 0, 2: 3, 3: 1, 4: 1, 5: 2, 6: 0, 7: 0}
     staged = {r["doc_id"]: r["text"] for r in cp.without_later_lines(spark, docs, "").collect()}
     assert staged == {i: t for i, t in want.items() if i not in (3, 5)}
+
+
+def missed_by_sketches(similarity, slack):
+    """Chance that the odd sketches of a pair differ in too many bits: each differing sample flips two random ones."""
+    ones, at = np.zeros(nd.BITS + 1), np.arange(nd.BITS + 1)
+    ones[0], after = 1, []
+    for _ in range(2 * nd.SAMPLES + 1):
+        after.append(ones[nd.most_bits(slack) + 1 :].sum())
+        moved = np.zeros_like(ones)
+        moved[1:] += ones[:-1] * (nd.BITS - at[:-1]) / nd.BITS
+        moved[:-1] += ones[1:] * at[1:] / nd.BITS
+        ones = moved
+    n = nd.SAMPLES
+    return sum(comb(n, k) * (1 - similarity) ** k * similarity ** (n - k) * after[2 * k] for k in range(n + 1))
+
+
+def test_sketches_miss_less_than_bands():
+    assert missed_by_sketches(0.85, nd.SLACK) < (1 - 0.85**nd.ROWS) ** nd.BANDS
+    assert missed_by_sketches(0.8, cp.NEAR_SLACK) < (1 - 0.8**nd.ROWS) ** cp.NEAR_BANDS < 1e-5
