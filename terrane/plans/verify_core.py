@@ -279,8 +279,8 @@ WITH s AS (SELECT avg(sd) * 0.5 AS cell FROM (SELECT i, stddev_pop(embedding[i])
 q AS (SELECT [floor(x / cell + 0.5) FOR x IN embedding[1:4]] AS q FROM embeddings, s)
 SELECT count(*) AS n_rows, count(DISTINCT q) AS n_distinct FROM q""")
 def distinct_quantized_vectors(spark, d):
-    e = table(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    return agg.quantized_distinct(e, "v", 4, 0.5)
+    e = table(spark, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return agg.quantized_distinct(e, "v", 64, 0.5)
 
 
 @query("""

@@ -87,3 +87,9 @@ def test_strides_over_all_events(spark):
     want = {ids[round(i * (len(ids) - 1) / 99)] for i in range(100)}
     got = [r["event_id"] for r in QUERIES["strided_cap"](spark, d).collect()]
     assert len(got) == 100 and set(got) == want
+
+
+def test_vectors_that_differ_in_the_last_component(spark, tmp_path):
+    rows = [(i, [float(v)] * 63 + [last]) for i, (v, last) in enumerate([(0, 0.0), (0, 9.0), (9, 0.0), (9, 9.0), (9, 9.0)])]
+    save(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in QUERIES["distinct_quantized_vectors"](spark, str(tmp_path)).collect()] == [(5, 4)]
