@@ -93,7 +93,7 @@ def _repeat_words(words: Column) -> Column:
 def counts_of(text: Column) -> Column:
     """Struct of all counts of a text (bigint)."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(SPACE_CHARS)) != "")
 
     def measure(w: Column) -> Column:
         return F.struct(

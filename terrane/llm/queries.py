@@ -108,7 +108,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
 
 
@@ -118,7 +118,7 @@ WITH lines AS (
   FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i)),
 s AS (
   SELECT doc_id, line, t, list_sort(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
-w AS (SELECT doc_id, line, len(words) AS n, unnest(words) AS word FROM s WHERE len(words) >= 3),
+w AS (SELECT doc_id, line, len(words) AS n, unnest(words) AS word FROM s WHERE len(words) >= 1),
 df AS (SELECT word, count(*) AS c FROM w GROUP BY word),
 r AS (SELECT doc_id, line, n, word, row_number() OVER (PARTITION BY doc_id, line ORDER BY c, word) AS i FROM w JOIN df USING (word)),
 p AS (SELECT * FROM r WHERE 5 * (n - i + 1) >= 4 * n),

@@ -84,7 +84,7 @@ def test_shingle_sets_by_words():
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
 
 
-def all_lines(rows, least=3):
+def all_lines(rows, least=1):
     """Lines go if any earlier line is similar, whether or not that line stayed."""
     seen, out = [], {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
