@@ -161,10 +161,10 @@ def losses(df: DataFrame, net: Network, candidates: Sequence[np.ndarray], inputs
 
 
 def damped_direction(g: np.ndarray, v: np.ndarray, damping: float, rungs: int = 3) -> np.ndarray:
-    """Solve ``(G + damping diag) d = v``; the damping grows by 1e6 where Cholesky fails, then least squares."""
+    """Solve ``(G + damping diag) d = v``; where Cholesky fails the damping grows by 1e6, up to ``rungs`` times, then least squares."""
     scale = np.sqrt(np.maximum(np.diag(g), 1e-12))
     even = g / np.outer(scale, scale)
-    for k in range(rungs):
+    for k in range(rungs + 1):
         try:
             low = np.linalg.cholesky(even + damping * 1e6**k * np.eye(len(g)))
         except np.linalg.LinAlgError:

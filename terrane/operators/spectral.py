@@ -6,15 +6,28 @@ import numpy as np
 
 
 def allocate_modes(shares: list[float], n: int) -> list[int]:
-    """Modes to each component: the floor of its share, one at least; the smallest are trimmed, the largest topped up."""
-    out = [max(1, int(np.floor(s * n))) for s in shares]
-    order = sorted(range(len(shares)), key=lambda k: (shares[k], k))
-    while sum(out) > n and any(v > 1 for v in out):
-        k = next(k for k in order if out[k] > 1)
-        out[k] -= 1
-    while sum(out) < n:
-        out[order[-1]] += 1
-    return out
+    """``n`` modes dealt to components by their shares of the total.
+
+    Each gets the floor of its part, one at least. What is too much comes off the smallest
+    that have more than one; what is left goes round from the largest, one each. Of equal
+    shares the later component counts as the larger. Too few modes for one each is an error.
+    """
+    if n < len(shares):
+        raise ValueError(f"{n} modes for {len(shares)} components: each needs one")
+    if not shares:
+        return []
+    part = np.array(shares, float) / max(sum(shares), 1e-30)
+    out = np.maximum(1, np.floor(n * part)).astype(int)
+    rising = np.argsort(part, kind="stable")
+    over = int(out.sum()) - n
+    for k in rising:
+        taken = min(max(over, 0), int(out[k]) - 1)
+        out[k] -= taken
+        over -= taken
+    each, more = divmod(max(-over, 0), len(out))
+    out += each
+    out[rising[::-1][:more]] += 1
+    return out.tolist()
 
 
 def reserve(levels: int, n: int) -> int:

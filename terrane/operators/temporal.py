@@ -27,21 +27,28 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, rig
     return both.filter("__side = 1").select("__l.*", F.col("__m").alias(name))
 
 
-def asof_precedence(left: DataFrame, sources: Sequence[tuple[str, DataFrame]], by: Sequence[str], left_ts: str, right_ts: str, name: str = "match") -> DataFrame:
+def asof_precedence(left: DataFrame, sources: Sequence[tuple[str, DataFrame]], by: Sequence[str], left_ts: str, right_ts: str, order: Sequence[str] = (), name: str = "match") -> DataFrame:
     """As-of over several sources at once: the newest row wins, ties go to the first source listed.
 
+    Within a source, rows of one time are ordered by ``order``, the last wins.
+
     All sources have the same columns; the match carries ``source``. One shuffle for all of them.
     """
     rows = None
     for rank, (label, df) in enumerate(sources):
         one = df.withColumn("source", F.lit(label)).withColumn("__rank", F.lit(-rank))
         rows = one if rows is None else rows.unionByName(one)
-    return asof(left, rows, by, left_ts, right_ts, order=["__rank"], name=name)
+    return asof(left, rows, by, left_ts, right_ts, order=["__rank", *order], name=name)
 
 
 def asof_or_first(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, name: str = "match") -> DataFrame:
-    """As-of, or the key's first right row where none is early enough."""
-    first = right.groupBy(*by).agg(F.min_by(F.struct(*right.columns), F.col(right_ts)).alias("__first"))
+    """As-of, or the key's first right row where none is early enough.
+
+    Right rows with a null time are always early enough and come before all others (of several the greatest).
+    """
+    whole = F.struct(*right.columns)
+    timeless = F.max(F.when(F.col(right_ts).isNull(), whole))
+    first = right.groupBy(*by).agg(F.coalesce(timeless, F.min_by(whole, F.col(right_ts))).alias("__first"))
     return asof(left, right, by, left_ts, right_ts, name=name).join(first, list(by), "left").withColumn(name, F.coalesce(F.col(name), F.col("__first"))).drop("__first")
 
 

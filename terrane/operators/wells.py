@@ -23,7 +23,7 @@ def resolve_controls(report: DataFrame, schedule: DataFrame) -> DataFrame:
     """
     s = lambda k: schedule.filter(F.col("source") == k).drop("source", "path")
     x = temporal.asof(report, s("EVENT"), ["well"], "ts", "ts", ["seq"], name="e")
-    x = temporal.asof_precedence(x, [(k, s(k)) for k in ("WCONPROD", "WCONINJE", "WCONHIST")], ["well"], "ts", "ts", name="c")
+    x = temporal.asof_precedence(x, [(k, s(k)) for k in ("WCONPROD", "WCONINJE", "WCONHIST")], ["well"], "ts", "ts", ["seq"], name="c")
     x = temporal.asof(x, s("WELOPEN"), ["well"], "ts", "ts", ["seq"], name="o")
     has_event = F.col("e").isNotNull()
     pick = lambda c: F.when(has_event, F.col(f"e.{c}")).otherwise(F.col(f"c.{c}"))

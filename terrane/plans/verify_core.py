@@ -115,11 +115,11 @@ def layer_lookup_range_join(spark, d):
 
 
 def _curve(spark, d):
-    return table(spark, d, "part").groupBy((F.col("p_size") * 2.0).alias("x")).agg(_r(F.avg("p_retailprice"), 2).alias("y"))
+    return table(spark, d, "part").groupBy((F.col("p_size") * 2.0).alias("x")).agg(F.avg("p_retailprice").alias("y"))
 
 
 _SEGMENTS = """
-WITH c AS (SELECT p_size * 2.0 AS x, round(avg(p_retailprice), 2) AS y FROM part GROUP BY 1),
+WITH c AS (SELECT p_size * 2.0 AS x, avg(p_retailprice) AS y FROM part GROUP BY 1),
 s AS (SELECT x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS k, count(*) OVER () AS n FROM c WINDOW w AS (ORDER BY x)),
 q AS (SELECT DISTINCT l_quantity * 2.3 - 3 AS q FROM lineitem),
 lim AS (SELECT min(x) AS lo, max(x) AS hi, arg_min(y, x) AS ylo, arg_max(y, x) AS yhi FROM c)
@@ -275,8 +275,8 @@ def retain_last_n(spark, d):
 
 
 @query("""
-WITH s AS (SELECT avg(sd) * 0.5 AS cell FROM (SELECT i, stddev_pop(embedding[i]) AS sd FROM embeddings, unnest([1, 2, 3, 4]) AS u(i) GROUP BY i)),
-q AS (SELECT [floor(x / cell + 0.5) FOR x IN embedding[1:4]] AS q FROM embeddings, s)
+WITH s AS (SELECT avg(sd) * 0.5 AS cell FROM (SELECT i, stddev_pop(embedding[i]) AS sd FROM embeddings, unnest(generate_series(1, 64)) AS u(i) GROUP BY i)),
+q AS (SELECT [floor(x / cell + 0.5) FOR x IN embedding] AS q FROM embeddings, s)
 SELECT count(*) AS n_rows, count(DISTINCT q) AS n_distinct FROM q""")
 def distinct_quantized_vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -353,7 +353,7 @@ def even_step_subset(spark, d):
 
 
 @query("""
-WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM events WHERE user_id < 100),
+WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM events),
 pick AS (SELECT DISTINCT round_even(i * (m - 1) / 99.0, 0)::BIGINT AS k FROM (SELECT max(n) AS m FROM n), unnest(generate_series(0, 99)) AS u(i))
 SELECT event_id FROM n JOIN pick USING (k)""")
 def strided_cap(spark, d):
@@ -372,7 +372,7 @@ def unit_normalize(spark, d):
 
 @query("""
 SELECT c_custkey, arg_min(s_suppkey, struct_pack(d := pow(c_acctbal - s_acctbal, 2), i := s_suppkey)) AS nearest_id
-FROM customer, (SELECT * FROM supplier WHERE s_suppkey <= 50) GROUP BY 1""")
+FROM customer, supplier GROUP BY 1""")
 def nearest_reference(spark, d):
     return joins.nearest_on_axis(table(spark, d, "customer"), table(spark, d, "supplier"), "s_suppkey", "c_acctbal", "s_acctbal").select("c_custkey", "nearest_id")
 

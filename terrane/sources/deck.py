@@ -67,7 +67,7 @@ def keyword_rows(records: DataFrame, keyword: str, columns: str | None = None) -
 
 
 def function_table(records: DataFrame, keyword: str, region: int = 1) -> DataFrame:
-    """Rows of one region of a function table; a default takes the value of linear places between its neighbours' rows."""
+    """Rows of one region of a function table; a default or what is no number is null."""
     names = TABLES[keyword]
     own = records.filter((F.col("keyword") == keyword) & (F.col("record_no") == region - 1))
     flat = own.select("path", F.posexplode("tokens").alias("p", "t")).select("path", F.floor(F.col("p") / len(names)).alias("row"), (F.col("p") % len(names)).alias("c"), F.col("t").try_cast("double").alias("v"))

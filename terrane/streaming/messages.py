@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from terrane.plans.shipping import ship
 
 SCHEMA = "kind string, iteration int, total double, pde double, ic double, data double, well double, payload string"
-KINDS = ("stage", "grid", "state", "loss", "metrics", "error", "done")
+#: The kinds of a message, the fields of a state in their order, the bytes of a grid part.
+KINDS = ("stage", "grid", "loss", "state", "metrics", "error")
 FIELDS = ("S_w", "S_o", "S_g", "p_o", "p_w", "p_g", "R_so")
 LOSSES = ("total", "pde", "ic", "data", "well")
 PART_BYTES = 2_500_000
@@ -25,22 +26,25 @@ CELLS_PER_PART = PART_BYTES * 3 // 4 // 96
 
 
 def message(df: DataFrame, kind: str, payload: Column | None = None, iteration: Column | None = None) -> DataFrame:
-    """Rows as messages of a kind; loss columns that aren't there are 0, the payload is compact JSON."""
+    """Rows as messages of a kind; loss columns that aren't there are 0, the payload is compact JSON or, if there is none, empty text."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")
     losses = [(F.col(c).cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in LOSSES]
     at = iteration if iteration is not None else (F.col("iteration") if "iteration" in df.columns else F.lit(0))
-    return df.select(F.lit(kind).alias("kind"), at.cast("int").alias("iteration"), *losses, F.coalesce(payload if payload is not None else F.lit("{}"), F.lit("{}")).alias("payload"))
+    return df.select(F.lit(kind).alias("kind"), at.cast("int").alias("iteration"), *losses, F.coalesce(payload if payload is not None else F.lit(""), F.lit("")).alias("payload"))
 
 
 def stage(df: DataFrame, name: str, fraction: str, text: str) -> DataFrame:
-    """Progress; the fraction is kept between 0 and 1."""
-    f = F.least(F.greatest(F.col(fraction), F.lit(0.0)), F.lit(1.0))
-    return message(df, "stage", F.to_json(F.struct(F.col(name).alias("stage"), f.alias("fraction"), F.col(text).alias("message"))))
+    """Progress: the fraction, kept between 0 and 1, stands in ``total``."""
+    f = F.least(F.greatest(F.col(fraction).cast("double"), F.lit(0.0)), F.lit(1.0))
+    rows = df.select(f.alias("total"), F.to_json(F.struct(F.col(name).alias("stage"), F.col(text).alias("message"))).alias("__said"))
+    return message(rows, "stage", F.col("__said"))
 
 
-def loss(df: DataFrame) -> DataFrame:
-    return message(df, "loss")
+def loss(df: DataFrame, wall: str | None = None, eta: str | None = None) -> DataFrame:
+    """Losses of an iteration, with its seconds (``wall_s``) and step size (``eta``, null where there is none)."""
+    of = lambda c: (F.lit(None) if c is None else F.col(c)).cast("double")
+    return message(df, "loss", F.to_json(F.struct(of(wall).alias("wall_s"), of(eta).alias("eta")), {"ignoreNullFields": "false"}))
 
 
 def metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,7 +52,7 @@ def metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def error(df: DataFrame, text: str) -> DataFrame:
-    return message(df, "error", F.to_json(F.struct(F.col(text).alias("error"))))
+    return message(df, "error", F.to_json(F.struct(F.col(text).alias("message"))))
 
 
 def field_of(path: str) -> Column:

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 from pathlib import Path
 
 import numpy as np
@@ -154,9 +155,13 @@ def test_gauss_newton(spark):
 
 def test_messages_round_trip(spark):
     df = spark.createDataFrame([(1, 0.5, 0.1, 0.1, 0.1, 0.2, 1.7, "prep")], "iteration int, total double, pde double, ic double, data double, well double, fraction double, stage string")
-    assert messages.loss(df).first()["total"] == 0.5
+    timed = df.withColumn("took", F.lit(3.0))
+    lo = messages.loss(timed, "took").first()
+    assert (lo["iteration"], lo["total"], lo["well"]) == (1, 0.5, 0.2) and json.loads(lo["payload"]) == {"wall_s": 3.0, "eta": None}
     s = messages.stage(df, "stage", "fraction", "stage")
-    assert messages.parse(s, "stage string, fraction double").first()["body"]["fraction"] == 1.0
+    assert s.first()["total"] == 1.0 and json.loads(s.first()["payload"]) == {"stage": "prep", "message": "prep"}
+    assert messages.parse(s, "stage string").first()["body"]["stage"] == "prep"
+    assert messages.message(df, "grid").first()["payload"] == "" and json.loads(messages.error(df, "stage").first()["payload"]) == {"message": "prep"}
     assert s.select(messages.field_of("7.stage").alias("v")).first()["v"] == "prep"
     with pytest.raises(ValueError):
         messages.message(df, "other")

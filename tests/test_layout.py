@@ -46,6 +46,9 @@ def test_no_flow_faces_and_pillars(spark):
 
 
 def test_modes():
+    assert spectral.allocate_modes([0.36, 0.33, 0.31], 11) == [4, 4, 3] and spectral.allocate_modes([36, 33, 31], 11) == [4, 4, 3]
+    with pytest.raises(ValueError):
+        spectral.allocate_modes([0.5, 0.3, 0.2], 2)
     assert spectral.allocate_modes([0.7, 0.2, 0.1], 10) == [7, 2, 1] and sum(spectral.allocate_modes([0.98, 0.01, 0.01], 10)) == 10
     v, up = np.arange(8.0), np.array([0, 0, 0, 0, 0.9, 0, 0.8, 0])
     assert spectral.retained(v, up, 4, 2) == [4, 6, 0, 1] and spectral.reserve(4, 16) == 2
