@@ -12,7 +12,8 @@ over all documents, so a broadcast has a fixed bound at any size of benchmark.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null and empty texts match nothing;
 items with fewer than five words have no seeds and match nothing; repeated rows are each
-reported; empty tables give no leaks.
+reported; empty tables give no leaks. For ``remove_leaks`` rows with one id are one document:
+if one of them leaks, all go.
 """
 
 from __future__ import annotations
@@ -75,77 +76,119 @@ def _windows(prefix: np.ndarray, powers: np.ndarray, at: np.ndarray, size: int)
     return (prefix[at + size] - prefix[at]) * powers[len(powers) - 1 - at]
 
 
-def tile(item: np.ndarray, text: np.ndarray, i: np.ndarray, j: np.ndarray, width: int = WIDTH) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in text, length); ``i`` and ``j`` are places of shared seeds.
+def _free(marked: np.ndarray, size: int) -> np.ndarray:
+    """Places of the runs of ``size`` words none of which is marked."""
+    before = np.append(0, np.cumsum(marked))
+    return np.flatnonzero(before[size:] == before[:-size]) if size <= len(marked) else np.zeros(0, np.int64)
 
-    Ties between runs of one length go to the first place in the item, then in the text.
+
+def tile(item: np.ndarray, text: np.ndarray, width: int = WIDTH, used: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (place in item, place in text, length); words of the text that are ``used`` are marked from the start.
+
+    The longest common run of free words is found by bisection over its length, as a common
+    run has common parts; at each length the windows of both sides are compared by running
+    Karp-Rabin hashes. Time grows with the words, not with the pairs of equal places, however
+    often a run repeats. Ties go to the first place in the item, then in the text.
     """
-    in_item, in_text, tiles = np.zeros(len(item), bool), np.zeros(len(text), bool), []
+    in_item, in_text = np.zeros(len(item), bool), np.zeros(len(text), bool) if used is None else used.copy()
     size = max(len(item), len(text))
     # one power for both sides, so that equal runs hash alike wherever they stand
     pad = lambda w: np.concatenate([w, np.zeros(size - len(w), U64)])
     a, powers = _prefix_hash(pad(item))
     b, _ = _prefix_hash(pad(text))
-    while len(i):
-        free = np.append(0, np.cumsum(in_item))
-        used = np.append(0, np.cumsum(in_text))
-        ok = (free[i + width] == free[i]) & (used[j + width] == used[j])
-        i, j = i[ok], j[ok]
-        if not len(i):
-            break
-        order = np.lexsort((i, j - i))
-        i, j = i[order], j[order]
-        new = np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1))
-        head = np.flatnonzero(new)
-        run = np.diff(np.append(head, len(i)))
-        longest = int(run.max()) + width - 1
-        # windows of that length, compared by running hashes
-        first, second = np.unique(i[head[run == run.max()]]), np.unique(j[head[run == run.max()]])
-        ha, hb = _windows(a, powers, first, longest), _windows(b, powers, second, longest)
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places in item and text of free windows that both have, each with its hash."""
+        i, j = _free(in_item, length), _free(in_text, length)
+        ha, hb = _windows(a, powers, i, length), _windows(b, powers, j, length)
+        own = np.unique(ha)
+        both = np.zeros(len(hb), bool) if not len(own) else own[np.searchsorted(own, hb).clip(max=len(own) - 1)] == hb
+        also = np.isin(ha, hb[both])
+        return i[also], ha[also], j[both], hb[both]
+
+    tiles, most = [], min(len(item), len(text))
+    while most >= width and len(common(width)[0]):
+        low, high = width, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        first, ha, second, hb = common(low)
         where: dict[int, list[int]] = {}
-        for h, y in zip(hb.tolist(), second.tolist(), strict=True):
+        for h, y in zip(hb[::-1].tolist(), second[::-1].tolist(), strict=True):
             where.setdefault(h, []).append(y)
-        for h, x in zip(ha.tolist(), first.tolist(), strict=True):
-            if in_item[x : x + longest].any():
+        for x, h in zip(first.tolist(), ha.tolist(), strict=True):
+            if in_item[x : x + low].any():
                 continue
-            for y in where.get(h, ()):
-                if not in_text[y : y + longest].any() and np.array_equal(item[x : x + longest], text[y : y + longest]):
-                    in_item[x : x + longest] = in_text[y : y + longest] = True
-                    tiles.append((x, y, longest))
-                    break
+            places = where[h]
+            while places and (in_text[places[-1] : places[-1] + low].any() or not np.array_equal(item[x : x + low], text[places[-1] : places[-1] + low])):
+                places.pop()  # what is marked stays marked
+            if places:
+                y = places.pop()
+                in_item[x : x + low] = in_text[y : y + low] = True
+                tiles.append((x, y, low))
+        most = low - 1  # no free pair of this length is left
     return tiles
 
 
+#: Places of seeds looked at together; one text has the benchmark block's at most.
+_PLACES_AT_ONCE = 1 << 20
+
+
+def _candidates(text: np.ndarray, seed: np.ndarray, bench: Benchmark, threshold: float) -> Iterator[tuple[int, int]]:
+    """(text, item) whose shared seeds cover enough of the item; ``text`` and ``seed`` are distinct pairs, sorted.
+
+    A seed counts once a text, so its work is its places in the benchmark, however often the text repeats it.
+    """
+    work = np.cumsum(bench.number[seed])
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + _PLACES_AT_ONCE, "right")))
+        to = int(np.searchsorted(text, text[to - 1], "right"))  # whole texts
+        t, s = text[at:to], seed[at:to]
+        number = bench.number[s]
+        place = bench.places[np.repeat(bench.at[s] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))]
+        t = np.repeat(t, number)
+        order = np.lexsort((place, t))
+        t, place = t[order], place[order]
+        item = bench.item_of[place]
+        head = np.flatnonzero(np.append(True, (np.diff(t) != 0) | (np.diff(item) != 0)))
+        reach = np.minimum(np.append(np.diff(place), WIDTH), WIDTH)
+        reach[np.append(head[1:], len(t)) - 1] = WIDTH
+        covered = np.add.reduceat(reach, head)
+        ok = head[covered >= threshold * np.diff(bench.first)[item[head]]]  # no tiling covers more
+        yield from zip(t[ok].tolist(), item[ok].tolist(), strict=True)
+        at = to
+
+
 def leaks_in(data: np.ndarray, off: np.ndarray, bench: Benchmark, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, tiles, words covered, words of the item) of each leak."""
     start, end, first = textnp.word_spans(data, off)
     words = textnp.span_hashes(data, start, end, True)
-    runs = textnp.window_hashes(words, WIDTH)
-    at, seed = bench.lookup(runs)
+    at, seed = bench.lookup(textnp.window_hashes(words, WIDTH))
     text = np.searchsorted(first, at, "right") - 1
     whole = at + WIDTH <= first[text + 1]
     at, seed, text = at[whole], seed[whole], text[whole]
-    number = bench.number[seed]
-    place = np.repeat(bench.at[seed] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
-    i, j, text = bench.places[place], np.repeat(at, number), np.repeat(text, number)
-    item = bench.item_of[i]
-    order = np.lexsort((item, text))
-    i, j, text, item = i[order], j[order], text[order], item[order]
-    cut = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0))) if len(i) else np.zeros(0, np.int64)
-    stop = np.append(cut[1:], len(i)) if len(i) else cut
-    size = np.diff(bench.first)[item[cut]]
-    likely = WIDTH * (stop - cut) >= threshold * size  # n seeds cover 5 n words at most
-    for a, b in zip(cut[likely].tolist(), stop[likely].tolist(), strict=True):
-        t, k = int(text[a]), int(item[a])
+    if not len(at):
+        return
+    order = np.lexsort((seed, text))
+    new = np.append(True, (np.diff(text[order]) != 0) | (np.diff(seed[order]) != 0))
+    for t, k in _candidates(text[order][new], seed[order][new], bench, threshold):
         own = bench.item(k)
-        x, y = i[a:b] - bench.first[k], j[a:b] - first[t]
-        reach = np.zeros(len(own) + 1, np.int64)
-        np.add.at(reach, x, 1)
-        np.add.at(reach, x + WIDTH, -1)
-        if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(own):
-            continue  # no tiling covers more than the seeds do
-        low, high = int(y.min()), int(y.max()) + WIDTH
-        tiles = tile(own, words[first[t] + low : first[t] + high], x, y - low)
+        a, b = np.searchsorted(text, [t, t + 1])
+        here = at[a:b][np.isin(bench.seeds[seed[a:b]], textnp.window_hashes(own, WIDTH))] - first[t]
+        # the text's words in shared seeds, with a marked word between parts that don't touch
+        reach = np.zeros(int(here[-1]) + WIDTH + 1, np.int64)
+        reach[here] += 1
+        reach[here + WIDTH] -= 1
+        place = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
+        part = np.cumsum(np.append(0, np.diff(place) > 1))
+        short, used = np.zeros(len(place) + int(part[-1]), U64), np.ones(len(place) + int(part[-1]), bool)
+        short[np.arange(len(place)) + part] = words[first[t] + place]
+        used[np.arange(len(place)) + part] = False
+        tiles = tile(own, short, WIDTH, used)
         covered = sum(n for _, _, n in tiles)
         if covered >= threshold * len(own):
             yield t, k, len(tiles), covered, len(own)

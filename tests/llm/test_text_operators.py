@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -44,12 +45,30 @@ def test_tiles_match_search():
         if rng.random() < 0.6:
             cut = rng.randint(1, len(item) - 1)
             text = text[:3] + item[cut:] + text[3:8] + item[:cut] + text[8:]
-        pairs = [(i, j) for i in range(len(item) - 4) for j in range(len(text) - 4) if item[i : i + 5] == text[j : j + 5]]
-        i, j = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-        got = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), i, j)
+        got = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64))
         assert sorted(n for _, _, n in got) == sorted(tiles_by_search(item, text))
 
 
+def test_repeated_seeds_cost_their_words():
+    items = ["a " * 800, "b c " * 400, *[f"on the other hand we say x{k} y{k} z{k} u{k} v{k} w{k} s{k}" for k in range(5000)]]
+    texts = ["a " * 20_000, "b c " * 10_000, "on the other hand we say " * 3000 + "x7 y7 z7 u7 v7 w7 s7", "c b " * 300 + "a " * 500]
+    bench = decontaminate.Benchmark(items)
+    began = time.process_time()
+    got = list(decontaminate.leaks_in(*textnp.utf8(pa.array(texts)), bench, 0.8))
+    assert time.process_time() - began < 5
+    assert [(t, k, covered) for t, k, _, covered, _ in got] == [(0, 0, 800), (1, 1, 800), (2, 9, 13)]
+
+
+def test_coverage_matches_search():
+    rng = random.Random(8)
+    words = lambda n, size: [f"w{rng.randrange(size)}" for _ in range(n)]
+    items = [words(rng.randint(5, 30), rng.choice([2, 6, 40])) for _ in range(25)]
+    texts = [sum((rng.choice(items)[rng.randint(0, 3) :] + words(rng.randint(0, 4), 6) for _ in range(4)), []) for _ in range(25)] + [[], ["a"]]
+    got = {(t, k): c for t, k, _, c, _ in decontaminate.leaks_in(*textnp.utf8(pa.array([" ".join(t) for t in texts])), decontaminate.Benchmark([" ".join(i) for i in items]), 0.6)}
+    want = {(t, k): c for t, text in enumerate(texts) for k, item in enumerate(items) if (c := sum(tiles_by_search(item, text))) >= 0.6 * len(item)}
+    assert got == want and len(want) > 10
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 20])
 def test_leaks(spark, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
