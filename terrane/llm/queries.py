@@ -65,8 +65,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_lattice.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
-    return coded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "score", F.get("others", 0).alias("second_score"), "restored")
+    """The four best segmentations: the best one's ids and score, and each other's score and changes."""
+    coded = sentencepiece_lattice.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", n=4)
+    return coded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "score", F.get("others", 0)["score"].alias("second_score"), "others", "restored")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,19 @@ solved once, many at a time; the N best of a text combine its chunks' N best.
 
 A space is put before every text that isn't empty and taken away in decoding; decoding an
 encoded text gives the text back, byte for byte. A null text has no ids and a null score;
-an empty text has no ids and score 0. Ties go to the longer last piece.
+an empty text has no ids and score 0. Repeated rows are encoded alike; extra columns are not
+read. Ties between equal totals go to the longer last piece.
+
+The scores of a BPE model are the ranks of its merges, not log probabilities: its best path
+is not what merging gives, and its ids are longer. ``encode_merges`` gives the model's own
+ids, those that a network trained with that vocabulary expects.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 from itertools import chain
 
@@ -36,6 +41,8 @@ from terrane.plans.shipping import ship
 UNKNOWN_BELOW = 10.0
 U64 = np.uint64
 WIDE = 48
+#: Scores are multiples of one part of this, so sums are exact and equal totals are equal numbers.
+SCORE_STEPS = 1 << 20
 
 
 class Pieces:
@@ -51,7 +58,7 @@ class Pieces:
         self.ids: dict[bytes, int] = {}
         self.score = np.zeros(len(proto.pieces))
         for i, p in enumerate(proto.pieces):
-            self.score[i] = p.score
+            self.score[i] = round(p.score * SCORE_STEPS) / SCORE_STEPS
             if p.type == 6:
                 self.byte_id[int(p.piece[3:5], 16)] = i
                 self.raw.append(bytes([int(p.piece[3:5], 16)]))
@@ -63,7 +70,10 @@ class Pieces:
         self.unknown = min(self.score[i] for i in self.ids.values()) - UNKNOWN_BELOW
         if any(b" " in r.lstrip(b" ") for r in self.ids):
             raise ValueError("a piece has a space after another character")
-        self.longest = max(map(len, self.ids))
+        #: For each last byte the lengths of the pieces that end with it.
+        self.sizes: list[list[int]] = [[] for _ in range(256)]
+        for last, size in sorted({(r[-1], len(r)) for r in self.ids}):
+            self.sizes[last].append(size)
         #: Longest piece that isn't spaces alone.
         self.longest_word = max(len(r) for r in self.ids if r.strip(b" "))
 
@@ -79,29 +89,34 @@ class Pieces:
         flags[(keys >> U64(44)).astype(np.int64)] = True
         return keys[order], ids[order], flags
 
-    def edges(self, chunk: bytes) -> list[list[tuple[int, int, float]]]:
-        """For each end position, (start, piece or -1 for bytes, score), shortest piece first."""
-        cut = [i for i in range(len(chunk) + 1) if i == len(chunk) or chunk[i] & 0xC0 != 0x80]
-        at = set(cut)
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(len(chunk) + 1)]
-        for k, end in enumerate(cut[1:], 1):
-            one = cut[k - 1]
-            if (p := self.ids.get(chunk[one:end])) is None:
-                into[end].append((one, -1, self.unknown))
-            else:
-                into[end].append((one, p, self.score[p]))
-            for start in range(one - 1, max(-1, end - self.longest - 1), -1):
-                if start in at and (p := self.ids.get(chunk[start:end])) is not None:
-                    into[end].append((start, p, self.score[p]))
+    def edges(self, chunk: bytes) -> Callable[[int], list[tuple[int, int, float]]]:
+        """A function of an end position to its edges: (start, piece or -1 for bytes, score), shortest piece first."""
+        known, score, sizes = self.ids, self.score, self.sizes
+
+        def into(end: int) -> list[tuple[int, int, float]]:
+            out, start = [], end - 1
+            while start > 0 and chunk[start] & 0xC0 == 0x80:
+                start -= 1
+            p = known.get(chunk[start:end])
+            out.append((start, -1, self.unknown) if p is None else (start, p, score[p]))
+            for size in sizes[chunk[end - 1]]:
+                if end - size < start and size <= end and (p := known.get(chunk[end - size : end])) is not None:
+                    out.append((end - size, p, score[p]))
+            return out
+
         return into
 
     def nbest(self, chunk: bytes, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best (score, ids) of a chunk: forward Viterbi, then A-star from the end."""
+        """The ``n`` best (score, ids) of a chunk: forward Viterbi, then A-star from the end.
+
+        Of equal totals the newest path goes on, so a chunk with very many equal paths, as a
+        long run of one letter, costs its length and not their number.
+        """
         into = self.edges(chunk)
         ahead = [0.0] + [-np.inf] * len(chunk)
         for end in range(1, len(chunk) + 1):
-            for start, _, score in into[end]:
-                ahead[end] = max(ahead[end], ahead[start] + score)
+            if end == len(chunk) or chunk[end] & 0xC0 != 0x80:
+                ahead[end] = max([ahead[start] + score for start, _, score in into(end)])
         found, tick = [], 0
         queue = [(-ahead[-1], 0, len(chunk), 0.0, None)]
         while queue and len(found) < n:
@@ -113,8 +128,8 @@ class Pieces:
                     ids += [p] if p >= 0 else self.byte_id[np.frombuffer(chunk[start:end], np.uint8)].tolist()
                 found.append((-total, ids))
                 continue
-            for start, p, score in reversed(into[at]):
-                tick += 1
+            for start, p, score in into(at):
+                tick -= 1
                 heapq.heappush(queue, (-(ahead[start] + score + behind), tick, start, behind + score, ((start, at, p), path)))
         return found
 
@@ -231,6 +246,11 @@ def chunk_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, np.append(start[1:], len(data)), np.searchsorted(start, off)
 
 
+#: (first place, number of ids that go, ids that come)
+Change = tuple[int, int, list[int]]
+_OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+
+
 class Encoder:
     """Encodes columns of texts, keeping the solutions of ``room`` recent chunks."""
 
@@ -242,6 +262,7 @@ class Encoder:
         self.known: dict[int, int] = {}
         self.best, self.loss, self.count = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.ways: dict[tuple[bytes, int], list[tuple[float, list[int]]]] = {}
 
     def _add(self, keys: list[int], chunks: list[bytes]) -> None:
         best, loss, ids, count = self.pieces.solve(chunks)
@@ -249,8 +270,8 @@ class Encoder:
         self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
         self.best, self.loss, self.count, self.ids = np.append(self.best, best), np.append(self.loss, loss), np.append(self.count, count), np.append(self.ids, ids)
 
-    def texts(self, column: pa.Array, n: int = 2) -> Iterator[tuple[np.ndarray, float, list[tuple[float, list[tuple[int, bytes, list[int]]]]]]]:
-        """For each text its ids, score, and the next best: (score, changes), each change (chunk number, chunk, ids)."""
+    def texts(self, column: pa.Array, n: int = 2) -> Iterator[tuple[np.ndarray, float, list[tuple[float, list[Change]]]]]:
+        """For each text its ids, score, and the next best up to the ``n``-th: (score, changes of the ids)."""
         data, off = with_space(*textnp.utf8(column))
         start, end, first = chunk_spans(data, off)
         keys = textnp.span_hashes(data, start, end, False)
@@ -270,9 +291,20 @@ class Encoder:
         for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
             own = rows[a:b]
             score = float(self.best[own].sum())
-            yield ids[edge[i] : edge[i + 1]], score, self._next(own, score, n, lambda c, a=a: raw[start[a + c] : end[a + c]])
-
-    def _next(self, rows: np.ndarray, score: float, n: int, chunk) -> list[tuple[float, list[tuple[int, bytes, list[int]]]]]:
+            spans = lambda c, a=a, i=i: (int(place[a + c] - edge[i]), int(size[a + c]), raw[start[a + c] : end[a + c]])
+            yield ids[edge[i] : edge[i + 1]], score, self._next(own, score, n, spans)
+
+    def _ways(self, chunk: bytes, n: int) -> list[tuple[float, list[int]]]:
+        """The ``n`` best of a chunk, kept for short ones."""
+        if len(chunk) > WIDE:
+            return self.pieces.nbest(chunk, n)
+        if (chunk, n) not in self.ways:
+            if len(self.ways) >= self.room:
+                self.ways.clear()
+            self.ways[chunk, n] = self.pieces.nbest(chunk, n)
+        return self.ways[chunk, n]
+
+    def _next(self, rows: np.ndarray, score: float, n: int, spans) -> list[tuple[float, list[Change]]]:
         """The second to n-th best of a chain of chunks.
 
         The i-th best loses by at least the i smallest second-best losses, so only the
@@ -286,11 +318,20 @@ class Encoder:
         few = few[np.lexsort((few, loss[few]))]
         best = [(0.0, [])]
         for c in few.tolist():
-            raw = chunk(c)
-            ways = self.pieces.nbest(raw, n)
-            both = [(lost + ways[0][0] - s, changes + [(c, raw, ids)] if k else changes) for lost, changes in best for k, (s, ids) in enumerate(ways)]
+            first, size, raw = spans(c)
+            ways = self._ways(raw, n)
+            both = [(lost + ways[0][0] - s, [*changes, (first, size, ids)] if k else changes) for lost, changes in best for k, (s, ids) in enumerate(ways)]
             best = heapq.nsmallest(n, both, key=lambda x: x[0])
-        return [(score - lost, changes) for lost, changes in best[1:]]
+        return [(score - lost, sorted(changes)) for lost, changes in best[1:]]
+
+
+def changed(ids: list[int], changes: list[Change]) -> list[int]:
+    """The ids of another segmentation: at each change's first place, so many ids give way to its own."""
+    out, at = [], 0
+    for first, size, own in changes:
+        out += [*ids[at:first], *own]
+        at = first + size
+    return [*out, *ids[at:]]
 
 
 def with_space(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +346,11 @@ def with_space(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", n: int = 2) -> DataFrame:
-    """id, ids, score, ``others`` (score of the next best, up to ``n`` - 1) and ``restored`` (decoding gives the text)."""
+    """id, ids, score, ``others`` and ``restored`` (decoding gives the text).
+
+    ``others`` holds the second to ``n``-th best segmentations, each its score and its changes
+    to the ids (``changed`` applies them): whole texts differ in a few chunks only.
+    """
     spark = docs.sparkSession
     ship(spark)
     with open(model_file, "rb") as f:
@@ -325,13 +370,13 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 for i, (own, score, after) in enumerate(encoder.texts(block.column("t"), n)):
                     ids.append(own)
                     scores.append(None if absent[i] else score)
-                    others.append([s for s, _ in after])
+                    others.append([{"score": s, "changes": [{"first": f, "size": z, "ids": x} for f, z, x in c]} for s, c in after])
                     same.append(encoder.pieces.decode(own.tolist()) == raw[off[i] : off[i + 1]])
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([block.column("i"), lists, pa.array(scores, pa.float64()), pa.array(others, pa.list_(pa.float64())), pa.array(same)], ["i", "ids", "score", "others", "restored"])
+                yield pa.RecordBatch.from_arrays([block.column("i"), lists, pa.array(scores, pa.float64()), pa.array(others, _OTHERS), pa.array(same)], ["i", "ids", "score", "others", "restored"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {kind}, ids array<int>, score double, others array<double>, restored boolean").withColumnRenamed("i", id_col)
+    return rows.mapInArrow(run, f"i {kind}, ids array<int>, score double, others array<struct<score:double,changes:array<struct<first:int,size:int,ids:array<int>>>>>, restored boolean").withColumnRenamed("i", id_col)
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -354,3 +399,27 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(texts, pa.string())], ["i", "text"])
 
     return encoded.select(F.col(id_col).alias("i"), F.col(ids_col).alias("x")).mapInArrow(run, f"i {kind}, text string").withColumnRenamed("i", id_col)
+
+
+def encode_merges(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ids as the model's own algorithm cuts the text (merges for BPE); null texts have null ids."""
+    spark = docs.sparkSession
+    ship(spark)
+    with open(model_file, "rb") as f:
+        raw = f.read()
+    shared, key = spark.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sentencepiece import SentencePieceProcessor
+
+        from terrane.llm import workers
+
+        processor = workers.kept(("merges", key), lambda: SentencePieceProcessor(model_proto=shared.value))
+        for batch in batches:
+            for block in textnp.blocks(batch, "t"):
+                ids = [None if t is None else processor.encode(t, num_threads=1) for t in block.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([block.column("i"), pa.array(ids, pa.list_(pa.int32()))], ["i", "ids"])
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"i {kind}, ids array<int>").withColumnRenamed("i", id_col)

@@ -87,13 +87,13 @@ def test_leaks(spark, monkeypatch, block_words):
 # ---- segmentation
 
 def paths(pieces, chunk):
-    into, found = pieces.edges(chunk), []
+    edges, found = pieces.edges(chunk), []
 
     def walk(at, score, tail):
         if at == 0:
             found.append((score, tail))
             return
-        for start, piece, s in into[at]:
+        for start, piece, s in edges(at):
             walk(start, score + s, [(start, at, piece), *tail])
 
     walk(len(chunk), 0.0, [])
@@ -127,6 +127,36 @@ def test_nbest_of_texts(pieces):
     assert np.allclose([score, *[s for s, _ in others]], want)
 
 
+def test_nbest_ids_of_texts(pieces):
+    score_of = lambda own: sum(pieces.score[i] for i in own)
+    for text in ("ab cd the", "on on on", "the  cat", "x", "don't be so"):
+        raw = (" " + text).encode()
+        (ids, score, others), = sentencepiece_lattice.Encoder(pieces).texts(pa.array([text]), 6)
+        ways = [ids.tolist(), *[sentencepiece_lattice.changed(ids.tolist(), c) for _, c in others]]
+        want = paths(pieces, raw)[:6]
+        assert len({tuple(w) for w in ways}) == len(ways) == min(6, len(want)) and all(b"".join(pieces.raw[i] for i in w) == raw for w in ways)
+        assert [score_of(w) for w in ways] == want[: len(ways)] == [score, *[s for s, _ in others]]
+
+
+@pytest.mark.parametrize(("letter", "ways"), [("a", 4), ("é", 2), ("ab", 4)])
+def test_long_runs_cost_their_length(pieces, letter, ways):
+    chunk = b" " + (letter * (100_000 // len(letter))).encode()
+    began = time.process_time()
+    found = pieces.nbest(chunk, 4)
+    assert time.process_time() - began < 3
+    assert len(found) == ways and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({tuple(x) for _, x in found}) == ways
+    assert all(b"".join(pieces.raw[i] for i in x) == chunk for _, x in found)
+
+
+def test_merges_match_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_lattice.encode_merges(df, MODEL).collect()}
+    assert got == {i: None if t is None else library.encode(t) for i, t in enumerate(TEXTS)}
+
+
 def test_encode_decode(spark):
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(TEXTS)] + [(None, "x", None)], "doc_id long, text string, ids string")
     coded = sentencepiece_lattice.encode(df, MODEL)
