@@ -43,7 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece ids, score, the next best score, and whether decoding gives the text back."""
     coded = sentencepiece_lattice.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
-    return coded.select("doc_id", "ids", "score", F.get("others", 0).alias("second_score"), "restored")
+    return coded.select("doc_id", "ids", "score", F.get("others", 0)["score"].alias("second_score"), "restored")
 
 
 STAGES = [
