@@ -83,14 +83,16 @@ def _op6_sql() -> str:
     node = lambda x: f"CASE WHEN contains({x}, '://') THEN {host(x)} || CASE WHEN starts_with({rest(x)}, '/') THEN '' ELSE '/' END || {rest(x)} END"
     origin, folder = part("url", "(.*?://[^/?#]*)"), part("url", "(.*?://[^/?#]*(?:/[^?#]*/|/)?)")
     rules = ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.verdict}')" for r in url_filter.RULES)
-    tags = url_filter.TAGS.replace("'", "''")
+    tags, canonical, refresh = (x.replace("'", "''") for x in (url_filter.TAGS, url_filter.CANONICAL, url_filter.REFRESH))
     fits = lambda h, p: f"({h} = r.host OR ends_with({h}, '.' || r.host)) AND starts_with({p}, r.path)"
     return f"""
 WITH RECURSIVE r(rule, host, path, verdict) AS (VALUES {rules}),
 t AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '{tags}')) AS tag FROM pages),
-h AS (SELECT url, CASE WHEN starts_with(lower(tag), '<meta') THEN regexp_extract(tag, '(?i)url\\s*=\\s*[''"]?([^''">\\s]+)', 1) ELSE regexp_extract(tag, '(?i)href\\s*=\\s*[''"]?([^''">\\s]+)', 1) END AS href FROM t),
+h AS (SELECT url, CASE WHEN starts_with(lower(tag), '<meta') THEN regexp_extract(tag, '(?i)url\\s*=\\s*[''"]?([^''">\\s]+)', 1) ELSE regexp_extract(tag, '(?i)href\\s*=\\s*[''"]?([^''">\\s]+)', 1) END AS href_ FROM t
+  WHERE CASE WHEN starts_with(lower(tag), '<meta') THEN regexp_matches(tag, '{refresh}') ELSE regexp_matches(tag, '{canonical}') END),
+k AS (SELECT url, replace(href_, '&amp;', '&') AS href FROM h),
 g AS (SELECT {node("url")} AS src, CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href
-  WHEN starts_with(href, '/') THEN {origin} || href ELSE {folder} || CASE WHEN ends_with({folder}, '/') THEN '' ELSE '/' END || href END AS target FROM h),
+  WHEN starts_with(href, '/') THEN {origin} || href ELSE {folder} || CASE WHEN ends_with({folder}, '/') THEN '' ELSE '/' END || href END AS target FROM k),
 e AS (SELECT src, {node("target")} AS dst FROM g WHERE src IS NOT NULL AND target IS NOT NULL),
 s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 reach AS (SELECT a AS id, a AS other FROM s UNION SELECT reach.id, s.b FROM reach JOIN s ON s.a = reach.other),

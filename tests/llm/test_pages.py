@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import time
+from collections import Counter
 
 from terrane.llm import url_filter, warc, warc_source
 from terrane.llm.queries import QUERIES
@@ -39,6 +42,9 @@ PAGES = [
     (10, "http://sub.example.net/de/8", ""),
     (11, "http://w.io/a/b", "<link rel=canonical href='c'>"),
     (12, "http://w.io/a/c", "<link rel=canonical href='http://example.com/en/7'>"),
+    (14, "http://v.io/a?x=1&y=2", ""),
+    (15, "http://v.io/b", "<LINK href='/a?x=1&amp;y=2' REL='canonical'>"),
+    (16, "http://v.io/c", "<link rel=stylesheet href='/a?x=1&y=2'><meta name=refresh content='url=/b'>"),
     (13, "http://z.io/", "<link rel=canonical href='http://example.com/en/7'><link rel=canonical href='http://t.net/de/'>"),
 ]
 
@@ -79,3 +85,58 @@ def test_url_sql_on_linked_pages(spark):
     con = duckdb.connect()
     con.register("pages", df.toPandas())
     assert rows_of(url_filter.judge(df)) == rows_of_sql(con, ORACLE["op6_url_filter"])
+
+
+def linked_pages(seed=6, n=10_000):
+    """Pages in chains, hubs and pairs, some of their addresses under rules: (page_id, url, html)."""
+    rng = random.Random(seed)
+    hosts = ["a.org", "b.io", "example.com", "sub.example.net", "news.net", "shop.com", "c.de"]
+    paths = ["/en/", "/en/7", "/de/", "/de/8", "/es/", "/x/", "/y/"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths) if rng.random() < 0.1 else '/p/'}{k}" for k in range(n)]
+    pages, at = [], 0
+    while at < n:
+        size, kind = rng.choice([(1, "chain"), (2, "chain"), (5, "chain"), (60, "chain"), (40, "hub"), (700, "hub")])
+        group = list(range(at, min(at + size, n)))
+        for place, k in enumerate(group):
+            target = urls[group[0]] if kind == "hub" else urls[group[min(place + 1, len(group) - 1)]]
+            html = rng.choice([f"<p>x</p><link rel='canonical' href='{target}'>", f'<meta http-equiv="refresh" content="3; url={target}">', f"<link href={target} rel=canonical><a href='{rng.choice(urls)}'>"])
+            pages.append((k, urls[k], html if len(group) > 1 else "<p>none</p>"))
+        at += size
+    return pages
+
+
+def test_verdicts_of_linked_pages(spark):
+    pages = linked_pages()
+    node = lambda u: u.split("://")[1]
+    root = {node(u): node(u) for _, u, _ in pages}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, u, html in pages:
+        m = re.search(r"(?:canonical' href='|url=|link href=)(http[^'\" >]+)", html)
+        if m:
+            root[find(node(u))] = find(node(m[1]))
+    verdicts = {}
+    for _, u, _ in pages:
+        r = rule(u)[2]
+        if r:
+            verdicts.setdefault(find(node(u)), set()).add(r.verdict)
+    want = {}
+    for k, u, _ in pages:
+        r, shared = rule(u)[2], verdicts.get(find(node(u)), set())
+        want[k] = (r.verdict, "rule") if r else ("allow", "alias") if "allow" in shared else ("block", "alias") if shared else ("allow", "default")
+    got = {r["page_id"]: (r["verdict"], r["via"]) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+    via = Counter(want.values())
+    assert min(via["allow", "alias"], via["block", "alias"], via["allow", "default"], via["block", "rule"]) > 100
+
+
+def test_open_tags_take_linear_time(spark):
+    pages = [(1, "http://a.org/", "<link href " * 100_000), (2, "http://a.org/2", "<link " + "href " * 200_000), (3, "http://b.org/", "<meta http-equiv " * 50_000 + "<link rel=canonical href='http://q.com/en/'>")]
+    began = time.monotonic()
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block"} and time.monotonic() - began < 30
