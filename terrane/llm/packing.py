@@ -1,7 +1,8 @@
 """Token ids packed into rows of a fixed length, best fit decreasing.
 
-Documents are dealt to shards by a hash of id and text; the number of shards follows the
-table's bytes, so a shard stays small at any size. Within a shard every document's ids
+Documents are dealt to shards by a hash of id, text and place in the input, so that a row
+that repeats a million times is spread too; the number of shards follows the table's bytes,
+so a shard stays small at any size. Within a shard every document's ids
 (with the end id after them) are cut into segments of at most a row's length; the longest
 segment goes first, into the row with the least room that still takes it. The rows' room
 is kept in a segment tree over capacities, so a search takes ``log2(length)`` steps.
@@ -9,7 +10,8 @@ is kept in a segment tree over capacities, so a search takes ``log2(length)`` st
 A packed row holds the padded id row, the cumulative segment lengths, the positions
 (which start again at 0 with each segment), and each segment's document and place in it,
 so documents can be put together again. Null and empty texts become the end id alone;
-repeated rows are packed once each; an empty table gives no rows.
+repeated rows are packed once each; an empty table gives no rows. Ids and positions that
+the output's number type can't hold are an error.
 """
 
 from __future__ import annotations
@@ -131,11 +133,15 @@ def pack(docs: DataFrame, ranks_file: str, length: int = 2048, id_col: str = "do
     ship(spark)
     with open(ranks_file, "rb") as f:
         raw = f.read()
+    most = max(int(line.split()[1]) for line in raw.splitlines()) + 1
+    if max(most, length - 1) > np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {most} and positions up to {length - 1} don't fit {dtype}")
     shared, key = spark.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()  # a vocabulary file: its size is fixed
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("i", F.crc32(F.col("t").cast("binary"))), F.lit(size // SHARD_BYTES + 1)))
+    # the place in the input is the same whenever a lost task reads its part again
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("i", F.crc32(F.col("t").cast("binary")), F.monotonically_increasing_id()), F.lit(size // SHARD_BYTES + 1)))
 
     def run(table: pa.Table) -> pa.Table:
         from terrane.llm import workers

@@ -13,6 +13,8 @@ def test_warc_revisits(spark, tmp_path):
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload string")
     got = warc.deduplicate(df, str(tmp_path / "archives")).collect()
     assert len(got) == len(rows)
+    shuffled = warc.deduplicate(df, max_broadcast=-1).collect()
+    assert sorted(map(repr, shuffled)) == sorted(map(repr, got))
     kinds = sorted(((r["page_id"], r["warc_type"], r["refers_to"]) for r in got), key=repr)
     assert kinds == sorted([(5, "revisit", 3), (3, "response", None), (None, "revisit", 3), (9, "response", None), (9, "response", None), (1, "response", None), (2, "response", None), (4, "response", None), (None, "response", None)], key=repr)
     for r in got:
@@ -140,3 +142,10 @@ def test_open_tags_take_linear_time(spark):
     began = time.monotonic()
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "allow", 2: "allow", 3: "block"} and time.monotonic() - began < 30
+
+
+def test_long_payloads_round_trip(spark):
+    rows = [(k, "u", t) for k, t in enumerate(["é" * 3_000_000, "é" * 3_000_000, "WARC/1.1\r\n" * 100_000])]
+    got = {r["page_id"]: r for r in warc.deduplicate(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k]["warc_type"] for k in range(3)] == ["response", "revisit", "response"]
+    assert all(got[k]["payload"].decode() == rows[k][2] for k in (0, 2)) and got[1]["refers_to"] == 0

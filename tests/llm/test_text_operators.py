@@ -204,6 +204,20 @@ def test_packed_rows_hold_every_token(spark):
     assert packing.pack(df.limit(0), RANKS).count() == 0
 
 
+def test_equal_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1 << 12)
+    df = spark.createDataFrame([(1, "the same words again and again")] * 2000, "doc_id long, text string")
+    rows = [r.asDict() for r in packing.pack(df, RANKS, length=64).collect()]
+    assert len({r["shard"] for r in rows}) > 5 and sum(len(r["doc_ids"]) for r in rows) == 2000
+
+
+def test_numbers_that_do_not_fit_are_an_error(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for options in ({"dtype": "u1"}, {"length": 70_000}):
+        with pytest.raises(ValueError):
+            packing.pack(df, RANKS, **options)
+
+
 # ---- language
 
 def test_language_held_out_accuracy(spark):
@@ -235,6 +249,35 @@ def test_sharding_law(spark):
     assert sharding.shard(df.limit(0), 16).count() == 0
 
 
+def ring_by_rows(counts, ring, capacity):
+    """Each row walks clockwise from its slot until a shard has room."""
+    nodes, room, out = ring.nodes(), list(capacity), {}
+    for slot in sorted(counts, key=lambda a: (a * 40503 % sharding.ARCS, a)):
+        for rank in range(counts[slot]):
+            way = [s for p, s in nodes if p >= slot] + [s for p, s in nodes if p < slot]
+            owner = next(s for s in way if room[s])
+            out[slot, rank] = owner, capacity[owner] - room[owner]
+            room[owner] -= 1
+    return out
+
+
+@pytest.mark.parametrize("factor", [1.0, 1.3, 4.0])
+def test_ring_matches_rows_one_by_one(factor):
+    rng = random.Random(factor)
+    for shards in (1, 3, 7):
+        counts = {rng.randrange(sharding.ARCS): rng.choice([1, 2, 9, 60]) for _ in range(60)}
+        ring, total = sharding.Ring(shards, 8), sum(counts.values())
+        capacity = sharding.even_capacity(total, shards) if factor == 1 else [-int(-factor * total // shards)] * shards
+        got = {(slot, r): (s, at + r - a) for slot, a, b, s, at in sharding.fill(counts, ring, capacity) for r in range(a, b)}
+        assert got == ring_by_rows(counts, ring, capacity)
+
+
+def test_sharding_of_repeated_rows(spark):
+    got = sharding.shard(spark.createDataFrame([(7, "same")] * 5000, "doc_id long, text string"), 16).toPandas()
+    assert len(got) == 5000 and got.groupby("shard").size().between(312, 313).all()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_bounded_ring_moves_few_rows():
     counts = dict.fromkeys(range(0, sharding.ARCS, 8), 3)
     total = sum(counts.values())
