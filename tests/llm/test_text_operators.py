@@ -1,11 +1,13 @@
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from terrane.llm import decontaminate, language_id, packing, sentencepiece_lattice, sharding, textnp
 from terrane.llm.queries import QUERIES, TOKENIZERS
@@ -237,6 +239,44 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, empty).collect()} == {"und"}
 
 
+def by_backoff(model, text):
+    """(language, score) by the plain rule, a word at a time."""
+    total, words = np.zeros(len(model.languages)), 0
+    for raw in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        parts = [w for w in regex.split(r"[^\p{L}\p{M}]+", unicodedata.normalize("NFC", raw).lower()) if w]
+        words += any(ch.isalpha() for p in parts for ch in p)
+        for part in parts:
+            if part in model.words:
+                total += model.word_logs[model.words[part]]
+                continue
+            for n in range(language_id.LONGEST, 0, -1):
+                known = [g for i in range(len(part) + 3 - n) if (g := f" {part} "[i : i + n]) in model.grams]
+                if known:
+                    total += np.mean([model.gram_logs[model.grams[g]].astype(float) for g in known], 0)
+                    break
+    if not words:
+        return "und", 0.0
+    best = int(np.argmax(total))
+    return model.languages[best], float(1 / np.exp((total - total[best]) / words).sum())
+
+
+def test_language_matches_plain_backoff(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(-1, "cafe\u0301 na\u0308ht", None), (-2, "x" * 100_000, None), (-3, "(word) word, don't 3rd \u0301", None), (-4, "", "en"), (-1, "the cat", "en"), (-1, "the cat", "en"), (None, "der Hund", "de")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    model = language_id.fit(docs, per_language=20)
+    texts = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()), key=repr)
+    want = sorted(((i, *by_backoff(model, t)) for i, t in texts), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-4)
+
+
+def test_model_holds_every_feature_of_its_sample(spark):
+    df = spark.createDataFrame([(k, "ein Haus wäre schön", "de") for k in range(9)] + [(99, "cafe\u0301", "fr")], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert set(model.words) == {"ein", "haus", "wäre", "schön", "café"} and {" c", "é ", "café", "schö"} <= set(model.grams)
+
+
 # ---- sharding
 
 def test_sharding_law(spark):
