@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from terrane.llm import textnp
 from terrane.operators.graph import connected_components
 from terrane.plans.shipping import ship
-from terrane.plans.storage import sized, written
+from terrane.plans.storage import discard, sized, written
 
 U64 = np.uint64
 SAMPLES, ROWS, BANDS, BITS = 160, 5, 25, 512
@@ -41,7 +41,7 @@ SAMPLES, ROWS, BANDS, BITS = 160, 5, 25, 512
 PERCENT = 85
 #: Sketches may differ in the bits of this estimate; pairs at 0.85 fall below it with a chance of 2e-8.
 SLACK = 0.65
-BLOCK = 1024
+BLOCK, PART = 1024, 4096
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _rng.integers(1, 1 << 63, SAMPLES, dtype=U64) * U64(2) + U64(1)
 _ADD = _rng.integers(1, 1 << 63, SAMPLES, dtype=U64)
@@ -125,9 +125,15 @@ def _differing(a: str, b: str):
 
 
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    """The pairs (a, b) whose full sets reach the threshold.
+
+    Each pair meets its b first and its a last, in parts of up to PART pairs of one a, so that
+    a hot a's set is shipped once a part and its pairs lie in many tasks.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "part", "x")
     second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +141,7 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [linked(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64), percent) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(second, "b").join(first, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def check_block(table: pa.Table, percent: int, bits: int) -> tuple[list[int], list[int]]:
@@ -200,6 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = written(stars.select("a", "b"))
     sets = written(full_sets(docs, written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()), id_col, text_col).dropDuplicates(["id"]))
     links = written(confirm_pairs(stars, sets, percent))
+    discard(sets, stars)
     labels = written(connected_components(links, "a", "b"))
 
     # what the star checks left open
@@ -228,16 +235,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         links = links.unionByName(written(loaded.groupBy("key", "cross", "i", "j").applyInArrow(run, "a long, b long")))
+        discard(left, need, more)
         labels = written(connected_components(links, "a", "b"))
 
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    named = sized(written(named))
+    named = written(named)
+    discard(classes, reps, members, open_, split, labels)
+    named = sized(named)
     out = sig.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
+    """The documents that are kept, with the columns they came with; rows with a kept id all stay."""
     gone = sized(written(near_duplicates(docs, id_col, **options).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
