@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.plans.storage import written
+from terrane.plans.storage import discard, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
-    live = pairs.filter("a < b")
+    live, before = pairs.filter("a < b"), None
     for _ in range(max_rounds):
         parent = written(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("p")))
         if parent.isEmpty():
@@ -31,5 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         down = jumped.select(F.col("id").alias("b"), F.col("p").alias("pb"))
         moved = live.join(up, "a", "left").join(down, "b", "left").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y")).filter("x <> y")
         live = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(parent, *([before] if before is not None else []))
+        before = live
         labels = labels.join(jumped.select(F.col("id").alias("component"), F.col("p").alias("__p")), "component", "left").select("id", F.coalesce("__p", "component").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
