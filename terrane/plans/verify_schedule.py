@@ -101,10 +101,10 @@ def rank_in_run(spark, d):
 
 
 @query("""
-WITH t AS (SELECT s_nationkey AS k, s_suppkey AS o, s_acctbal AS x, (s_suppkey % 17) * 500.0 AS y FROM supplier),
+WITH t AS (SELECT s_nationkey AS k, s_suppkey AS o, s_acctbal AS x, (s_suppkey % 17) * 500.0::DOUBLE AS y FROM supplier),
 g AS (SELECT k, o, x, y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM t WINDOW w AS (PARTITION BY k ORDER BY o)),
 s AS (SELECT *, dx * dx + dy * dy AS l FROM g WHERE dx * dx + dy * dy > 1e-12),
-p AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS px, (c_custkey % 13) * 700.0 AS py FROM customer),
+p AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS px, (c_custkey % 13) * 700.0::DOUBLE AS py FROM customer),
 j AS (SELECT p.*, s.*, least(greatest(((px - x) * dx + (py - y) * dy) / l, 0.0), 1.0) AS tau FROM p JOIN s USING (k))
 SELECT id, round(arg_min(dx, struct_pack(g := pow(px - x - tau * dx, 2) + pow(py - y - tau * dy, 2), o := o)), 4) AS dx,
   round(arg_min(dy, struct_pack(g := pow(px - x - tau * dx, 2) + pow(py - y - tau * dy, 2), o := o)), 4) AS dy FROM j GROUP BY id""")
@@ -153,13 +153,13 @@ def packed_steps(spark, d):
 
 @query("""
 WITH s AS (SELECT o_orderkey, o_orderpriority < '4' AS is_rate, (o_orderkey % 3)::INT AS ctrl_phase, o_totalprice AS q_ctrl,
-  CASE WHEN o_custkey % 6 <> 0 THEN o_totalprice * (0.9 + (o_custkey % 20) / 100.0) END AS q_obs, CASE WHEN o_custkey % 2 = 0 THEN 1.0 END AS bhp_obs FROM orders)
-SELECT o_orderkey, round(CASE WHEN ctrl_phase = 2 THEN q_ctrl ELSE coalesce(q_obs, q_ctrl) END, 2) AS q_pin,
+  CASE WHEN o_custkey % 6 <> 0 THEN o_totalprice * (0.75 + (o_custkey % 4) * 0.25)::DOUBLE END AS q_obs, CASE WHEN o_custkey % 2 = 0 THEN 1.0 END AS bhp_obs FROM orders)
+SELECT o_orderkey, round(CASE WHEN ctrl_phase = 2 THEN q_ctrl ELSE coalesce(q_obs, q_ctrl) END, 4) AS q_pin,
   coalesce(is_rate AND bhp_obs IS NOT NULL AND abs(q_obs) < 0.99 * abs(q_ctrl), false) AS binding FROM s""")
 def realized_mode(spark, d):
     c, p = F.col("o_custkey"), F.col("o_totalprice")
-    s = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderpriority") < "4").alias("is_rate"), (F.col("o_orderkey") % 3).cast("int").alias("ctrl_phase"), p.alias("q_ctrl"), F.when(c % 6 != 0, p * (F.lit(0.9) + (c % 20) / 100.0)).alias("q_obs"), F.when(c % 2 == 0, 1.0).alias("bhp_obs"))
-    return wells.realized_mode(s).select("o_orderkey", _r("q_pin", 2).alias("q_pin"), "binding")
+    s = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderpriority") < "4").alias("is_rate"), (F.col("o_orderkey") % 3).cast("int").alias("ctrl_phase"), p.alias("q_ctrl"), F.when(c % 6 != 0, p * (F.lit(0.75) + (c % 4) * 0.25)).alias("q_obs"), F.when(c % 2 == 0, 1.0).alias("bhp_obs"))
+    return wells.realized_mode(s).select("o_orderkey", _r("q_pin").alias("q_pin"), "binding")
 
 
 @query("""
