@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.operators.aggregates import with_totals
+from terrane.plans.storage import written
 
 
 def running_tops(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, out: str = "top") -> DataFrame:
@@ -26,20 +27,25 @@ def run_lengths(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return marked.groupBy(*by, "run").agg(F.min(value).alias(value), F.count(F.lit(1)).alias("n"))
 
 
-def first_appearance_ids(df: DataFrame, key: Sequence[str], position: Column, out: str = "vertex_id") -> DataFrame:
-    """Distinct keys numbered from 0 by their first position.
+def sorted_ids(df: DataFrame, key: Sequence[str], out: str, order: Sequence[str] | None = None) -> DataFrame:
+    """Distinct keys numbered from 0 in their order (``order``: columns to go by instead, of a table that is distinct already).
 
-    Counts by range come first, so that numbering runs in parallel over ranges of positions.
+    A range sort spreads the keys evenly whatever their values; its parts are written, so that
+    counts and numbers come from the same ones, and numbered side by side.
     """
-    firsts = df.groupBy(*key).agg(F.min(position).alias("first_pos"))
-    w = Window.orderBy("first_pos")
-    buckets = with_totals(firsts, F.min("first_pos").alias("__lo"), F.max("first_pos").alias("__hi"))
-    width = F.floor((F.col("__hi") - F.col("__lo")) / 256) + 1
-    buckets = buckets.withColumn("__b", F.floor((F.col("first_pos") - F.col("__lo")) / width)).drop("__lo", "__hi")
-    sizes = buckets.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # 257 rows at most
+    rows = df.select(*key).distinct() if order is None else df
+    by = list(order or key)
+    parts = written(rows.repartitionByRange(*by).withColumn("__b", F.spark_partition_id()))
+    sizes = parts.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # a row a part
     offsets = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    w = Window.partitionBy("__b").orderBy("first_pos", *key)
-    return buckets.join(F.broadcast(offsets), "__b").withColumn(out, F.col("__before") + F.row_number().over(w) - 1).drop("__b", "__before")
+    w = Window.partitionBy("__b").orderBy(*by)
+    return parts.join(F.broadcast(offsets), "__b").withColumn(out, F.col("__before") + F.row_number().over(w) - 1).drop("__b", "__before")
+
+
+def first_appearance_ids(df: DataFrame, key: Sequence[str], position: Column, out: str = "vertex_id") -> DataFrame:
+    """Distinct keys numbered from 0 by their first position."""
+    firsts = df.groupBy(*key).agg(F.min(position).alias("first_pos"))
+    return sorted_ids(firsts, key, out, ["first_pos", *key])
 
 
 def softmax(df: DataFrame, by: Sequence[str], value: Column, out: str = "weight") -> DataFrame:
