@@ -26,11 +26,14 @@ def fault_faces(faults: DataFrame) -> DataFrame:
 
 
 def in_boxes(cells: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """Cells (0-based) inside each of a few boxes (key, i1..k2; 1-based inclusive): aquifer connections."""
-    inside = F.lit(True)
+    """Cells (0-based) inside each box (key, i1..k2; 1-based inclusive): aquifer connections.
+
+    Boxes are written out as addresses, so that cells meet them by equality at any number of boxes.
+    """
+    spread = boxes
     for a in "ijk":
-        inside = inside & (F.col(a) >= F.col(f"{a}1") - 1) & (F.col(a) <= F.col(f"{a}2") - 1)
-    return cells.join(F.broadcast(boxes), inside).select(key, "cell_id")
+        spread = spread.filter(F.col(f"{a}1") <= F.col(f"{a}2")).withColumn(a, F.explode(F.sequence(F.col(f"{a}1") - 1, F.col(f"{a}2") - 1)))
+    return cells.join(spread.select(key, *"ijk"), list("ijk")).select(key, "cell_id")
 
 
 def base_zero(df: DataFrame, dims: dict[str, int]) -> DataFrame:

@@ -30,6 +30,8 @@ KEYWORDS = {
     "MULTIPLY": "target:s value:d i1:i i2:i j1:i j2:i k1:i k2:i",
     "ADD": "target:s value:d i1:i i2:i j1:i j2:i k1:i k2:i",
     "COPY": "source:s target:s i1:i i2:i j1:i j2:i k1:i k2:i",
+    "RESTART": "name:s step:i",
+    "RESTARTDATE": "name:s step:i day:i month:s year:i",
 }
 #: Columns of the function tables; the first is the domain.
 TABLES = {
@@ -132,6 +134,15 @@ def open_blocks(completed: DataFrame, ts: Column) -> DataFrame:
     return completed.filter(F.col("ts").isNull() | (F.col("ts") <= ts)).withColumn("__r", F.row_number().over(w)).filter((F.col("__r") == 1) & ~F.col("status").isin(*CLOSED)).drop("__r")
 
 
+def output_dates(records: DataFrame) -> DataFrame:
+    """path, place and ts of an ARRAY DATE list; arrays of another kind are passed over."""
+    own = records.filter((F.col("keyword") == "ARRAY") & (F.col("record_no") == 0) & (F.upper(F.get("tokens", 0)) == "DATE"))
+    n = F.floor((F.size("tokens") - 1) / 3).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice("tokens", k * 3 + 2, 3))
+    rows = own.filter(n > 0).select("path", F.posexplode(groups).alias("place", "t"))
+    return rows.select("path", "place", eclipse_date(F.col("t")).alias("ts"))
+
+
 def unit_system(records: DataFrame) -> DataFrame:
     """path and METRIC, FIELD or LAB: the first bare keyword of the three, else FIELD."""
     found = records.groupBy("path").agg(F.min_by(F.when(F.col("keyword").isin("METRIC", "FIELD", "LAB"), F.col("keyword")), F.when(F.col("keyword").isin("METRIC", "FIELD", "LAB"), F.col("seq"))).alias("u"))
