@@ -149,3 +149,36 @@ def add_aligned(parts: Sequence[DataFrame], node: str, date: str, value: str) ->
         rows = rows.unionByName(p.select(node, date, value))
     total = rows.groupBy(node, date).agg(F.sum(value).alias("total"))
     return total.withColumn("cumulative", F.sum("total").over(Window.partitionBy(node).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def relative_error(predicted: Column, observed: Column, least: float = 1.0) -> Column:
+    """``|predicted - observed| / max(observed, least)``."""
+    return F.abs(predicted - observed) / F.greatest(observed, F.lit(least))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each group, exact, and ``top``, the largest value; nulls don't count.
+
+    Equal values are counted first; ranks come from a range sort in parts and the two neighbours of
+    each place are picked by rank, so no group is held in one task.
+    """
+    from terrane.operators.windows import running_counts
+
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = running_counts(counted, [*by, "__v"], "__n", "__end")  # rows up to and with a value, over all groups
+    ends = ranked.groupBy(*by).agg(F.min(F.col("__end") - F.col("__n")).alias("__start"), F.max("__end").alias("__stop"), F.max("__v").alias("top"))
+    place = {k: q * (F.col("__stop") - F.col("__start") - 1) for k, q in at.items()}
+    x = ranked.join(ends, list(by))
+    holds = lambda r: (F.col("__end") - F.col("__n") - F.col("__start") <= r) & (r < F.col("__end") - F.col("__start"))
+    low = {f"__l_{k}": F.max(F.when(holds(F.floor(p)), F.col("__v"))) for k, p in place.items()}
+    high = {f"__h_{k}": F.max(F.when(holds(F.ceil(p)), F.col("__v"))) for k, p in place.items()}
+    part = {f"__p_{k}": F.max(p - F.floor(p)) for k, p in place.items()}
+    out = x.groupBy(*by).agg(F.max("top").alias("top"), *[c.alias(n) for n, c in (low | high | part).items()])
+    return out.select(*by, *[(F.col(f"__l_{k}") + F.col(f"__p_{k}") * (F.col(f"__h_{k}") - F.col(f"__l_{k}"))).alias(k) for k in at], "top")
+
+
+def largest(df: DataFrame, by: Sequence[str], kind: str, value: str) -> DataFrame:
+    """The kind with the largest total of each group, ties to the first by name, and that ``total``."""
+    t = df.groupBy(*by, kind).agg(F.sum(value).alias("total"))
+    best = t.groupBy(*by).agg(F.min_by(F.struct(kind, "total"), F.struct((-F.col("total")).alias("t"), kind)).alias("b"))
+    return best.select(*by, F.col(f"b.{kind}").alias(kind), "b.total")

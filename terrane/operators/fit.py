@@ -67,6 +67,21 @@ class Network:
         tape.append(s)
         return s @ p["out.w"] + p["out.b"], tape
 
+    def tangent(self, flat: np.ndarray, x: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(outputs, their change for a change ``dx`` of the inputs), forward in one pass."""
+        p = self.unflatten(flat)
+        s = np.tanh(x @ p["in.w"] + p["in.b"])
+        ds = (1 - s * s) * (dx @ p["in.w"])
+        for k in range(self.blocks):
+            def gate(g: str, t: np.ndarray, dt: np.ndarray, k: int = k) -> tuple[np.ndarray, np.ndarray]:
+                v = np.tanh(x @ p[f"{k}.{g}.u"] + t @ p[f"{k}.{g}.w"] + p[f"{k}.{g}.b"])
+                return v, (1 - v * v) * (dx @ p[f"{k}.{g}.u"] + dt @ p[f"{k}.{g}.w"])
+
+            (z, dz), (g, dg), (r, dr) = gate("z", s, ds), gate("g", s, ds), gate("r", s, ds)
+            h, dh = gate("h", s * r, ds * r + s * dr)
+            s, ds = (1 - g) * h + z * s, -dg * h + (1 - g) * dh + dz * s + z * ds
+        return s @ p["out.w"] + p["out.b"], ds @ p["out.w"]
+
     def jacobian(self, flat: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(outputs (n, o), derivatives (n, o, parameters))."""
         p = self.unflatten(flat)
@@ -111,7 +126,7 @@ def predict(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str]
             y, _ = net.forward(flat, pdf[list(inputs)].to_numpy(float))
             yield pdf[list(keys)].assign(y=list(y))
 
-    return df.select(*keys, *inputs).mapInPandas(run, f"{kinds}, y array<double>")
+    return df.select(*dict.fromkeys([*keys, *inputs])).mapInPandas(run, f"{kinds}, y array<double>")
 
 
 def normal_equations(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], weight: str | None = None, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -175,6 +190,102 @@ def damped_direction(g: np.ndarray, v: np.ndarray, damping: float, rungs: int =
     return np.where(np.isfinite(d), d, 0.0)
 
 
+def rowspace_direction(jac: np.ndarray, r: np.ndarray, damping: float, shift: np.ndarray | None = None, rungs: int = 3) -> np.ndarray:
+    """``J^T a`` with ``(J J^T + damping diag) a = 2 r - shift``: the same step by rows, for fewer rows than parameters.
+
+    ``jac`` and ``r`` are one batch on the driver; its rows are bounded by what is sampled.
+    """
+    rhs = 2.0 * r - (0.0 if shift is None else shift)
+    return jac.T @ damped_direction(jac @ jac.T, rhs, damping, rungs)
+
+
+@dataclass(frozen=True)
+class Phase:
+    """``iterations`` of a method (``gauss_newton`` or ``adam``) with its step size at the start and at the end."""
+
+    method: str
+    iterations: int
+    rate: float = 1e-3
+    last_rate: float | None = None
+
+    def rate_at(self, k: int) -> float:
+        """Step size of the phase's k-th iteration (from 0), falling by equal factors."""
+        if self.last_rate is None or self.iterations < 2:
+            return self.rate
+        return self.rate * (self.last_rate / self.rate) ** (k / (self.iterations - 1))
+
+
+@dataclass
+class Adam:
+    """Adam's running moments; ``step`` gives the change of the parameters for a gradient."""
+
+    size: int
+    b1: float = 0.9
+    b2: float = 0.999
+    eps: float = 1e-8
+
+    def __post_init__(self) -> None:
+        self.m, self.v, self.n = np.zeros(self.size), np.zeros(self.size), 0
+
+    def step(self, grad: np.ndarray, rate: float) -> np.ndarray:
+        self.n += 1
+        self.m = self.b1 * self.m + (1 - self.b1) * grad
+        self.v = self.b2 * self.v + (1 - self.b2) * grad * grad
+        return -rate * (self.m / (1 - self.b1**self.n)) / (np.sqrt(self.v / (1 - self.b2**self.n)) + self.eps)
+
+
+def gradient(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], chunk: int = 2048) -> tuple[np.ndarray, float]:
+    """(gradient of the mean square, mean square): each partition adds up its own, one vector a partition is sent."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, loss, n = np.zeros(net.size), 0.0, 0
+        for pdf in batches:
+            for a in range(0, len(pdf), chunk):
+                part = pdf.iloc[a : a + chunk]
+                y, jac = net.jacobian(flat, part[list(inputs)].to_numpy(float))
+                r = y - part[list(targets)].to_numpy(float)
+                v += np.einsum("nop,no->p", jac, r)
+                loss, n = loss + float((r * r).sum()), n + len(part)
+        yield pd.DataFrame({"v": [v.tolist()], "loss": [loss], "n": [n]})
+
+    v, loss, n = np.zeros(net.size), 0.0, 0
+    for row in df.select(*inputs, *targets).mapInPandas(run, "v array<double>, loss double, n long").toLocalIterator():
+        v, loss, n = v + np.array(row["v"]), loss + row["loss"], n + row["n"]
+    return 2.0 * v / max(n, 1), loss / max(n, 1)
+
+
+def scheduled(df: DataFrame, net: Network, inputs: Sequence[str], targets: Sequence[str], phases: Sequence[Phase], seed: int = 0, damping: float = 1e-6) -> Iterator[tuple[int, str, float, np.ndarray]]:
+    """(iteration, method, loss before an Adam step or after a Gauss-Newton one, parameters) over the phases in turn; a phase that stalls ends."""
+    flat, done, adam = net.init(seed), 0, Adam(net.size)
+    for phase in phases:
+        if phase.method not in ("gauss_newton", "adam"):
+            raise ValueError(f"unknown method {phase.method}")
+        for k in range(phase.iterations):
+            if phase.method == "adam":
+                grad, loss = gradient(df, net, flat, inputs, targets)
+                flat, size = flat + adam.step(grad, phase.rate_at(k)), 1.0
+            else:
+                flat, size, loss = step(df, net, flat, inputs, targets, damping)
+            done += 1
+            yield done, phase.method, loss, flat
+            if size == 0.0:
+                break
+
+
+def predict_with_rate(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], along: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """keys, y and dy: outputs and their derivative along a direction of the inputs (columns ``along``, the inputs' own rate in time)."""
+    ship(df.sparkSession)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            y, dy = net.tangent(flat, pdf[list(inputs)].to_numpy(float), pdf[list(along)].to_numpy(float))
+            yield pdf[list(keys)].assign(y=list(y), dy=list(dy))
+
+    return df.select(*dict.fromkeys([*keys, *inputs, *along])).mapInPandas(run, f"{kinds}, y array<double>, dy array<double>")
+
+
 def effective_dimension(g: np.ndarray, damping: float) -> float:
     values = np.maximum(np.linalg.eigvalsh(g), 0.0)
     return float((values / (values + damping)).sum())

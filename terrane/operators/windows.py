@@ -42,6 +42,15 @@ def sorted_ids(df: DataFrame, key: Sequence[str], out: str, order: Sequence[str]
     return parts.join(F.broadcast(offsets), "__b").withColumn(out, F.col("__before") + F.row_number().over(w) - 1).drop("__b", "__before")
 
 
+def running_counts(df: DataFrame, key: Sequence[str], count: str, out: str) -> DataFrame:
+    """Rows with the sum of ``count`` up to and with them in the order of distinct ``key``, over the whole table: by range, in parts."""
+    parts = written(df.repartitionByRange(*key).withColumn("__b", F.spark_partition_id()))
+    sizes = parts.groupBy("__b").agg(F.sum(count).alias("__s"))  # a row a part
+    offsets = sizes.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))
+    w = Window.partitionBy("__b").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.join(F.broadcast(offsets), "__b").withColumn(out, F.col("__before") + F.sum(count).over(w)).drop("__b", "__before")
+
+
 def first_appearance_ids(df: DataFrame, key: Sequence[str], position: Column, out: str = "vertex_id") -> DataFrame:
     """Distinct keys numbered from 0 by their first position."""
     firsts = df.groupBy(*key).agg(F.min(position).alias("first_pos"))

@@ -16,11 +16,12 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the workers, once an application.
 
-    Nothing is sent where the workers' ``PYTHONPATH`` has it already.
+    Nothing is sent on a local master whose ``PYTHONPATH`` has it already; executors elsewhere always get it.
     """
     app = spark.sparkContext.applicationId
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    if app in _shipped or str(ROOT) in paths:
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if app in _shipped or (local and str(ROOT) in paths):
         return
     target = Path(tempfile.mkdtemp(prefix="terrane-")) / "terrane.zip"
     with zipfile.ZipFile(target, "w") as z:

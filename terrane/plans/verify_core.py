@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.functions import scalars, units
+from terrane.functions import sampling, scalars, units
 from terrane.operators import aggregates as agg
 from terrane.operators import joins, temporal, windows
 from terrane.plans.registry import query, table
+from terrane.streaming import messages
 
 
 def _events(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
@@ -311,17 +312,16 @@ def share_keep_threshold(spark, d):
 SELECT l_returnflag, round(median(e), 6) AS p50, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS top
 FROM (SELECT l_returnflag, abs(l_extendedprice / 1000 - l_quantity) / greatest(l_quantity, 1) AS e FROM lineitem) GROUP BY 1""")
 def relative_error_quantiles(spark, d):
-    e = table(spark, d, "lineitem").withColumn("e", F.abs(F.col("l_extendedprice") / 1000 - F.col("l_quantity")) / F.greatest("l_quantity", F.lit(1.0)))
-    return e.groupBy("l_returnflag").agg(_r(F.percentile("e", 0.5), 6).alias("p50"), _r(F.percentile("e", 0.95), 6).alias("p95"), _r(F.max("e"), 6).alias("top"))
+    e = table(spark, d, "lineitem").withColumn("e", agg.relative_error(F.col("l_extendedprice") / 1000, F.col("l_quantity")))
+    return agg.exact_quantiles(e, ["l_returnflag"], "e", {"p50": 0.5, "p95": 0.95}).select("l_returnflag", _r("p50", 6).alias("p50"), _r("p95", 6).alias("p95"), _r("top", 6).alias("top"))
 
 
 @query("""
 WITH t AS (SELECT user_id, event_type, sum(value) AS s FROM events GROUP BY 1, 2)
 SELECT user_id, event_type AS phase, round(s, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS r FROM t) WHERE r = 1""")
 def argmax_phase(spark, d):
-    t = _events(spark, d).groupBy("user_id", "event_type").agg(F.sum("value").alias("s"))
-    m = t.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("s"), "event_type")).alias("phase"), F.max("s").alias("total"))
-    return m.select("user_id", "phase", _r("total").alias("total"))
+    m = agg.largest(_events(spark, d), ["user_id"], "event_type", "value")
+    return m.select("user_id", F.col("event_type").alias("phase"), _r("total").alias("total"))
 
 
 @query("""
@@ -330,7 +330,8 @@ dir AS (SELECT user_id, coalesce(sign(max(q) FILTER (event_type = 'signup')), 0)
 SELECT event_id, dir::INT AS dir, (dir = 0 OR sign(q) = dir) AS kept FROM c JOIN dir USING (user_id)""")
 def flow_direction_mask(spark, d):
     c = _events(spark, d).select("user_id", "event_id", "event_type", (F.col("value") - 50).alias("q"))
-    way = c.groupBy("user_id").agg(F.coalesce(F.signum(F.max(F.when(F.col("event_type") == "signup", F.col("q")))), F.lit(0.0)).cast("int").alias("dir"))
+    top = c.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("q"))).alias("q_ctrl"))
+    way = top.select("user_id", F.coalesce(scalars.flow_direction(F.lit(True), F.col("q_ctrl"), F.lit(0.0)), F.lit(0.0)).cast("int").alias("dir"))
     return c.join(way, "user_id").select("event_id", "dir", ((F.col("dir") == 0) | (F.signum("q") == F.col("dir"))).alias("kept"))
 
 
@@ -358,9 +359,7 @@ pick AS (SELECT DISTINCT round_even(i * (m - 1) / 99.0, 0)::BIGINT AS k FROM (SE
 SELECT event_id FROM n JOIN pick USING (k)""")
 def strided_cap(spark, d):
     ids = windows.first_appearance_ids(_events(spark, d), ["event_id"], F.unix_micros(F.col("ts").cast("timestamp")), "k")
-    n = ids.agg(F.count("*").alias("m"))
-    pick = n.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.bround(i * (F.col("m") - 1) / F.lit(99.0)).cast("long")))).alias("k"))
-    return ids.withColumn("k", F.col("k").cast("long")).join(F.broadcast(pick), "k", "left_semi").select("event_id")
+    return sampling.capped(ids, "k", ids.count(), 100).select("event_id")
 
 
 @query("SELECT c_custkey, round(c_acctbal * 14.503774, 4) AS psia, round(c_nationkey * 3.28084::DOUBLE, 4) AS ft, round(c_acctbal * 6.28981, 4) AS bbl, round(c_acctbal * 0.0353147, 4) AS mscf FROM customer")
@@ -461,8 +460,8 @@ def comment_strip_tokens(spark, d):
 
 @query("SELECT event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2")
 def message_json_path(spark, d):
-    e = _events(spark, d).filter(F.col("event_type").isin("click", "view"))
-    return e.groupBy(F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    m = _events(spark, d).filter(F.col("event_type").isin("click", "view")).withColumnRenamed("props", "payload")
+    return m.groupBy(F.col("event_type").alias("kind"), messages.field_of("7.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("""

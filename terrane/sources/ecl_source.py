@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terrane.operators.windows import sorted_ids
 from terrane.plans.shipping import ship
 
 SCHEMA = "path string, ordinal int, step int, name string, kind string, numbers array<double>, strings array<string>"
@@ -130,4 +131,56 @@ def well_results(spark: SparkSession, specs: str, summary: str) -> DataFrame:
     s = read(spark, specs, "KEYWORDS,WGNAMES").groupBy().agg(F.max(F.when(F.col("name") == "KEYWORDS", F.col("strings"))).alias("k"), F.max(F.when(F.col("name") == "WGNAMES", F.col("strings"))).alias("w"))
     addresses = s.select(F.posexplode(F.arrays_zip("k", "w")).alias("pos", "a")).select("pos", F.col("a.k").alias("keyword"), F.upper("a.w").alias("well")).filter(F.col("keyword").startswith("W") & F.col("well").rlike("^[A-Za-z0-9]"))
     values = read(spark, summary, "PARAMS").select(F.col("ordinal").alias("step"), F.posexplode("numbers").alias("pos", "value"))
-    return values.join(F.broadcast(addresses), "pos").select("step", "well", "keyword", "value")
+    return values.join(addresses, "pos").select("step", "well", "keyword", "value")
+
+
+def dimensions(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(nx, ny, nz) out of a grid file's header."""
+    head = read(spark, path, "GRIDHEAD").filter("name = 'GRIDHEAD'").select(F.slice("numbers", 2, 3)).first()
+    if head is None:
+        raise ValueError(f"{path} has no GRIDHEAD")
+    return tuple(int(v) for v in head[0])
+
+
+def pillars(spark: SparkSession, path: str) -> DataFrame:
+    """pi, pj and both ends (x0, y0, z0, x1, y1, z1) of the pillars of a grid file."""
+    nx, _, _ = dimensions(spark, path)
+    rows = read(spark, path, "COORD").select(F.posexplode("numbers").alias("pos", "v"))
+    at = F.floor(F.col("pos") / 6)
+    names = ("x0", "y0", "z0", "x1", "y1", "z1")
+    wide = rows.groupBy((at % (nx + 1)).cast("int").alias("pi"), F.floor(at / (nx + 1)).cast("int").alias("pj"))
+    return wide.agg(*[F.max(F.when(F.col("pos") % 6 == n, F.col("v"))).alias(c) for n, c in enumerate(names)])
+
+
+def corner_depths(spark: SparkSession, path: str) -> DataFrame:
+    """cell_id, i, j, k, slot and z of the corners of a grid file; of both corners on an axis the near one comes first."""
+    nx, ny, _ = dimensions(spark, path)
+    rows = read(spark, path, "ZCORN").select(F.posexplode("numbers").alias("pos", "z"))
+    x, rest = F.col("pos") % (2 * nx), F.floor(F.col("pos") / (2 * nx))
+    y, z = rest % (2 * ny), F.floor(rest / (2 * ny))
+    half = lambda c: F.floor(c / 2).cast("int")
+    cells = rows.select(half(x).alias("i"), half(y).alias("j"), half(z).alias("k"), (x % 2 + 2 * (y % 2) + 4 * (z % 2)).cast("int").alias("slot"), "z")
+    return cells.select((F.col("i") + nx * (F.col("j") + ny * F.col("k"))).cast("long").alias("cell_id"), "i", "j", "k", "slot", "z")
+
+
+def active_cells(spark: SparkSession, path: str) -> DataFrame:
+    """cell_id and ``rank`` (from 0) of the active cells of a grid file; without ACTNUM all are."""
+    nx, ny, nz = dimensions(spark, path)
+    own = read(spark, path, "ACTNUM").filter("name = 'ACTNUM'")
+    if own.isEmpty():
+        return spark.range(nx * ny * nz).select(F.col("id").alias("cell_id"), F.col("id").alias("rank"))
+    rows = own.select(F.posexplode("numbers").alias("cell_id", "v")).filter("v > 0").select(F.col("cell_id").cast("long").alias("cell_id"))
+    return sorted_ids(rows, ["cell_id"], "rank")
+
+
+def initial(spark: SparkSession, grid: str, path: str, attributes: tuple[str, ...] = ("PORO", "PERMX", "PERMY", "PERMZ", "NTG")) -> DataFrame:
+    """cell_id and one column an attribute (null in inactive cells) out of an INIT file; arrays are of all or of the active cells."""
+    nx, ny, nz = dimensions(spark, grid)
+    n = nx * ny * nz
+    rows = read(spark, path, ",".join(attributes)).filter(F.col("name").isin(*attributes))
+    whole = rows.filter(F.size("numbers") == n).select("name", F.posexplode("numbers").alias("cell_id", "v")).select("name", F.col("cell_id").cast("long").alias("cell_id"), "v")
+    part = rows.filter(F.size("numbers") < n).select("name", F.posexplode("numbers").alias("rank", "v")).withColumn("rank", F.col("rank").cast("long"))
+    live = active_cells(spark, grid)
+    inside = part.join(live, "rank").select("name", "cell_id", "v")
+    cells = whole.join(live, "cell_id", "left_semi").unionByName(inside)
+    return cells.groupBy("cell_id").pivot("name", list(attributes)).agg(F.first("v")).withColumnsRenamed({a: a.lower() for a in attributes})

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.operators.windows import run_lengths
+from terrane.sources.deck_source import SECTIONS
 
 PER_LINE = 40
 
@@ -42,3 +43,44 @@ def table_text(df: DataFrame, columns: Sequence[str], outer: str | None = None)
 def date_text(ts: Column) -> Column:
     """A DATES record; July is JLY."""
     return F.concat(F.regexp_replace(F.upper(F.date_format(ts, "d MMM yyyy")), "JUL", "JLY"), F.lit(" /"))
+
+
+def dump_arrays(df: DataFrame, path: str, attrs: Sequence[str], order: str, fmt: str = "%f") -> None:
+    """Array keywords as text, a folder ``attr=NAME`` with one file for each: header, lines with repeat counts, a slash.
+
+    Truth values are written as 0 and 1. A keyword's lines have one order, so one task writes
+    them; the finding of runs before it is spread by attribute.
+    """
+    kinds = dict(df.dtypes)
+    value = lambda a: (F.col(a).cast("int") if kinds[a] == "boolean" else F.col(a)).cast("double")
+    each = F.explode(F.array(*[F.struct(F.lit(a.upper()).alias("attr"), value(a).alias("v")) for a in attrs]))
+    long = df.select(order, each.alias("e")).select(order, "e.attr", "e.v")
+    body = array_text(long, ["attr"], order, "v", fmt).select("attr", "line", "text")
+    names = df.sparkSession.createDataFrame([(a.upper(),) for a in attrs], "attr string")
+    edges = names.select("attr", F.lit(-1).cast("long").alias("line"), F.col("attr").alias("text")).unionByName(names.select("attr", F.lit((1 << 62)).alias("line"), F.lit("/").alias("text")))
+    body.unionByName(edges).repartition("attr").sortWithinPartitions("attr", "line").select("attr", F.col("text").alias("value")).write.mode("overwrite").partitionBy("attr").text(path)
+
+
+def dump_tables(tables: dict[str, DataFrame], root: str, only_active: str | None = None, single: bool = False) -> None:
+    """A model's tables as Parquet, one folder each; ``only_active`` names the flag to filter by where a table has it, ``single`` halves doubles."""
+    for name, df in tables.items():
+        out = df.filter(F.col(only_active)) if only_active is not None and only_active in df.columns else df
+        if single:
+            out = out.withColumns({c: F.col(c).cast("float") for c, t in out.dtypes if t == "double"})
+        out.write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def load_tables(spark: SparkSession, root: str, names: Sequence[str], attrs: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Tables that ``dump_tables`` wrote; ``attrs`` are the columns to read where a table has them."""
+    out = {n: spark.read.parquet(f"{root}/{n}") for n in names}
+    return out if attrs is None else {n: df.select(*[c for c in df.columns if c in attrs]) for n, df in out.items()}
+
+
+def main_deck(title: str, dims: Sequence[int], units: str, start: str, includes: dict[str, Sequence[str]]) -> str:
+    """The text of a deck that includes a model's parts by section, in the order of sections."""
+    lines = ["RUNSPEC", "TITLE", title, "DIMENS", f"{' '.join(str(d) for d in dims)} /", units, "START", f"{start} /"]
+    for section in SECTIONS[1:]:
+        parts = includes.get(section, ())
+        if parts or section in ("GRID", "PROPS", "SOLUTION", "SCHEDULE"):
+            lines += [section, *[x for part in parts for x in ("INCLUDE", f"'{part}' /")]]
+    return "\n".join([*lines, "END", ""])
