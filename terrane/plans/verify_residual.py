@@ -32,9 +32,9 @@ def accumulation(spark, d):
 
 
 @query(_PROPS + """
-SELECT l_orderkey, l_partkey, l_suppkey, round(pw - 0.007 * 62.4 / bw * (depth + 1 / 7::DOUBLE) * 1000, 4) AS w, round(po - 0.007 * (49.1 + rs * 0.06) / bo * (depth + 1 / 7::DOUBLE) * 1000, 4) AS o, round(pg - 0.007 * 0.06 / bg * (depth + 1 / 7::DOUBLE) * 1000, 4) AS g FROM b""")
+SELECT l_orderkey, l_partkey, l_suppkey, round(pw - 0.0069444 * 62.4 / bw * (depth + 1 / 7::DOUBLE) * 1000, 4) AS w, round(po - 0.0069444 * (49.1 + rs * 0.06) / bo * (depth + 1 / 7::DOUBLE) * 1000, 4) AS o, round(pg - 0.0069444 * 0.06 / bg * (depth + 1 / 7::DOUBLE) * 1000, 4) AS g FROM b""")
 def phase_potentials(spark, d):
-    p = residual.potentials(_T, {"w": 62.4, "o": 49.1, "g": 0.06}, 0.007, (F.col("depth") + 1 / 7) * 1000)
+    p = residual.potentials(_T, {"w": 62.4, "o": 49.1, "g": 0.06}, 0.0069444, (F.col("depth") + 1 / 7) * 1000)
     return _state(spark, d).select(*_KEYS, *[_r(p[k]).alias(k) for k in "wog"])
 
 
