@@ -96,6 +96,18 @@ def unlog_time(tau: Column, t0: float, scale: float) -> Column:
     return t0 + scale * F.expm1(tau)
 
 
+def time_channel(t: Column, t_end: float, warp: float | None = None) -> Column:
+    """Time as a feature from -1 to 1: linear, or by logarithm over ``warp``."""
+    part = t / t_end if warp is None else F.log1p(t / warp) / math.log1p(t_end / warp)
+    return 2 * part - 1
+
+
+def time_of_channel(tau: Column, t_end: float, warp: float | None = None) -> Column:
+    """Inverse of ``time_channel``."""
+    part = (tau + 1) / 2
+    return part * t_end if warp is None else warp * F.expm1(part * math.log1p(t_end / warp))
+
+
 def warp_scores(df: DataFrame, by: Sequence[str], order: str, elapsed: str, candidates: Sequence[float]) -> DataFrame:
     """Mean log spacing of warped times for each candidate scale: one window, all candidates in the row."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -182,3 +182,11 @@ def largest(df: DataFrame, by: Sequence[str], kind: str, value: str) -> DataFram
     t = df.groupBy(*by, kind).agg(F.sum(value).alias("total"))
     best = t.groupBy(*by).agg(F.min_by(F.struct(kind, "total"), F.struct((-F.col("total")).alias("t"), kind)).alias("b"))
     return best.select(*by, F.col(f"b.{kind}").alias(kind), "b.total")
+
+
+def rmse_mean(df: DataFrame, step: str, predicted: str, observed: str, steps: int) -> DataFrame:
+    """One row: the mean over ``steps`` evenly spaced steps of each one's RMSE, and that of the last step."""
+    from terrane.operators.joins import even_subset
+
+    each = rmse(even_subset(df, step, steps), [step], predicted, observed)
+    return each.agg(F.avg("rmse").alias("mean"), F.max_by("rmse", step).alias("final"), F.count("*").alias("n"))

@@ -62,26 +62,75 @@ def cell_geometry(cells: DataFrame) -> DataFrame:
 
 
 def element_triplets(cells: DataFrame, kind: str) -> DataFrame:
-    """(row, col, val) of each cell's stiffness (with kx, ky, kz) or mass block; cells have vertex ids ``v`` (8)."""
+    """(row, col, val) of each cell's block: mass, stiffness (with kx, ky, kz) or its part along x, y or z; cells have vertex ids ``v`` (8)."""
     ship(cells.sparkSession)
-    if kind not in ("stiffness", "mass"):
+    _known(kind)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = np.array(pdf["v"].tolist(), np.int64)
+            yield pd.DataFrame({"row": np.repeat(v, 8, 1).ravel(), "col": np.tile(v, (1, 8)).ravel(), "val": _blocks(pdf, kind).ravel()})
+
+    return cells.select("corners", "v", *_permeabilities(kind)).mapInPandas(run, "row long, col long, val double")
+
+
+def _known(kind: str) -> None:
+    if kind not in ("stiffness", "mass", "x", "y", "z"):
         raise ValueError(kind)
 
+
+def _permeabilities(kind: str) -> list[str]:
+    return ["kx", "ky", "kz"] if kind == "stiffness" else [f"k{kind}"] if kind in "xyz" else []
+
+
+def _blocks(pdf: pd.DataFrame, kind: str) -> np.ndarray:
+    """8 x 8 blocks of cells: mass, stiffness, or the part of the stiffness along one axis; the three add up to the whole."""
+    n, _ = shapes()
+    det, grad, _ = geometry(_corners(pdf))
+    w = np.abs(det)
+    if kind == "mass":
+        return np.einsum("ng,gi,gj->nij", w, n, n)
+    k = np.zeros((len(pdf), 3))
+    for a, c in enumerate(("kx", "ky", "kz")):
+        if c in _permeabilities(kind):
+            k[:, a] = pdf[c].to_numpy(float)
+    return np.einsum("ng,ngia,na,ngja->nij", w, grad, k, grad)
+
+
+def action(cells: DataFrame, nodal: DataFrame, kind: str, value: str = "x") -> DataFrame:
+    """vertex_id and y: the operator on a nodal field, block by block, without assembling it.
+
+    Cells gather their eight values by two joins on ids; what comes back is added up by vertex.
+    """
+    ship(cells.sparkSession)
+    _known(kind)
+    wanted = cells.select("cell_id", F.posexplode("v").alias("slot", "vertex_id"))
+    held = wanted.join(nodal.select("vertex_id", F.col(value).alias("__x")), "vertex_id").groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "__x"))), lambda e: e["__x"]).alias("x"))  # eight a cell
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, _ = shapes()
         for pdf in batches:
-            x, v = _corners(pdf), np.array(pdf["v"].tolist(), np.int64)
-            det, grad, _ = geometry(x)
-            w = np.abs(det)
-            if kind == "mass":
-                blocks = np.einsum("ng,gi,gj->nij", w, n, n)
-            else:
-                k = pdf[["kx", "ky", "kz"]].to_numpy(float)
-                blocks = np.einsum("ng,ngia,na,ngja->nij", w, grad, k, grad)
-            yield pd.DataFrame({"row": np.repeat(v, 8, 1).ravel(), "col": np.tile(v, (1, 8)).ravel(), "val": blocks.ravel()})
-
-    columns = ["corners", "v", *(["kx", "ky", "kz"] if kind == "stiffness" else [])]
-    return cells.select(*columns).mapInPandas(run, "row long, col long, val double")
+            y = np.einsum("nij,nj->ni", _blocks(pdf, kind), np.array(pdf["x"].tolist(), float))
+            yield pd.DataFrame({"vertex_id": np.array(pdf["v"].tolist(), np.int64).ravel(), "y": y.ravel()})
+
+    parts = cells.select("cell_id", "corners", "v", *_permeabilities(kind)).join(held, "cell_id").mapInPandas(run, "vertex_id long, y double")
+    return parts.groupBy("vertex_id").agg(F.sum("y").alias("y"))
+
+
+def centroid_gradients(cells: DataFrame, nodal: DataFrame, value: str = "x") -> DataFrame:
+    """cell_id, value and gx, gy, gz of a nodal field at the middle of each cell."""
+    ship(cells.sparkSession)
+    wanted = cells.select("cell_id", F.posexplode("v").alias("slot", "vertex_id"))
+    held = wanted.join(nodal.select("vertex_id", F.col(value).alias("__x")), "vertex_id").groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "__x"))), lambda e: e["__x"]).alias("x"))  # eight a cell
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        middle = SIGNS / 8
+        for pdf in batches:
+            jac = np.einsum("ka,nkb->nab", middle, _corners(pdf))
+            x = np.array(pdf["x"].tolist(), float)
+            g = np.linalg.solve(jac, np.einsum("ka,nk->na", middle, x)[..., None])[..., 0]
+            yield pd.DataFrame({"cell_id": pdf["cell_id"], "value": x.mean(1), "gx": g[:, 0], "gy": g[:, 1], "gz": g[:, 2]})
+
+    return cells.select("cell_id", "corners").join(held, "cell_id").mapInPandas(run, "cell_id long, value double, gx double, gy double, gz double")
 
 
 def operator(cells: DataFrame, kind: str) -> DataFrame:

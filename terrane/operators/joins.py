@@ -97,6 +97,20 @@ def match_multiset(left: DataFrame, right: DataFrame, key: Sequence[str], left_o
     return number(left, left_order).join(r, [*key, "__k"], "left").withColumnRenamed("__k", "k")
 
 
+def match_or_default(left: DataFrame, right: DataFrame, group: Sequence[str], key: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], values: dict[str, object]) -> DataFrame:
+    """Left rows with the ``values`` of the k-th right row of their key; a group with a row that matches none has the defaults in all its rows.
+
+    ``values`` maps right columns to their defaults; ``complete`` tells which groups matched.
+    """
+    both = [*group, *key]
+    number = lambda df, order: df.withColumn("__k", F.row_number().over(Window.partitionBy(*both).orderBy(*order)))
+    r = number(right, right_order).select(*both, "__k", *values, F.lit(True).alias("__hit"))
+    j = number(left, left_order).join(r, [*both, "__k"], "left")
+    found = j.groupBy(*group).agg(F.bool_and(F.coalesce("__hit", F.lit(False))).alias("complete"))
+    out = j.join(found, list(group))
+    return out.withColumns({c: F.when(F.col("complete"), F.col(c)).otherwise(F.lit(v)) for c, v in values.items()}).drop("__k", "__hit")
+
+
 def prefix_join(names: DataFrame, patterns: DataFrame, name: str, pattern: str, least: int) -> DataFrame:
     """Rows whose name starts with a pattern (a ``*`` at its end is dropped); patterns have ``least`` characters or more.
 

@@ -74,6 +74,22 @@ def log_radius(distance: Column, r_w: float = 0.5) -> Column:
     return F.ln(F.greatest(distance, F.lit(r_w)) / r_w)
 
 
+def near_well_channel(distance: Column, offset: Sequence[Column], r0: float, r_max: float) -> tuple[Column, list[Column]]:
+    """Log distance to the nearest perforation from -1 (at ``r0`` and inside it) to 1 (``r_max``), and its gradient; ``offset`` points from the perforation."""
+    span = float(np.log(r_max) - np.log(r0))
+    r = F.greatest(distance, F.lit(r0))
+    phi = 2 * (F.ln(r) - float(np.log(r0))) / span - 1
+    return phi, [F.when(distance > r0, 2 / span * d / (r * r)).otherwise(0.0) for d in offset]
+
+
+def boundary_quads(faces: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Distinct faces (cell_id, face) as ``quad``, their four vertex ids in order; faces with fewer vertices have none."""
+    slots = F.explode(F.array(*[F.struct(F.lit(f).alias("face"), F.lit(s).alias("slot")) for f, own in FACE_SLOTS.items() for s in own]))
+    corners = faces.select("cell_id", "face", slots.alias("s")).filter("face = s.face").select("cell_id", "face", F.col("s.slot").alias("slot"))
+    quads = corners.join(incidence, ["cell_id", "slot"]).groupBy("cell_id", "face").agg(F.array_sort(F.collect_list("vertex_id")).alias("quad"))  # four a face
+    return quads.filter(F.size("quad") == 4).select("quad").distinct()
+
+
 def affine_features(value: Column, gradient: Sequence[Column], offset: Sequence[Column]) -> Column:
     """``v + (x - x_c) . g`` of a feature over a cell."""
     out = value

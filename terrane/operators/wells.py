@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions import fluids, scalars
 from terrane.operators import aggregates, temporal
+from terrane.plans.shipping import ship
 
 #: Observation channels with phase (0 oil, 1 water, 2 gas) and sign of flow.
 CHANNELS = (("wopr", 0, -1.0), ("wwpr", 1, -1.0), ("wgpr", 2, -1.0), ("wwir", 1, 1.0), ("wgir", 2, 1.0))
@@ -54,6 +59,43 @@ def tensor_index(k11: Column, k12: Column, k22: Column, d1: Column, d2: Column,
     return {"k_eff": F.when(ok, F.sqrt(a * b)), "r_e": F.when(ok, r_e), "wi": F.when(ok & (r_e > r), wi)}
 
 
+def peaceman(perforations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, h_s, r_e, wi and ``why`` of perforations (k: nine numbers, tx, ty, tz, hx, hy, hz, r_w, skin).
+
+    The permeability is turned into the well's frame, its third axis the tangent; the block across
+    the well gives index and radius. Where that block isn't positive definite, or the radius isn't
+    over the well's, ``wi`` is null and ``why`` says so: the caller may raise, or take another weight.
+    """
+    ship(perforations.sparkSession)
+    kinds = ", ".join(f"`{k}` {perforations.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+        for pdf in batches:
+            k = np.array(pdf["k"].tolist(), float).reshape(-1, 3, 3)
+            t, size = unit(pdf[["tx", "ty", "tz"]].to_numpy(float)), pdf[["hx", "hy", "hz"]].to_numpy(float)
+            up = np.where(np.abs(t[:, 2:]) < 0.9, [[0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0]])
+            a = unit(np.cross(up, t))
+            frame = np.stack([a, np.cross(t, a)], 2)
+            across = np.einsum("nia,nij,njb->nab", frame, (k + k.transpose(0, 2, 1)) / 2, frame)
+            low_high, vectors = np.linalg.eigh(across)
+            ok = (low_high > 0).all(1)
+            lam = np.where(ok[:, None], low_high, 1.0)
+            extent = np.einsum("nia,ni->na", np.abs(frame @ vectors), size)
+            ratio = np.sqrt(lam[:, 1] / lam[:, 0])
+            r_e = 0.28 * np.sqrt(ratio * extent[:, 0] ** 2 + extent[:, 1] ** 2 / ratio) / (np.sqrt(ratio) + 1 / np.sqrt(ratio))
+            h, r_w = (np.abs(t) * size).sum(1), pdf["r_w"].to_numpy(float)
+            wide = r_e > r_w
+            wi = 2 * np.pi * h * np.sqrt(lam.prod(1)) / (np.log(np.where(wide, r_e / r_w, np.e)) + pdf["skin"].to_numpy(float))
+            why = np.where(~ok, "not positive definite", np.where(~wide, "radius within the well", None))
+            good = ok & wide
+            blank = lambda v, keep: pd.Series(v, dtype="Float64").where(pd.Series(keep), pd.NA)
+            yield pdf[list(keys)].reset_index(drop=True).assign(h_s=h, r_e=blank(r_e, ok), wi=blank(wi, good), why=why)
+
+    columns = dict.fromkeys([*keys, "k", "tx", "ty", "tz", "hx", "hy", "hz", "r_w", "skin"])
+    return perforations.select(*columns).mapInPandas(run, f"{kinds}, h_s double, r_e double, wi double, why string")
+
+
 def split_rates(controlled: DataFrame, perforations: DataFrame) -> DataFrame:
     """Rates of (report_step, well) over its perforations by wi, equal parts without any; totals of exactly 0 are left out."""
     j = controlled.filter((F.col("kind") == "rate") & (F.col("rate") != 0)).join(perforations, "well")
@@ -125,5 +167,5 @@ def head_range(steps: DataFrame, low: float, high: float, margin: float = 0.05)
 def residual_rows(heads: DataFrame, channels: DataFrame, bhp_scale: float, scales: DataFrame) -> DataFrame:
     """group, report_step, well, channel and scaled residual: pressures first, then channels."""
     h = heads.filter("bhp_obs IS NOT NULL").select(F.lit("bhp").alias("grp"), "report_step", "well", F.lit(-1).alias("channel"), ((F.col("p_bh") - F.col("bhp_obs")) / bhp_scale).alias("residual"))
-    c = channels.filter("obs IS NOT NULL").join(F.broadcast(scales), "phase").select(F.lit("channel").alias("grp"), "report_step", "well", "channel", ((F.col("predicted") - F.col("obs")) / F.col("scale")).alias("residual"))
+    c = channels.filter("obs IS NOT NULL").join(scales, "phase").select(F.lit("channel").alias("grp"), "report_step", "well", "channel", ((F.col("predicted") - F.col("obs")) / F.col("scale")).alias("residual"))
     return h.unionByName(c)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import cells, mesh, residual
+from terrane.functions import scalars
+from terrane.operators import aggregates as agg
+from terrane.operators import cells, joins, layout, mesh, residual
 from terrane.plans.registry import query, table
 from terrane.plans.verify_wells import _T, _sql
 
@@ -128,3 +130,81 @@ def vertex_reuse(spark, d):
 def vertex_columns(spark, d):
     v, _ = _mesh(spark, d)
     return mesh.node_columns(v).join(v, "vertex_id").select("x", "y", "levels").distinct()
+
+
+_NODES = "SELECT c_custkey AS vertex_id, (c_custkey % 10) * 1.0::DOUBLE AS x, (c_custkey // 10 % 5) * 2.0::DOUBLE AS y, (c_custkey // 50) * 0.5::DOUBLE AS z, 1 + (c_custkey % 4) * 0.5::DOUBLE AS volume FROM customer"
+_WELLS = "SELECT s_suppkey AS perf_no, (s_suppkey % 9) * 1.1::DOUBLE AS px, (s_suppkey % 5) * 1.9::DOUBLE AS py, (s_suppkey % 7) * 2.3::DOUBLE AS pz, 1.5::DOUBLE AS sx, 2.5::DOUBLE AS sy, 4.0::DOUBLE AS sz, s_acctbal AS q FROM supplier"
+_KERNEL = "exp(-0.5 * (pow((x - px) / (W * sx), 2) + pow((y - py) / (W * sy), 2) + pow((z - pz) / (W * sz), 2)))"
+
+
+def _near(spark, d):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    nodes = table(spark, d, "customer").select(c.alias("vertex_id"), (c % 10 * 1.0).alias("x"), (F.floor(c / 10) % 5 * 2.0).alias("y"), (F.floor(c / 50) * 0.5).alias("z"), (1 + c % 4 * 0.5).alias("volume"))
+    perfs = table(spark, d, "supplier").select(s.alias("perf_no"), (s % 9 * 1.1).alias("px"), (s % 5 * 1.9).alias("py"), (s % 7 * 2.3).alias("pz"), F.lit(1.5).alias("sx"), F.lit(2.5).alias("sy"), F.lit(4.0).alias("sz"), F.col("s_acctbal").alias("q"))
+    return nodes, perfs
+
+
+@query(f"WITH n AS ({_NODES}), p AS ({_WELLS}), g AS (SELECT vertex_id, perf_no, {_KERNEL.replace('W', '1')} * volume AS g FROM n, p) SELECT vertex_id, perf_no, round(g / sum(g) OVER (PARTITION BY perf_no), 9) AS share FROM g")
+def nodal_partition(spark, d):
+    return residual.nodal_partition(*_near(spark, d)).select("vertex_id", "perf_no", _r("share", 9).alias("share"))
+
+
+@query(f"WITH n AS ({_NODES}), p AS ({_WELLS}) SELECT vertex_id, round(max({_KERNEL.replace('W', '1.5')}), 8) AS envelope, round(sum({_KERNEL.replace('W', '1')} / (pow(2 * pi(), 1.5) * sx * sy * sz) * q), 5) AS q FROM n, p GROUP BY 1")
+def well_densities(spark, d):
+    n, p = _near(spark, d)
+    e, q = residual.envelope(n, p, 1.5), residual.source_density(n, p, ["q"])
+    return e.join(q, "vertex_id").select("vertex_id", _r("envelope", 8).alias("envelope"), _r("q", 5).alias("q"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity * 7 AS t FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, round(2 * t / 353 - 1, 8) AS linear, round(2 * ln(1 + t / 11) / ln(1 + 353 / 11::DOUBLE) - 1, 8) AS warped, round(t, 6) AS back FROM t""")
+def time_channels(spark, d):
+    t = F.col("l_quantity") * 7
+    warped = scalars.time_channel(t, 353.0, 11.0)
+    return table(spark, d, "lineitem").select(*_KEYS, _r(scalars.time_channel(t, 353.0), 8).alias("linear"), _r(warped, 8).alias("warped"), _r(scalars.time_of_channel(warped, 353.0, 11.0), 6).alias("back"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size / 3.0::DOUBLE AS dx, p_retailprice / 700 AS dy FROM part), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM p)
+SELECT p_partkey, round(2 * (ln(greatest(r, 2.5)) - ln(2.5)) / (ln(20) - ln(2.5)) - 1, 8) AS phi, round(CASE WHEN r > 2.5 THEN 2 / (ln(20) - ln(2.5)) * dx / (r * r) ELSE 0 END, 8) AS gx FROM r""")
+def near_well_channel(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 3.0).alias("dx"), (F.col("p_retailprice") / 700).alias("dy"))
+    r = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    phi, grad = layout.near_well_channel(r, [F.col("dx"), F.col("dy")], 2.5, 20.0)
+    return p.select("p_partkey", _r(phi, 8).alias("phi"), _r(grad[0], 8).alias("gx"))
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, event_id % 3 AS b, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS k FROM events WHERE event_type = 'click'),
+r AS (SELECT user_id, event_id % 3 AS b, value, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS k FROM events WHERE event_type IN ('view', 'error')),
+j AS (SELECT l.user_id, event_id, value, bool_and(r.k IS NOT NULL) OVER (PARTITION BY l.user_id) AS complete FROM l LEFT JOIN r USING (user_id, b, k))
+SELECT event_id, complete, CASE WHEN complete THEN round(value, 2) ELSE -1.0 END AS value FROM j""")
+def multiset_or_default(spark, d):
+    e = table(spark, d, "events").withColumn("b", F.col("event_id") % 3)
+    left = e.filter("event_type = 'click'").select("user_id", "b", "event_id")
+    right = e.filter("event_type IN ('view', 'error')").select("user_id", "b", "value", F.col("event_id").alias("at"))
+    m = joins.match_or_default(left, right, ["user_id"], ["b"], ["event_id"], ["at"], {"value": -1.0})
+    return m.select("event_id", "complete", _r("value", 2).alias("value"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_linenumber AS t FROM lineitem), n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS m FROM s),
+c AS (SELECT t FROM n WHERE i IN (0, round_even((m - 1) / 3.0, 0), round_even(2 * (m - 1) / 3.0, 0), m - 1)),
+r AS (SELECT t, sqrt(avg(pow(l_extendedprice / 1000 - l_quantity, 2))) AS rmse FROM lineitem JOIN c ON l_linenumber = t GROUP BY 1)
+SELECT round(avg(rmse), 6) AS mean, round(arg_max(rmse, t), 6) AS final, count(*) AS n FROM r""")
+def rmse_mean_of_steps(spark, d):
+    li = table(spark, d, "lineitem").withColumn("p", F.col("l_extendedprice") / 1000)
+    return agg.rmse_mean(li, "l_linenumber", "p", "l_quantity", 4).select(_r("mean", 6).alias("mean"), _r("final", 6).alias("final"), "n")
+
+
+@query(f"""
+WITH c AS ({_CORNERS}), b AS (SELECT DISTINCT cell_id, c_custkey % 10 AS ci FROM c JOIN customer ON c_custkey = cell_id),
+f AS (SELECT cell_id, CASE WHEN ci = 0 THEN 'X-' ELSE 'X' END AS face FROM b WHERE ci IN (0, 9)), ids AS (SELECT i, j, k, row_number() OVER (ORDER BY min(cell_id * 8 + s)) - 1 AS vertex_id FROM c GROUP BY 1, 2, 3),
+v AS (SELECT cell_id, s, vertex_id FROM c JOIN ids USING (i, j, k))
+SELECT DISTINCT array_to_string(list_sort(list(vertex_id)), ',') AS quad FROM v JOIN f USING (cell_id) WHERE s % 2 = CASE face WHEN 'X' THEN 1 ELSE 0 END GROUP BY cell_id""")
+def boundary_quads(spark, d):
+    _, incidence = _mesh(spark, d)
+    i = F.col("c_custkey") % 10
+    faces = table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), F.when(i == 0, "X-").when(i == 9, "X").alias("face")).filter("face IS NOT NULL")
+    return layout.boundary_quads(faces, incidence).select(F.array_join("quad", ",").alias("quad"))

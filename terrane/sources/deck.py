@@ -30,6 +30,11 @@ KEYWORDS = {
     "MULTIPLY": "target:s value:d i1:i i2:i j1:i j2:i k1:i k2:i",
     "ADD": "target:s value:d i1:i i2:i j1:i j2:i k1:i k2:i",
     "COPY": "source:s target:s i1:i i2:i j1:i j2:i k1:i k2:i",
+    "COMPDATMD": "well:s branch:i mdu:d mdl:d md_tvd:s status:s sat:d cf:d diam:d kh:d skin:d nd:d mult:d type:s",
+    "WFRAC": "well:s i1:i j1:i k1:i i2:i j2:i k2:i azimuth:d zenith:d half_length:d width:d proppant:s flow:s phase:s",
+    "WFRACP": "well:s i1:i j1:i k1:i i2:i j2:i k2:i azimuth:d zenith:d l1:d l2:d h1:d h2:d width:d proppant:s flow:s phase:s",
+    "AQCO": "kind:s aquifer:i i1:i i2:i j1:i j2:i k1:i k2:i face:s",
+    "AQCT": "kind:s aquifer:i datum:d perm:d poro:d compr:d radius:d angle:d thickness:d pressure:d viscosity:d equilibrium:s",
     "RESTART": "name:s step:i",
     "RESTARTDATE": "name:s step:i day:i month:s year:i",
 }
@@ -45,6 +50,15 @@ TABLES = {
     "DENSITY": ("oil", "water", "gas"),
     "RSVD": ("depth", "rs"),
 }
+#: What a default of a table's column is, in METRIC and in FIELD; pressures and what is per pressure by 14.6959.
+DEFAULTS = {
+    "PVTW": {"p": (1.0, 14.6959), "fvf": (1.0, 1.0), "compr": (4e-5, 4e-5 / 14.6959), "visc": (0.3, 0.3), "viscosibility": (0.0, 0.0)},
+    "PVCDO": {"viscosibility": (0.0, 0.0)},
+    "SWOF": {"pcow": (0.0, 0.0)},
+    "SGOF": {"pcgo": (0.0, 0.0)},
+    "ROCK": {"p": (1.0132, 1.0132 * 14.6959), "compr": (4.934e-5, 4.934e-5 / 14.6959)},
+    "DENSITY": {"oil": (600.0, 37.457), "water": (999.014, 62.366), "gas": (1.0, 0.062428)},
+}
 CLOSED = ("SHUT", "STOP", "CLOSED", "CLOSE")
 
 
@@ -68,20 +82,32 @@ def keyword_rows(records: DataFrame, keyword: str, columns: str | None = None) -
     return rows.select("path", "seq", *[kinds[k](F.get("tokens", n)).alias(name) for n, (name, k) in enumerate(spec)])
 
 
-def function_table(records: DataFrame, keyword: str, region: int = 1) -> DataFrame:
-    """Rows of one region of a function table; a default or what is no number is null."""
+def function_table(records: DataFrame, keyword: str, region: int = 1, units: str | None = None) -> DataFrame:
+    """Rows of one region of a function table; a default, or what is no number, is null.
+
+    With ``units`` (METRIC or another) the defaults of DEFAULTS are filled in; a record that is too short has them too.
+    """
     names = TABLES[keyword]
     own = records.filter((F.col("keyword") == keyword) & (F.col("record_no") == region - 1))
     flat = own.select("path", F.posexplode("tokens").alias("p", "t")).select("path", F.floor(F.col("p") / len(names)).alias("row"), (F.col("p") % len(names)).alias("c"), F.col("t").try_cast("double").alias("v"))
-    return flat.groupBy("path", "row").agg(*[F.max(F.when(F.col("c") == n, F.col("v"))).alias(name) for n, name in enumerate(names)]).drop("row")
+    out = flat.groupBy("path", "row").agg(*[F.max(F.when(F.col("c") == n, F.col("v"))).alias(name) for n, name in enumerate(names)]).drop("row")
+    if units is None:
+        return out
+    return out.withColumns({c: F.coalesce(c, F.lit(v[0 if units == "METRIC" else 1])) for c, v in DEFAULTS.get(keyword, {}).items()})
 
 
 def live_oil(records: DataFrame, keyword: str = "PVTO") -> DataFrame:
-    """PVTO groups: rs, p, fvf, visc, and whether the row is the saturated one of its group."""
+    """Groups of PVTO (rs, p, fvf, visc) or PVTG (p, rv, fvf, visc), and whether the row is the saturated one, its group's first."""
+    outer, inner = ("p", "rv") if keyword == "PVTG" else ("rs", "p")
     own = records.filter((F.col("keyword") == keyword) & (F.col("record_no") >= 0))
     rest = F.slice("tokens", 2, 1 << 20)
-    rows = own.select("path", "record_no", F.get("tokens", 0).try_cast("double").alias("rs"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size(rest) / 3).cast("int") - 1), lambda n: F.slice(rest, n * 3 + 1, 3))).alias("n", "r"))
-    return rows.select("path", "rs", *[F.get("r", k).try_cast("double").alias(c) for k, c in enumerate(("p", "fvf", "visc"))], (F.col("n") == 0).alias("saturated"))
+    rows = own.select("path", "record_no", F.get("tokens", 0).try_cast("double").alias(outer), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size(rest) / 3).cast("int") - 1), lambda n: F.slice(rest, n * 3 + 1, 3))).alias("n", "r"))
+    return rows.select("path", outer, *[F.get("r", k).try_cast("double").alias(c) for k, c in enumerate((inner, "fvf", "visc"))], (F.col("n") == 0).alias("saturated"))
+
+
+def dry_gas(wet: DataFrame) -> DataFrame:
+    """PVTG rows as a PVDG table: of each pressure the row that holds the most oil."""
+    return wet.groupBy("path", "p").agg(F.max_by(F.struct("fvf", "visc"), "rv").alias("r")).select("path", "p", "r.fvf", "r.visc")
 
 
 def eclipse_date(tokens: Column) -> Column:
@@ -112,7 +138,14 @@ def controls(records: DataFrame) -> DataFrame:
         typed = keyword_rows(rows, source).join(rows.filter(F.col("keyword") == source).select("path", "seq", "ts"), ["path", "seq"])
         has = lambda c, kind, spec=spec: F.col(c) if c in spec else nothing.cast(kind)
         targets = F.coalesce(*[F.when(F.col("control") == k.upper(), F.col(k)) for k in ("orat", "wrat", "grat", "lrat", "resv") if k in spec], *([F.col("rate")] if "rate" in spec else [])) if "control" in spec else nothing.cast("double")
-        one = typed.select("path", "well", "ts", "seq", F.lit(source).alias("source"), has("mode", "string").alias("mode"), has("control", "string").alias("control"), has("phase", "string").alias("phase"), targets.alias("rate"), has("bhpt", "double").alias("bhpt"))
+        head = has("bhpt", "double")
+        if source == "WCONHIST":  # its targets are the three rates; which one counts goes by the control
+            three = [F.col(c) for c in ("orat", "wrat", "grat")]
+            kind = F.col("control")
+            targets = F.when(kind == "ORAT", three[0]).when(kind == "WRAT", three[1]).when(kind == "GRAT", three[2]).when(kind.isin("LRAT", "RESV", "RATE"), F.coalesce(*three))
+            targets = -F.abs(targets)
+            head = F.when(kind.isin("BHP", "BHPT", "THP", "THPT"), F.coalesce(*three, "bhpt")).otherwise(head)
+        one = typed.select("path", "well", "ts", "seq", F.lit(source).alias("source"), has("mode", "string").alias("mode"), has("control", "string").alias("control"), has("phase", "string").alias("phase"), targets.alias("rate"), head.alias("bhpt"))
         out = one if out is None else out.unionByName(one)
     return out
 

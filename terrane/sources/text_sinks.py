@@ -84,3 +84,11 @@ def main_deck(title: str, dims: Sequence[int], units: str, start: str, includes:
         if parts or section in ("GRID", "PROPS", "SOLUTION", "SCHEDULE"):
             lines += [section, *[x for part in parts for x in ("INCLUDE", f"'{part}' /")]]
     return "\n".join([*lines, "END", ""])
+
+
+def array_date_text(dates: DataFrame, ts: str) -> DataFrame:
+    """line and text of an ARRAY DATE list, in order of time; a list of report dates is short."""
+    w = Window.orderBy(ts)
+    rows = dates.select(F.row_number().over(w).alias("line"), F.upper(F.date_format(ts, "dd MMM yyyy")).alias("text"))
+    end = rows.agg((F.coalesce(F.max("line"), F.lit(0)) + 1).alias("line"))
+    return dates.sparkSession.createDataFrame([(0, "ARRAY DATE")], "line int, text string").unionByName(rows).unionByName(end.select("line", F.lit("/").alias("text")))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import aggregates, cells, fit, layout, mesh, windows
+from terrane.operators import aggregates, cells, fem, fit, layout, mesh, wells, windows
 from terrane.sources import deck, ecl_source, text_sinks
 
 
@@ -96,3 +96,56 @@ def test_adam_then_gauss_newton(spark):
     assert out.columns == ["a", "y", "dy"] and len(out.first()["dy"]) == 2
     with pytest.raises(ValueError):
         list(fit.scheduled(df, NET, ["a", "b"], ["s", "p"], [fit.Phase("other", 1)]))
+
+
+def test_peaceman_in_the_wells_frame(spark):
+    iso, tilted = [100.0, 0.0, 0.0, 0.0, 100.0, 0.0, 0.0, 0.0, 10.0], [100.0, 20.0, 5.0, 20.0, 50.0, 3.0, 5.0, 3.0, 10.0]
+    rows = [(0, iso, 0.0, 0.0, 1.0, 100.0, 100.0, 10.0, 0.25, 0.0), (1, tilted, 1.0, 2.0, 0.5, 80.0, 60.0, 10.0, 0.3, 1.5), (2, [-1.0 * v for v in iso], 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.1, 0.0), (3, iso, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, k array<double>, tx double, ty double, tz double, hx double, hy double, hz double, r_w double, skin double")
+    got = {r["id"]: r for r in wells.peaceman(df, ["id"]).collect()}
+    r_e = 0.28 * np.sqrt(2 * 100.0**2) / 2
+    assert got[0]["r_e"] == pytest.approx(r_e) and got[0]["wi"] == pytest.approx(2 * np.pi * 10 * 100 / np.log(r_e / 0.25)) and got[0]["why"] is None
+    assert got[2]["wi"] is None and got[2]["why"] == "not positive definite" and got[3]["why"] == "radius within the well"
+    t = np.array([1.0, 2.0, 0.5]) / np.linalg.norm([1.0, 2.0, 0.5])
+    basis = np.linalg.svd(np.eye(3) - np.outer(t, t))[0][:, :2]  # any frame across the well
+    low, vec = np.linalg.eigh(basis.T @ np.array(tilted).reshape(3, 3) @ basis)
+    h1, h2 = np.abs((basis @ vec).T) @ np.array([80.0, 60.0, 10.0])
+    q = np.sqrt(low[1] / low[0])
+    want = 0.28 * np.sqrt(q * h1**2 + h2**2 / q) / (np.sqrt(q) + 1 / np.sqrt(q))
+    h = np.abs(t) @ np.array([80.0, 60.0, 10.0])
+    assert got[1]["r_e"] == pytest.approx(want) and got[1]["wi"] == pytest.approx(2 * np.pi * h * np.sqrt(low.prod()) / (np.log(want / 0.3) + 1.5))
+
+
+def test_operators_without_assembly(spark):
+    g = cells.grid(spark, 2, 2, 2).select("cell_id", (F.col("i") * 1.0).alias("x0"), (F.col("j") * 2.0).alias("y0"), (F.col("k") * 3.0).alias("z0"), F.lit(1.0).alias("dx"), F.lit(2.0).alias("dy"), F.lit(3.0).alias("dz"))
+    corners = cells.corner_points(g)
+    vertices, incidence = mesh.vertices_of(corners)
+    box = corners.groupBy("cell_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array("x", "y", "z").alias("p")))), lambda c: c["p"])).alias("corners"))
+    ids = incidence.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "vertex_id"))), lambda c: c["vertex_id"]).alias("v"))
+    box = box.join(ids, "cell_id").withColumns({"kx": F.lit(2.0), "ky": F.lit(3.0), "kz": F.lit(0.5)}).cache()
+    nodal = vertices.select("vertex_id", (F.col("x") * 2 - F.col("y") + F.col("z") * 0.5 + 1).alias("x")).cache()
+    bent = nodal.withColumn("x", F.sin(F.col("x") + F.col("vertex_id"))).cache()
+    for kind in ("mass", "stiffness", "x"):
+        a = fem.operator(box, kind)
+        y = {r["row"]: r["y"] for r in aggregates.matvec(a, bent.withColumnRenamed("vertex_id", "col")).collect()}
+        got = {r["vertex_id"]: r["y"] for r in fem.action(box, bent, kind).collect()}
+        assert got.keys() == y.keys() and all(got[v] == pytest.approx(y[v], abs=1e-9) for v in y)
+    parts = [fem.dense(fem.operator(box, k), 27) for k in "xyz"]
+    assert np.allclose(sum(parts), fem.dense(fem.operator(box, "stiffness"), 27))
+    grads = fem.centroid_gradients(box, nodal).collect()
+    assert len(grads) == 8 and all((r["gx"], r["gy"], r["gz"]) == pytest.approx((2.0, -1.0, 0.5)) for r in grads)
+
+
+def test_table_defaults_and_history_rates(spark, tmp_path):
+    f = tmp_path / "T.DATA"
+    f.write_text("RUNSPEC\nMETRIC\nSTART\n1 JAN 2020 /\nPROPS\nSWOF\n0.2 0 0.9 1*\n1 1 0 2 /\nROCK\n1* 1* /\nPVTG\n50 0.1 0.02 0.01\n 0.05 0.021 0.011 /\n100 0.2 0.01 0.02 /\n/\nSCHEDULE\nWCONHIST\nA OPEN WRAT 1 2 3 /\nB OPEN RESV 1* 5 3 /\nC OPEN BHP 1* 1* 90 /\n/\n")
+    r = deck.read(spark, str(f)).cache()
+    assert [x["pcow"] for x in deck.function_table(r, "SWOF", units="METRIC").orderBy("sw").collect()] == [0.0, 2.0]
+    assert [x["pcow"] for x in deck.function_table(r, "SWOF").orderBy("sw").collect()] == [None, 2.0]
+    assert tuple(deck.function_table(r, "ROCK", units="METRIC").first())[1:] == (1.0132, 4.934e-5)
+    assert deck.function_table(r, "ROCK", units="FIELD").first()["p"] == pytest.approx(1.0132 * 14.6959)
+    assert sorted((x["p"], x["fvf"]) for x in deck.dry_gas(deck.live_oil(r, "PVTG")).collect()) == [(50.0, 0.02), (100.0, 0.01)]
+    c = {x["well"]: (x["rate"], x["bhpt"]) for x in deck.controls(r).collect()}
+    assert c == {"A": (-2.0, None), "B": (-5.0, None), "C": (None, 90.0)}
+    dates = spark.sql("SELECT timestamp_ntz'2020-01-05' AS t UNION ALL SELECT timestamp_ntz'2019-07-01'")
+    assert [x["text"] for x in text_sinks.array_date_text(dates, "t").orderBy("line").collect()] == ["ARRAY DATE", "01 JUL 2019", "05 JAN 2020", "/"]
