@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.functions.sampling import capped
 from terrane.operators.aggregates import with_totals
+from terrane.operators.windows import running_counts, sorted_ids
+from terrane.plans.storage import memory_bytes, written
+
+#: Lists that every row scans may take so many bytes.
+ARRAY_BYTES = 64 << 10
 
 
 def breakpoints(table: DataFrame, x: str, y: str) -> DataFrame:
@@ -39,20 +45,63 @@ def interpolate_inverse(df: DataFrame, table: DataFrame, x: str, y: str, query:
     return interpolate(df, inv, x, "__inv", query, "__v").withColumn(out, 1 / F.col("__v")).drop("__v")
 
 
-def layer_of(df: DataFrame, boundaries: DataFrame, boundary: str, depth: str, out: str = "layer") -> DataFrame:
-    """Number of boundaries above each depth."""
-    b = boundaries.agg(F.collect_list(F.col(boundary)).alias("__b"))
-    return df.crossJoin(F.broadcast(b)).withColumn(out, F.size(F.filter("__b", lambda x: x < F.col(depth)))).drop("__b")
+def layer_of(df: DataFrame, boundaries: DataFrame, boundary: str, depth: str, out: str = "layer", array_bytes: int = ARRAY_BYTES) -> DataFrame:
+    """Number of boundaries above each depth; null boundaries don't count.
+
+    A list of up to ``array_bytes``, measured, travels as one array and is scanned in the row.
+    Beyond, boundaries and depths are counted in one order, by ranges, and depths read their count.
+    """
+    own = boundaries.select(F.col(boundary).cast("double").alias("__v")).filter("__v IS NOT NULL")
+    if memory_bytes(own) <= array_bytes:
+        b = own.agg(F.collect_list("__v").alias("__b"))
+        return df.crossJoin(F.broadcast(b)).withColumn(out, F.size(F.filter("__b", lambda x: x < F.col(depth)))).drop("__b")
+    asked = df.select(F.col(depth).cast("double").alias("__v")).filter("__v IS NOT NULL").distinct().withColumn("__n", F.lit(0).cast("long"))
+    counted = own.withColumn("__n", F.lit(1).cast("long")).unionByName(asked).groupBy("__v").agg(F.sum("__n").alias("__n"))
+    above = running_counts(counted, ["__v"], "__n", "__end").select("__v", (F.col("__end") - F.col("__n")).cast("int").alias("__above"))
+    return df.withColumn("__v", F.col(depth).cast("double")).join(above, "__v", "left").withColumn(out, F.coalesce("__above", F.lit(0))).drop("__v", "__above")
+
 
+def nearest(df: DataFrame, references: DataFrame, id_col: str, columns: Sequence[str], out: str = "nearest_id", array_bytes: int = ARRAY_BYTES) -> DataFrame:
+    """Id of the nearest reference (ties: lowest id) and its ``distance``; null where there is none.
 
-def nearest(df: DataFrame, references: DataFrame, id_col: str, columns: Sequence[str], out: str = "nearest_id") -> DataFrame:
-    """Id of the nearest of a few references (ties: lowest id); the references travel as one array."""
-    refs = references.agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("p")))).alias("__refs"))
+    References of up to ``array_bytes``, measured, travel as one array. Beyond, both sides meet in
+    grid cells, whose width doubles for the rows that found none.
+    """
+    points = references.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    if memory_bytes(points) > array_bytes:
+        return _nearest_by_grid(df, points, columns, out)
+    refs = points.agg(F.sort_array(F.collect_list(F.struct("id", F.array(*columns).alias("p")))).alias("__refs"))
     here = F.array(*[F.col(c).cast("double") for c in columns])
     dist = F.transform("__refs", lambda r: F.struct(F.aggregate(F.zip_with(r["p"], here, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), r["id"].alias("id")))
     return df.crossJoin(F.broadcast(refs)).withColumn("__m", F.array_min(dist)).withColumn(out, F.col("__m.id")).withColumn("distance", F.sqrt("__m.d")).drop("__m", "__refs")
 
 
+def _nearest_by_grid(df: DataFrame, points: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """Distinct places meet the references within one cell; a hit within its width is the nearest there is."""
+    box = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in columns]).first()
+    span = max(max(box[c] for c in columns), 1e-9)
+    width = span / max(box["n"], 1) ** (1 / len(columns))
+    left = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().distinct())
+    done = []
+    for _ in range(256):
+        if left.isEmpty():
+            break
+        places = left.withColumn("__key", F.struct(*columns))
+        hit = written(nearest_in_grid(places, points, "id", columns, width, "__key", out).select(*[F.col(f"__key.{c}").alias(c) for c in columns], out, "distance"))
+        done.append(hit)
+        left = written(left.join(hit, list(columns), "left_anti"))
+        width *= 2
+    else:
+        raise ValueError("a place is too far from all references")
+    if not done:
+        return df.withColumns({out: F.lit(None).cast(points.schema["id"].dataType), "distance": F.lit(None).cast("double")})
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    renamed = found.select(*[F.col(c).alias(f"__c_{c}") for c in columns], out, "distance")
+    return df.join(renamed, [F.col(c).cast("double") == F.col(f"__c_{c}") for c in columns], "left").drop(*[f"__c_{c}" for c in columns])
+
+
 def nearest_on_axis(df: DataFrame, references: DataFrame, id_col: str, column: str, ref_column: str, out: str = "nearest_id", buckets: int = 256) -> DataFrame:
     """Id of the nearest of any number of references along one axis (ties: lowest id); null where ``column`` is.
 
@@ -130,11 +179,9 @@ def signature_diff(old: DataFrame, new: DataFrame, key: str, signature: str) ->
 
 
 def even_subset(df: DataFrame, step: str, n: int) -> DataFrame:
-    """Rows at ``n`` evenly spaced distinct steps, first and last included (halves round to even)."""
-    steps = df.select(step).distinct()
-    t = steps.agg(F.sort_array(F.collect_list(step)).alias("all"))
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.size("all") - 1) / F.lit(max(n - 1, 1))).cast("int")))
-    chosen = t.select(F.explode(F.transform(places, lambda i: F.get("all", i))).alias(step))
+    """Rows at ``n`` evenly spaced distinct steps, first and last included (halves round to even); steps are numbered by ranges."""
+    steps = sorted_ids(df.select(step).filter(F.col(step).isNotNull()), [step], "__n")
+    chosen = capped(steps, "__n", steps.count(), n).select(step)  # ``n`` rows
     return df.join(F.broadcast(chosen), step, "left_semi")
 
 
