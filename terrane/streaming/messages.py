@@ -136,6 +136,27 @@ def with_history(stream: DataFrame, keep: int) -> DataFrame:
     return stream.groupBy("run").applyInPandasWithState(step, "run string, iteration int, total double, best double, n int, status string", "totals array<double>, stalled boolean", "append", "NoTimeout")
 
 
+def with_last(stream: DataFrame, limits: dict[str, int], default: int) -> DataFrame:
+    """A stateful stream: after each batch, the last messages of each (run, kind) up to the kind's limit, oldest first.
+
+    Input (run, kind, iteration, payload); output has ``place`` (0: the newest) beside them. State is bounded by the limits.
+    """
+    ship(stream.sparkSession)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        run, kind = key
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for pdf in frames:
+            held += [(int(r.iteration), r.payload) for r in pdf.itertuples()]
+        most = limits.get(kind, default)
+        held = sorted(held, key=lambda h: h[0])[-most:] if most > 0 else []
+        state.update(([h[0] for h in held], [h[1] for h in held]))
+        n = len(held)
+        yield pd.DataFrame([(run, kind, i, p, n - 1 - k) for k, (i, p) in enumerate(held)], columns=["run", "kind", "iteration", "payload", "place"])
+
+    return stream.groupBy("run", "kind").applyInPandasWithState(step, "run string, kind string, iteration int, payload string, place int", "iterations array<int>, payloads array<string>", "update", "NoTimeout")
+
+
 def windowed_counts(stream: DataFrame, ts: str = "ts", by: str = "event_type", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Event-time windows with a watermark: an extra of this engine over plain event tables."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"))

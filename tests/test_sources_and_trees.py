@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terrane.functions import arrays, sql_functions
 from terrane.operators import tree
 from terrane.sources import cases, deck, well_text
-from terrane.streaming import run_stream
+from terrane.streaming import messages, run_stream
 
 
 def _text(spark, *lines, path="f"):
@@ -180,3 +180,25 @@ def test_sql_functions_are_inlined(spark):
     r = df.first()
     assert r["n"] == "P1" and r["t"] == pytest.approx(30) and r["c"] == 69 and r["w"] == pytest.approx(2 * math.pi * 10 * 100 / math.log(80))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_keeps_the_last_of_each_kind(spark, tmp_path):
+    src = tmp_path / "in"
+    schema = "run string, kind string, iteration int, payload string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+    put([("a", "loss", n, f"l{n}") for n in range(5)] + [("a", "state", 1, "s1"), ("b", "loss", 9, "l9"), ("a", "grid", 0, "g")])
+    stream = spark.readStream.schema(schema).parquet(str(src))
+    seen = {}
+
+    def take(df, batch):
+        seen[batch] = [tuple(r) for r in df.orderBy("run", "kind", "place").collect()]
+
+    q = messages.with_last(stream, {"loss": 2, "state": 1}, 0).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "ck")).outputMode("update").start()
+    try:
+        q.processAllAvailable()
+        put([("a", "loss", 5, "l5"), ("a", "state", 2, "s2")])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert seen[0] == [("a", "loss", 4, "l4", 0), ("a", "loss", 3, "l3", 1), ("a", "state", 1, "s1", 0), ("b", "loss", 9, "l9", 0)]
+    assert seen[1] == [("a", "loss", 5, "l5", 0), ("a", "loss", 4, "l4", 1), ("a", "state", 2, "s2", 0)]
