@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, language_id, line_dedup, near_dups, packing, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
+from terrane.llm import decontaminate, hard_negatives, importance, language_id, line_dedup, near_dups, packing, passages, quality_rules, sentencepiece_lattice, sharding, url_filter, warc
 
 
 #: Folder of the public tokenizers' files.
@@ -158,5 +158,48 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_near_dups": op2_near_dups, "op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_warc": op9_warc, "op10_sharding": op10_sharding}
-ORACLE = {"op3_quality_rules": _op3_sql(), "op6_url_filter": _op6_sql(), "op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.dedup_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS t FROM d, unnest(generate_series(1, len(words) - 12)) AS u(i)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS first_id FROM w),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, unnest(generate_series(0, 12)) AS v(k) WHERE first_id < doc_id),
+g AS (SELECT doc_id, list(i) AS places, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN g.n IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(g.places, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.col("__n_features").alias("n_features"), F.col("__weight").alias("weight"), F.col("__score").alias("score"), F.col("__rank").alias("rank"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", relabelled), anchors=F.col("id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT * FROM (
+  SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= 10"""
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_near_dups": op2_near_dups, "op3_quality_rules": op3_quality_rules, "op4_language_id": op4_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_url_filter": op6_url_filter, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_warc": op9_warc, "op10_sharding": op10_sharding, "op11_substring_dedup": op11_substring_dedup, "op12_importance_resampling": op12_importance_resampling, "op13_hard_negatives": op13_hard_negatives}
+ORACLE = {"op3_quality_rules": _op3_sql(), "op6_url_filter": _op6_sql(), "op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op11_substring_dedup": OP11_SQL, "op13_hard_negatives": OP13_SQL}
