@@ -8,7 +8,8 @@ from terrane.functions import arrays, sql_functions
 from terrane.operators import cells, layout, temporal, tree, windows
 from terrane.plans.registry import query, table
 from terrane.sources import cases, well_text
-from terrane.streaming import run_stream
+from terrane.plans.storage import shared_dir
+from terrane.streaming import messages, run_stream
 
 
 def _r(c, n: int = 4):
@@ -212,9 +213,10 @@ def dates_of_parts(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(t, "yyyy-MM-dd HH").alias("at"))
 
 
-def _plan_sql(n, log, snap, k):
+def _plan_sql(log, snap, k):
+    n = "(SELECT count(*) FROM events)"
     return f"""
-WITH s AS (SELECT least((i + 1) * {log}, {n}) AS iteration FROM range({-(-n // log)}) AS r(i)), k AS (SELECT slot FROM range({k}) AS r(slot)),
+WITH s AS (SELECT least((i + 1) * {log}, {n}) AS iteration FROM range((({n} + {log} - 1) / {log})::BIGINT) AS r(i) WHERE i * {log} < {n}), k AS (SELECT slot FROM range({k}) AS r(slot)),
 m AS (SELECT 0 AS a, 0 AS b, i AS c, 'stage' AS kind, 0 AS iteration, NULL AS slot FROM range(4) AS r(i) UNION ALL SELECT 0, 1, 0, 'grid', 0, NULL UNION ALL SELECT 0, 2, 0, 'stage', 0, NULL
 UNION ALL SELECT 0, 3, slot, 'state', 0, slot FROM k UNION ALL SELECT iteration, 0, 0, 'loss', iteration, NULL FROM s
 UNION ALL SELECT iteration, 1, slot, 'state', iteration, slot FROM s, k WHERE iteration % {snap} = 0 AND iteration < {n}
@@ -222,9 +224,44 @@ UNION ALL SELECT {n}, 2, slot, 'state', {n}, slot FROM k UNION ALL SELECT {n}, 3
 SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS seq, kind, iteration, slot FROM m"""
 
 
-@query(_plan_sql(20000, 3, 50, 8))
+@query(_plan_sql(3, 50, 8))
 def message_plan(spark, d):
-    return run_stream.plan(spark, 20000, 3, 50, 8)
+    """The plan of a run with a step for each event."""
+    return run_stream.plan(spark, table(spark, d, "events").count(), 3, 50, 8)
+
+
+@query("""
+WITH e AS (
+  SELECT user_id::VARCHAR AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, value AS total, value / 4 AS pde,
+         CASE WHEN event_id % 211 = 0 THEN 'lost' END AS failure, CASE WHEN event_id % 61 = 0 THEN 0.0 ELSE 0.5 END AS eta, CASE WHEN user_id % 2 = 0 THEN 40 END AS n_iter
+  FROM events),
+s AS (
+  SELECT *, min(total) OVER (PARTITION BY run ORDER BY i) AS best,
+         CASE WHEN failure IS NOT NULL THEN 'failed' WHEN eta = 0 THEN 'stalled' WHEN i >= n_iter THEN 'completed' ELSE 'running' END AS status
+  FROM e),
+f AS (SELECT * FROM s QUALIFY coalesce(sum((status <> 'running')::INT) OVER (PARTITION BY run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0),
+l AS (SELECT *, status IN ('completed', 'stalled') AS ended, status <> 'failed' AND (i % 3 = 0 OR status IN ('completed', 'stalled')) AS logged FROM f),
+k AS (SELECT slot FROM range(2) AS r(slot)),
+m AS (
+  SELECT run, i AS step, 0 AS g, n AS c, 'stage' AS kind, 0 AS iteration, NULL AS slot, [0.02, 0.18, 0.38, 0.55][n + 1]::DOUBLE AS total, 0.0 AS pde, '' AS said, NULL AS best FROM l, range(4) AS r(n) WHERE i = 1
+  UNION ALL SELECT run, i, 1, 0, 'grid', 0, NULL, 0.0, 0.0, NULL, NULL FROM l WHERE i = 1
+  UNION ALL SELECT run, i, 2, 0, 'stage', 0, NULL, 0.6, 0.0, 'training for ' || coalesce(n_iter::VARCHAR, 'any number of') || ' iterations', NULL FROM l WHERE i = 1
+  UNION ALL SELECT run, i, 3, slot, 'state', 0, slot, 0.0, 0.0, NULL, NULL FROM l, k WHERE i = 1
+  UNION ALL SELECT run, i, 4, 0, 'loss', i, NULL, total, pde, NULL, NULL FROM l WHERE logged
+  UNION ALL SELECT run, i, 5, 0, 'error', i, NULL, 0.0, 0.0, failure, NULL FROM l WHERE status = 'failed'
+  UNION ALL SELECT run, i, 6, 0, 'stage', 0, NULL, 0.95, 0.0, 'stopped early: stalled at iteration ' || i, NULL FROM l WHERE status = 'stalled'
+  UNION ALL SELECT run, i, 7, slot, 'state', i, slot, 0.0, 0.0, NULL, NULL FROM l, k WHERE logged AND NOT ended AND i % 6 = 0
+  UNION ALL SELECT run, i, 8, slot, 'state', i, slot, 0.0, 0.0, NULL, NULL FROM l, k WHERE ended
+  UNION ALL SELECT run, i, 9, 0, 'metrics', i, NULL, 0.0, 0.0, NULL, best FROM l WHERE ended
+  UNION ALL SELECT run, i, 10, 0, 'stage', 0, NULL, 1.0, 0.0, 'finished ' || i || ' iterations', NULL FROM l WHERE ended)
+SELECT run, step, row_number() OVER (PARTITION BY run, step ORDER BY g, c) - 1 AS place, kind, iteration::INTEGER AS iteration, slot::INTEGER AS slot, total, pde, said, best FROM m""")
+def run_messages(spark, d):
+    """Events as the steps of their users' runs, streamed through the state of each run."""
+    e, losses = table(spark, d, "events"), {c: F.lit(0.0).alias(c) for c in ("ic", "data", "well", "wall_s")}
+    failure, eta = F.when(F.col("event_id") % 211 == 0, "lost"), F.when(F.col("event_id") % 61 == 0, 0.0).otherwise(0.5)
+    steps = e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("total"), (F.col("value") / 4).alias("pde"), *losses.values(), eta.alias("eta"), failure.alias("failure"), F.when(F.col("user_id") % 2 == 0, 40).alias("n_iter"))
+    m = run_stream.replay(steps, shared_dir(spark), log_every=3, snapshot_every=6, n_snapshots=2)
+    return m.select("run", "step", "place", "kind", "iteration", "slot", "total", "pde", messages.field_of("message").alias("said"), messages.field_of("best").cast("double").alias("best"))
 
 
 @query("SELECT event_id, round(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 8.64e10, 8) AS days FROM events")

@@ -57,11 +57,13 @@ def test_case_files(tmp_path):
         cases.resolve(str(tmp_path / "m.DATA"))
 
 
-def test_uploads_and_archives(tmp_path):
-    assert cases.uploaded([b"RUN", b"SPEC"]) == b"RUNSPEC"
-    for chunks, why in (([b" \n"], "empty"), ([b"12345", b"6"], "larger")):
-        with pytest.raises(ValueError, match=why):
-            cases.uploaded(chunks, 5)
+def test_uploads_and_archives(spark, tmp_path):
+    chunks = lambda *rows: spark.createDataFrame(rows, "name string, part int, data binary")
+    got = cases.uploaded(chunks(("a", 1, b"SPEC"), ("a", 0, b"RUN"), ("a", 1, b"SPEC"), ("b", 0, b"x"), ("b", 1, None)))
+    assert {r["name"]: bytes(r["deck"]) for r in got.collect()} == {"a": b"RUNSPEC", "b": b"x"}
+    for rows, why in (([("c", 0, b" \n")], "is empty"), ([("c", 0, b"12345"), ("c", 1, b"6")], "larger than 5")):
+        with pytest.raises(Exception, match=why):
+            cases.uploaded(chunks(*rows), 5).collect()
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
         z.writestr("M.EGRID", "g")
     a = cases.unpacked(str(tmp_path / "r.zip"), str(tmp_path))
@@ -142,36 +144,65 @@ def test_array_actions(spark):
     assert r["m"] == {"a": 1, "b": 3, "c": 4} and r["c"] == ["b"]
 
 
-def _run(n, log, snap, fail=None):
-    state = {"n": 0}
+def _steps(run, n, n_iter=None, eta=None, failure=None):
+    return [(run, k, float(100 - k), 1.0, 0.0, 0.0, 0.0, 0.5 * k, 0.0 if k == eta else 0.5, "no more" if k == failure else None, n_iter) for k in range(1, n + 1)]
 
-    def step(k):
-        state["n"] += k
-        if state["n"] == fail:
-            raise RuntimeError("no more")
-        return {"iteration": state["n"], "losses": (1.0, 0, 0, 0, 0), "wall_s": 0.0, "eta": 0.5, "status": "completed"}
 
-    return run_stream.run({}, lambda: [{}], step, lambda it: [{"k": k} for k in range(2)], lambda: {"rmse": 1}, n, log, snap)
+@pytest.mark.parametrize(("n", "log", "snap"), [(10, 1, 5), (10, 3, 3), (7, 2, 4), (1, 1, 1), (12, 4, 6), (5, 2, 0)])
+def test_a_run_sends_what_is_planned(spark, tmp_path, n, log, snap):
+    plan = [(r["kind"], r["iteration"] if r["kind"] != "stage" else 0, r["slot"]) for r in run_stream.plan(spark, n, log, snap, 2).orderBy("seq").collect()]
+    got = run_stream.replay(spark.createDataFrame(_steps("a", n + 3, n), run_stream.STEP), str(tmp_path / "r"), log_every=log, snapshot_every=snap, n_snapshots=2)
+    assert [(r["kind"], r["iteration"], r["slot"]) for r in got.orderBy("step", "place").collect()] == plan
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, run_stream.STEP).coalesce(1).write.mode("append").parquet(src)
+
+    def go():
+        stream = spark.readStream.schema(run_stream.STEP).option("maxFilesPerTrigger", 1).parquet(src)
+        run_stream.start(run_stream.messages_of(run_stream.follow(stream, adapt_every=4), 2, 4, 1), folder).awaitTermination()
+        return spark.read.parquet(folder + "/messages").orderBy("run", "step", "place").collect()
+
+    a, b = _steps("a", 9, 8), _steps("b", 9, None, eta=7) + _steps("c", 9, None, failure=3)
+    put(a[:3] + b[:2])
+    first = go()
+    assert go() == first  # nothing new, nothing doubled
+    put(a[3:5] + b[2:14])
+    go()
+    put(a[5:] + b[14:])
+    got = go()
+    assert [(r["step"], r["kind"]) for r in got if r["run"] == "a" and r["kind"] in ("loss", "state", "metrics")] == [(1, "state"), (2, "loss"), (4, "loss"), (4, "state"), (6, "loss"), (8, "loss"), (8, "state"), (8, "metrics")]
+    assert [r["total"] for r in got if r["run"] == "a" and r["kind"] == "loss"] == [98.0, 96.0, 94.0, 92.0]
+    stalled = [r for r in got if r["run"] == "b"]
+    assert [r["kind"] for r in stalled][-5:] == ["loss", "stage", "state", "metrics", "stage"] and "stalled at iteration 7" in stalled[-4]["payload"] and max(r["step"] for r in stalled) == 7
+    assert [(r["run"], r["iteration"], r["message"]) for r in run_stream.failures(spark.createDataFrame(got)).collect()] == [("c", 3, "no more")]
+    assert got[-1]["kind"] == "error"
+
+
+def test_a_silent_run_beats(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame(_steps("a", 2) + _steps("b", 2, 2), run_stream.STEP).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(run_stream.STEP).parquet(src)
+    q = run_stream.start(run_stream.messages_of(run_stream.follow(stream, beat_ms=500), 1, 0, 0), str(tmp_path / "out"), processingTime="200 milliseconds")
+    try:
+        for _ in range(120):
+            q.awaitTermination(1)
+            rows = spark.read.parquet(str(tmp_path / "out/messages")).filter("payload LIKE '%beat%'").collect() if (tmp_path / "out/messages/_spark_metadata").exists() else []
+            if len(rows) >= 2:
+                break
+    finally:
+        q.stop()
+    assert {r["run"] for r in rows} == {"a"} and len({r["place"] for r in rows}) == len(rows) >= 2  # b has ended
 
 
-@pytest.mark.parametrize(("n", "log", "snap"), [(10, 1, 5), (10, 3, 3), (7, 2, 4), (1, 1, 1), (12, 4, 6), (5, 2, 0)])
-def test_planned_stream_is_what_runs(spark, n, log, snap):
-    plan = [(r["seq"], r["kind"], r["iteration"]) for r in run_stream.plan(spark, n, log, snap, 2).orderBy("seq").collect()]
-    done = [(s, m[0], 0 if m[0] == "stage" else m[1]) for s, m in enumerate(_run(n, log, snap))]
-    assert [(s, k, 0 if k == "stage" else i) for s, k, i in plan] == done
-
-
-def test_failures_are_told_then_raised(spark):
-    it, got = run_stream.guarded(_run(5, 1, 0, fail=2)), []
-    with pytest.raises(RuntimeError, match="no more"):
-        for m in it:
-            got.append(m)
-    assert got[-1][0] == "error" and "RuntimeError: no more" in got[-1][7] and got[-2][0] == "loss"
-    tables = list(run_stream.as_table(spark, _run(5, 1, 0), 4))
-    assert [t.count() for t in tables][:-1] == [4] * (len(tables) - 1) and tables[1].first()["seq"] == 4
-    beats = []
-    assert run_stream.with_heartbeat(lambda: __import__("time").sleep(0.25) or 7, beats.append, 0.1) == 7 and beats
-    assert [i for i in range(10) if run_stream.window_due(i, 4)] == [4, 8]
+def test_window_is_drawn_anew(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame(_steps("a", 9), run_stream.STEP).coalesce(1).write.parquet(src)
+    seen = []
+    q = run_stream.follow(spark.readStream.schema(run_stream.STEP).parquet(src), adapt_every=4).writeStream.foreachBatch(lambda df, n: seen.extend(df.filter("redraw").collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["iteration"] for r in seen) == [5, 9]
 
 
 def test_sql_functions_are_inlined(spark):
