@@ -3,14 +3,15 @@
 1. Each document's distinct five-word shingles give 160 MinHash samples. Bands of five
    name its buckets; all samples, hashed to bits and folded by parity, make its odd sketch
    (512 bits). The ones in the XOR of two sketches estimate how many samples differ.
-2. Documents with equal sets form a class by a 128-bit digest; one of each class goes on.
-3. In each bucket every member is checked against the bucket's smallest id: lengths and
+2. Documents with equal sets form a class by a 128-bit digest; classes are numbered, and one
+   document of each goes on under that number, so an id that comes with several texts is in as many classes.
+3. In each bucket every member is checked against the bucket's smallest class: lengths and
    sketches first, then the full sets. That takes one check a member, however large the bucket.
 4. Buckets whose other members those links don't bring together are checked pair by pair,
    leaving out pairs that the links join already, and those within the bucket's largest
    part. Such a bucket is cut into blocks of bounded size and its pairs of blocks spread
    over tasks; within one, links that join nothing new aren't confirmed or returned.
-5. Links and classes give the components.
+5. Links, and classes that share an id, give the components; each is named by its smallest id.
 
 So every pair that shares a bucket is either linked exactly, joined by exact links, refuted,
 or thrown out by its sketches. Pairs at 0.85 share none of the 25 buckets with a chance of
@@ -18,7 +19,8 @@ or thrown out by its sketches. Pairs at 0.85 share none of the 25 buckets with a
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than five words has
 its whole sequence as its one shingle. Null and wordless texts are linked with nothing.
-Rows with equal ids count as linked; rows with a null id are kept and linked with nothing.
+Rows with equal ids count as linked, whatever their texts (all with one of words); rows with a null id are
+kept and linked with nothing. Ids are integers; others are an error.
 """
 
 from __future__ import annotations
@@ -82,6 +84,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return tuple(int(textnp.mix(s ^ textnp._PLACE[k]).sum(dtype=U64).view(np.int64)) for k in (1, 2))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS) -> DataFrame:
     """id, n (set size), d1, d2 (digest), sketch, bands of each row."""
 
@@ -91,8 +98,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS
                 n, d1, d2, sketches, bands = [], [], [], [], []
                 for s in textnp.shingle_sets(*textnp.utf8(block.column("t"))):
                     n.append(len(s))
-                    d1.append(int(textnp.mix(s ^ textnp._PLACE[1]).sum(dtype=U64).view(np.int64)))
-                    d2.append(int(textnp.mix(s ^ textnp._PLACE[2]).sum(dtype=U64).view(np.int64)))
+                    a, b = digest(s)
+                    d1.append(a)
+                    d2.append(b)
                     if len(s):
                         samples = minhashes(s)
                         sketches.append(odd_sketch(samples).tolist())
@@ -107,16 +115,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sketch array<long>, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and sorted shingles (binary) of the documents in ``ids``, one row an id."""
+def full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k and sorted shingles (binary) of the classes (k, rep, n, d1, d2), out of the documents that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in textnp.blocks(batch, "t"):
-                yield pa.RecordBatch.from_arrays([block.column("i"), pa.array([s.tobytes() for s in textnp.shingle_sets(*textnp.utf8(block.column("t")))], pa.binary())], ["id", "shingles"])
+                found: dict = {}  # equal rows of a block go on once
+                for i, x in zip(block.column("i").to_pylist(), textnp.shingle_sets(*textnp.utf8(block.column("t"))), strict=True):
+                    found.setdefault((i, len(x), *digest(x)), x)
+                i, n, d1, d2 = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (i, n, d1, d2)), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["rep", "n", "d1", "d2", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.join(sized(ids.select(F.col("id").alias("i"))), "i", "left_semi").mapInArrow(run, "id long, shingles binary")
+    rows = rows.join(sized(written(classes.select(F.col("rep").alias("i")).distinct())), "i", "left_semi").mapInArrow(run, "rep long, n long, d1 long, d2 long, shingles binary")
+    return rows.join(sized(classes), ["rep", "n", "d1", "d2"]).select("k", "shingles").dropDuplicates(["k"])
 
 
 def _differing(a: str, b: str):
@@ -131,8 +144,8 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a hot a's set is shipped once a part and its pairs lie in many tasks.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "part", "x")
-    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    first = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "part", "x")
+    second = sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
     pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +158,11 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def check_block(table: pa.Table, percent: int, bits: int) -> tuple[list[int], list[int]]:
-    """New links among rows of one pair of blocks (id, label, major, n, sketch, shingles, cross).
+    """New links among rows of one pair of blocks (k, label, major, n, sketch, shingles, cross).
 
     In a ``cross`` unit only pairs of a major and another row count. Pairs of one label are joined already.
     """
-    ids, label, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "label", "n"))
+    ids, label, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("k", "label", "n"))
     major = np.array(table.column("major").to_pylist(), bool)
     sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(U64).reshape(len(ids), -1)  # counts of ones are of unsigned numbers
     sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
@@ -184,33 +197,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``slack`` and ``bands`` (up to SAMPLES / ROWS) are made for the default ``percent``; a lower one needs others.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids are integers; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    ship(docs.sparkSession)
     bits = most_bits(SLACK if slack is None else slack)
     sig = written(signatures(docs, id_col, text_col, bands))
     some = sig.filter("n > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
-    chosen = classes.select(F.col("rep").alias("id"), "n", "d1", "d2")
-    reps = written(some.join(chosen, ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "sketch", "bands").dropDuplicates(["id", "n"]))
+    classes = some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    classes = written(classes.withColumn("k", F.monotonically_increasing_id()))
+    chosen = classes.withColumnRenamed("rep", "id")
+    reps = written(some.join(chosen, ["id", "n", "d1", "d2"]).select("k", "n", "sketch", "bands").dropDuplicates(["k"]))
 
     # buckets of two or more; those with the very same members count once
-    rows = reps.select("id", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")).filter("c > 1")
+    rows = reps.select("k", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("k").alias("p"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("k")).alias("x1"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("x2")).filter("c > 1")
     buckets = sized(written(buckets.groupBy("p", "c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "p", "c")))
     members = written(rows.join(buckets, "key"))
 
-    facts = reps.select("id", "n", "sketch")
-    one, two = (facts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    stars = members.filter("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    facts = reps.select("k", "n", "sketch")
+    one, two = (facts.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    stars = members.filter("k <> p").select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
     stars = stars.join(one, "a").join(two, "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_differing("sa", "sb") <= bits))
     stars = written(stars.select("a", "b"))
-    sets = written(full_sets(docs, written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()), id_col, text_col).dropDuplicates(["id"]))
-    links = written(confirm_pairs(stars, sets, percent))
-    discard(sets, stars)
+    need = written(classes.join(sized(written(stars.select(F.explode(F.array("a", "b")).alias("k")).distinct())), "k", "left_semi"))
+    sets = written(full_sets(docs, need, id_col, text_col))
+    links = written(confirm_pairs(stars, sets, percent).unionByName(same_ids(some, classes)))
+    discard(sets, stars, need)
     labels = written(connected_components(links, "a", "b"))
 
     # what the star checks left open
-    open_ = members.filter("c > 2 AND id <> p").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    open_ = members.filter("c > 2 AND k <> p").join(labels.withColumnRenamed("id", "k"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("label"))
     open_ = written(open_)
     parts = open_.groupBy("key", "label").agg(F.count("*").alias("m"))
     split = parts.groupBy("key").agg(F.max(F.struct("m", "label")).alias("big"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
@@ -218,17 +234,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not split.isEmpty():
         blocks = split.select("key", "major_label", F.ceil(F.col("r") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
         left = open_.join(sized(blocks), "key").withColumn("major", F.col("label") == F.col("major_label"))
-        left = written(left.select("key", "id", "label", "major", "nr", "nm"))
-        own = F.when(F.col("major"), F.pmod(F.xxhash64("id"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nr"))).cast("int")
+        left = written(left.select("key", "k", "label", "major", "nr", "nm"))
+        own = F.when(F.col("major"), F.pmod(F.xxhash64("k"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("k"), F.col("nr"))).cast("int")
         unit = lambda cross, i, j: F.struct(F.lit(cross).alias("cross"), i.alias("i"), j.alias("j"))
         to = lambda n: F.sequence(F.lit(0), n - 1)
         here = F.col("own")
         of_major = F.transform(to(F.col("nr")), lambda i: unit(True, i, here))
         of_rest = F.concat(F.transform(to(F.col("nm")), lambda j: unit(True, here, j)), F.transform(to(F.col("nr")), lambda j: unit(False, F.least(here, j), F.greatest(here, j))))
-        units = left.withColumn("own", own).select("key", "id", "label", "major", F.explode(F.when(F.col("major"), of_major).otherwise(of_rest)).alias("u"))
-        need = written(left.select("id").distinct())
-        more = written(full_sets(docs, need, id_col, text_col).dropDuplicates(["id"]))
-        loaded = units.select("key", "u.cross", "u.i", "u.j", "id", "label", "major").join(facts, "id").join(more, "id")
+        units = left.withColumn("own", own).select("key", "k", "label", "major", F.explode(F.when(F.col("major"), of_major).otherwise(of_rest)).alias("u"))
+        need = written(classes.join(sized(written(left.select("k").distinct())), "k", "left_semi"))
+        more = written(full_sets(docs, need, id_col, text_col))
+        loaded = units.select("key", "u.cross", "u.i", "u.j", "k", "label", "major").join(facts, "k").join(more, "k")
 
         def run(table: pa.Table) -> pa.Table:
             a, b = check_block(table, percent, bits)
@@ -238,15 +254,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(left, need, more)
         labels = written(connected_components(links, "a", "b"))
 
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    # a component's smallest id, for the classes that are linked with others
+    linked_ = written(classes.select("k", "rep").join(labels.withColumnRenamed("id", "k"), "k"))
+    names = linked_.groupBy("component").agg(F.min("rep").alias("name"))
+    named = classes.join(linked_.join(names, "component").select("k", "name"), "k", "left").select("n", "d1", "d2", F.coalesce("name", "rep").alias("component"))
     named = written(named)
-    discard(classes, reps, members, open_, split, labels)
+    discard(classes, reps, members, open_, split, labels, linked_)
     named = sized(named)
     out = sig.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def same_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the classes of an id that is in more than one."""
+    again = some.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
+    rows = some.select("id", "n", "d1", "d2").join(sized(written(again)), "id", "left_semi").join(classes.select("n", "d1", "d2", "k"), ["n", "d1", "d2"])
+    rows = written(rows.select("id", "k").distinct())
+    firsts = rows.groupBy("id").agg(F.min("k").alias("a"))
+    return rows.join(sized(written(firsts)), "id").filter("a <> k").select("a", F.col("k").alias("b"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that are kept, with the columns they came with; rows with a kept id all stay."""
     gone = sized(written(near_duplicates(docs, id_col, **options).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()))

@@ -66,6 +66,44 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(r["doc_id"] or -1 for r in near_dups.drop_near_duplicates(df).collect()) == [-1, -1, 1]
 
 
+def components_of_rows(rows, percent):
+    """Smallest id reachable from each row, over links of texts and of equal ids."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and (rows[a][0] == rows[b][0] or 100 * len(x & y) >= percent * len(x | y)):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for a in range(len(rows)):
+        least[find(a)] = min(least.get(find(a), rows[a][0]), rows[a][0])
+    return sorted((i, len(sets[a]), least[find(a)] if sets[a] else i) for a, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("percent", "block"), [(85, 1024), (80, 5)])
+def test_repeated_ids_lose_no_link(spark, monkeypatch, percent, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    a, b = ([f"{k}{i}" for i in range(40)] for k in "ab")
+    rows = [(5, a), (5, b), (7, [*a[:-1], "x"]), (9, [*b[:-1], "x"]), (2, [*b[:-1], "y"]), (7, ["q"] * 8), (3, ["q"] * 9), (4, []), (4, a[:7])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rng = np.random.default_rng(percent)
+    rows += [(int(rng.integers(20, 60)), t) for _, t in make(percent, 90, 50)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id int, text string").repartition(3)
+        options = {"percent": percent} | ({"slack": 0.58, "bands": 32} if percent == 80 else {})
+        got = near_dups.near_duplicates(df, **options).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components_of_rows(rows, percent)
+    with pytest.raises(TypeError, match="integers"):
+        near_dups.near_duplicates(df.selectExpr("concat('d', doc_id) AS doc_id", "text"))
+
+
 def test_sketch_estimates_high_similarity():
     rng = np.random.default_rng(1)
     missed = 0
