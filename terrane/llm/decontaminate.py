@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrane.llm import textnp
 from terrane.plans.shipping import ship
@@ -215,7 +216,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
     schema = f"i {kind}, k {item_kind}, n_tiles int, covered_words int, item_words int, coverage double"
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    item_type = pa.int64() if item_kind in ("bigint", "int") else pa.string()
+    item_type = to_arrow_type(bench.schema[item_col].dataType)
     found = []
     for ids, texts in benchmark_blocks(bench, item_col, item_text_col):
         shared = spark.sparkContext.broadcast((ids, Benchmark(texts)))  # BLOCK_WORDS words at most

@@ -71,6 +71,16 @@ def test_coverage_matches_search():
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "bigint", "string"])
+def test_items_of_any_id_type(spark, kind):
+    item = " ".join(f"t{k}" for k in range(9))
+    bench = spark.createDataFrame([(7, item), (8, item), (8, item), (9, "u v w x y z")], "item_id int, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")
+    docs = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "u v w x y")], "doc_id int, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    got = decontaminate.leaks(docs, bench)
+    assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert sorted((int(r["doc_id"]), int(r["item_id"]), r["covered_words"]) for r in got.collect()) == sorted([(1, 7, 9)] * 2 + [(1, 8, 9)] * 4 + [(3, 9, 5)])
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 20])
 def test_leaks(spark, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
