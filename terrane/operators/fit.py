@@ -2,7 +2,8 @@
 
 The network is a stack of gated blocks (four gates each). Its Jacobian is written out by
 reverse differentiation in NumPy, per Arrow batch; each partition adds up its own
-``J^T J`` and ``J^T r``, so what is sent is one square of parameters a partition.
+``J^T J`` and ``J^T r``, which are added up row by row on the executors, so one square of parameters
+reaches the driver. With fewer residuals than parameters that square is J J^T, made in tiles.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terrane.plans.shipping import ship
+from terrane.plans.storage import discard, sized, written
 
 GATES = ("z", "g", "r", "h")
 
@@ -129,8 +133,18 @@ def predict(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str]
     return df.select(*dict.fromkeys([*keys, *inputs])).mapInPandas(run, f"{kinds}, y array<double>")
 
 
+def _summed(parts: DataFrame) -> DataFrame:
+    """(i, row): rows of doubles (binary) with one number added up, part by part, on the executors."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in table.column("row"))
+        return pa.table({"i": pa.array([table.column("i")[0].as_py()], pa.int64()), "row": pa.array([total.tobytes()], pa.binary())})
+
+    return parts.groupBy("i").applyInArrow(add, "i long, row binary")
+
+
 def normal_equations(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], weight: str | None = None, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(J^T J, J^T r, sum of squares, rows), added up in each partition and then on the driver."""
+    """(J^T J, J^T r, sum of squares, rows): each partition adds up its own, rows of equal number are added up on the executors, and one square comes back."""
     ship(df.sparkSession)
     columns = [*inputs, *targets, *([weight] if weight else [])]
 
@@ -147,14 +161,101 @@ def normal_equations(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequ
                 v += j.T @ r.ravel()
                 loss += float((r * r).sum())
                 n += len(part)
-        yield pd.DataFrame({"g": [g.ravel().tolist()], "v": [v.tolist()], "loss": [loss], "n": [n]})
+        if n:
+            yield pd.DataFrame({"i": range(net.size + 2), "row": [*(x.tobytes() for x in g), v.tobytes(), np.array([loss, n], float).tobytes()]})
+
+    g, tail = np.zeros((net.size, net.size)), {net.size: np.zeros(net.size), net.size + 1: np.zeros(2)}
+    for r in _summed(df.select(*columns).mapInPandas(run, "i long, row binary")).toLocalIterator():
+        row = np.frombuffer(r["row"])
+        if r["i"] < net.size:
+            g[r["i"]] = row
+        else:
+            tail[r["i"]] = row
+    return g, tail[net.size], float(tail[net.size + 1][0]), int(tail[net.size + 1][1])
+
+
+#: Rows of a tile's side.
+TILE_ROWS = 512
+
+
+def row_tiles(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(blocks, tiles): rows packed by ``key`` (unique) into blocks, and J J^T of each pair of blocks, the lower half.
+
+    Blocks are shipped as inputs and their Jacobians made where a tile is, so what moves doesn't grow with the
+    parameters. ``blocks``: b, x, t (binary) and n; ``tiles``: b, c, tile (binary).
+    """
+    from terrane.operators.windows import sorted_ids
+
+    ship(df.sparkSession)
+    placed = sorted_ids(df.select(key, *inputs, *targets), [key], "__at", [key])
+
+    def pack(table: pa.Table) -> pa.Table:
+        p = table.to_pandas().sort_values("__at")
+        x, t = (p[list(c)].to_numpy(float) for c in (inputs, targets))
+        return pa.table({"b": pa.array([p["__b"].iloc[0]], pa.int64()), "n": pa.array([len(p)], pa.int64()), "x": pa.array([x.tobytes()], pa.binary()), "t": pa.array([t.tobytes()], pa.binary())})
+
+    blocks = written(placed.withColumn("__b", F.floor(F.col("__at") / TILE_ROWS)).groupBy("__b").applyInArrow(pack, "b long, n long, x binary, t binary"))
 
-    g, v, loss, n = np.zeros((net.size, net.size)), np.zeros(net.size), 0.0, 0
-    for row in df.select(*columns).mapInPandas(run, "g array<double>, v array<double>, loss double, n long").toLocalIterator():
-        g += np.array(row["g"]).reshape(net.size, net.size)
-        v += np.array(row["v"])
-        loss, n = loss + row["loss"], n + row["n"]
-    return g, v, loss, n
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                side = lambda c: net.jacobian(flat, np.frombuffer(batch.column(c)[k].as_buffer()).reshape(-1, len(inputs)))[1].reshape(-1, net.size)  # noqa: B023, E731
+                tile = side("x") @ side("y").T
+                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[k].as_py()], pa.int64()) for c in "bc"), pa.array([tile.tobytes()], pa.binary())], ["b", "c", "tile"])
+
+    others = blocks.select(F.col("b").alias("c"), F.col("x").alias("y"))
+    last = blocks.agg(F.max("b")).first()[0]
+    pairs = blocks.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("c")) if last is not None else blocks.select("b", F.col("b").alias("c"))
+    pairs = pairs.repartition("b", "c") if last else pairs
+    tiles = pairs.join(sized(blocks.select("b", "x")), "b").join(sized(others), "c").select("b", "c", "x", "y").mapInArrow(meet, "b long, c long, tile binary")
+    return blocks, tiles
+
+
+def step_by_rows(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], key: str, damping: float, most_rows: int = 8192) -> np.ndarray:
+    """The damped Gauss-Newton direction by way of the rows, for fewer residuals than parameters: ``J^T a``, ``(J J^T + damping diag) a = r``.
+
+    The driver holds the one square J J^T, filled tile by tile, and vectors; more than ``most_rows`` residuals are an error.
+    """
+    blocks, tiles = row_tiles(df, net, flat, inputs, targets, key)
+    sizes = {r["b"]: r["n"] * len(targets) for r in blocks.select("b", "n").collect()}
+    n = sum(sizes.values())
+    if n > most_rows:
+        raise ValueError(f"{n} residuals are more than the {most_rows} of the row side")
+    at = dict(zip(sorted(sizes), np.cumsum([0, *[sizes[b] for b in sorted(sizes)]]).tolist(), strict=False))
+    square = np.zeros((n, n))
+    for r in tiles.toLocalIterator():
+        b, c = r["b"], r["c"]
+        t = np.frombuffer(r["tile"]).reshape(sizes[b], sizes[c])
+        square[at[b] : at[b] + sizes[b], at[c] : at[c] + sizes[c]] = t
+        square[at[c] : at[c] + sizes[c], at[b] : at[b] + sizes[b]] = t.T
+
+    def sides(alpha: dict | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    b = batch.column("b")[k].as_py()
+                    x, t = (np.frombuffer(batch.column(c)[k].as_buffer()).reshape(-1, len(w)) for c, w in (("x", inputs), ("t", targets)))
+                    y, jac = net.jacobian(flat, x) if alpha is not None else (net.forward(flat, x)[0], None)
+                    row = (y - t).ravel() if alpha is None else jac.reshape(-1, net.size).T @ alpha[b]
+                    yield pa.RecordBatch.from_arrays([pa.array([b if alpha is None else 0], pa.int64()), pa.array([row.tobytes()], pa.binary())], ["i", "row"])
+
+        return run
+
+    r = np.zeros(n)
+    for row in blocks.mapInArrow(sides(None), "i long, row binary").toLocalIterator():
+        r[at[row["i"]] : at[row["i"]] + sizes[row["i"]]] = np.frombuffer(row["row"])
+    a = damped_direction(square, r, damping)
+    total = _summed(blocks.mapInArrow(sides({b: a[k : k + sizes[b]] for b, k in at.items()}), "i long, row binary")).first()
+    discard(blocks)
+    return np.zeros(net.size) if total is None else np.frombuffer(total["row"]).copy()
+
+
+def direction(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], key: str, damping: float = 1e-6) -> np.ndarray:
+    """The damped direction by the smaller side: rows if there are fewer residuals than parameters, else parameters."""
+    if df.count() * len(targets) < net.size:
+        return step_by_rows(df, net, flat, inputs, targets, key, damping)
+    g, v, _, _ = normal_equations(df, net, flat, inputs, targets)
+    return damped_direction(g, v, damping)
 
 
 def losses(df: DataFrame, net: Network, candidates: Sequence[np.ndarray], inputs: Sequence[str], targets: Sequence[str]) -> np.ndarray:
@@ -235,7 +336,7 @@ class Adam:
 
 
 def gradient(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str], targets: Sequence[str], chunk: int = 2048) -> tuple[np.ndarray, float]:
-    """(gradient of the mean square, mean square): each partition adds up its own, one vector a partition is sent."""
+    """(gradient of the mean square, mean square): each partition adds up its own, the parts are added up on the executors."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,12 +348,13 @@ def gradient(df: DataFrame, net: Network, flat: np.ndarray, inputs: Sequence[str
                 r = y - part[list(targets)].to_numpy(float)
                 v += np.einsum("nop,no->p", jac, r)
                 loss, n = loss + float((r * r).sum()), n + len(part)
-        yield pd.DataFrame({"v": [v.tolist()], "loss": [loss], "n": [n]})
+        yield pd.DataFrame({"i": [0], "row": [np.array([*v, loss, n]).tobytes()]})
 
-    v, loss, n = np.zeros(net.size), 0.0, 0
-    for row in df.select(*inputs, *targets).mapInPandas(run, "v array<double>, loss double, n long").toLocalIterator():
-        v, loss, n = v + np.array(row["v"]), loss + row["loss"], n + row["n"]
-    return 2.0 * v / max(n, 1), loss / max(n, 1)
+    total = _summed(df.select(*inputs, *targets).mapInPandas(run, "i long, row binary")).first()
+    if total is None:
+        return np.zeros(net.size), 0.0
+    *v, loss, n = np.frombuffer(total["row"])
+    return 2.0 * np.array(v) / max(n, 1.0), loss / max(n, 1.0)
 
 
 def scheduled(df: DataFrame, net: Network, inputs: Sequence[str], targets: Sequence[str], phases: Sequence[Phase], seed: int = 0, damping: float = 1e-6) -> Iterator[tuple[int, str, float, np.ndarray]]:
