@@ -17,7 +17,8 @@ judged on the input, so what went elsewhere doesn't matter.
 Before anything is dealt out, a task brings together what it has read: a hash that several of its
 documents share is settled among them, and one row goes on. A passage that fills a third of the
 corpus is a row a task. What is dealt out goes to parts of about PART_BYTES of text, so a
-task's memory doesn't grow with the corpus.
+task's memory doesn't grow with the corpus. What documents get back grows with the corpus too, so it meets
+them by a shuffle at every size.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null, empty and short texts have no windows and lose
 nothing; a null text stays null. Rows with equal ids are one document: none of them is earlier than
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import textnp
 from terrane.plans.shipping import ship
-from terrane.plans.storage import discard, sized, written
+from terrane.plans.storage import discard, written
 
 U64 = np.uint64
 WINDOW = 13
@@ -216,7 +217,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return run_hashes(words.hashes, at, window), run_hashes(words.hashes, at, window, 1), block.column("i").to_numpy()[words.text[at]]
 
     shared = _per_document(_hashed(rows, anchors_of, parts), parts)
-    some = rows.join(sized(shared), F.col("i") == F.col("__doc")).select("i", "t", "__hashes")
+    some = rows.join(shared, F.col("i") == F.col("__doc")).select("i", "t", "__hashes")
     late = _per_document(_hashed(some, windows_of, parts), parts)
     discard(shared)
     return late
@@ -228,7 +229,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Adds ``__n_words`` (of the input) and ``__n_removed``.
     """
     late = repeated_windows(docs, id_col, text_col, window)
-    joined = docs.withColumn(text_col, F.col(text_col).cast("string")).join(sized(late), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    joined = docs.withColumn(text_col, F.col(text_col).cast("string")).join(late, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
