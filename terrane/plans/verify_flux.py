@@ -1,10 +1,10 @@
-"""The balance at the vertices of a mesh and the whole loss, bound to the driver's tables, each beside its SQL."""
+"""The balance at the vertices of a mesh, the whole loss and what a basis tells apart, bound to the driver's tables, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import flux, residual
+from terrane.operators import flux, residual, spectral
 from terrane.plans.registry import query, table
 from terrane.plans.storage import written
 from terrane.plans.verify_wells import _T, _sql
@@ -113,3 +113,25 @@ def whole_loss(spark, d):
     terms = {"pde": pde, "ic": states("ic", "step = 0"), "data": states("data", "step > 0"), "well": table(spark, d, "lineitem").select(F.col("l_tax").alias("residual"))}
     out = residual.term_losses(terms, {"pde": 1.0, "ic": 0.5, "data": 2.0, "well": 3.0})
     return out.select("term", "n", F.round("loss", 5).alias("loss"), F.round("weighted", 5).alias("weighted"))
+
+
+_WIDTHS = """WITH w AS (SELECT k, {pick} AS picked FROM range(1, 13) AS r(k)),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT c, stddev_pop(v[c + 1]) AS s FROM v, range(64) AS r(c) GROUP BY c),
+cell AS (SELECT k, picked, {tol} * avg(s) AS cell FROM (SELECT k, picked, unnest(picked) AS c FROM w) JOIN s USING (c) GROUP BY k, picked)
+SELECT k::INTEGER AS width, count(*) AS n_rows, count(DISTINCT list_transform(picked, lambda c: floor(v[c + 1] / cell + 0.5))) AS n_distinct, round(any_value(cell), 9) AS cell FROM v, cell GROUP BY k"""
+
+
+@query(_WIDTHS.format(pick="range(k)", tol=2.0))
+def distinct_by_width(spark, d):
+    """How many embeddings each number of leading components tells apart."""
+    return spectral.distinct_by_width(table(spark, d, "embeddings"), "embedding", [range(k) for k in range(1, 13)], 2.0).withColumn("cell", F.round("cell", 9))
+
+
+@query(_WIDTHS.format(pick="CASE WHEN k < 4 THEN range(20, 20 + k) ELSE list_concat(range(40, 40 + k // 4), range(20, 20 + k - k // 4)) END", tol=1.5))
+def distinct_by_selection(spark, d):
+    """The same where the choice of components changes with their number: a quarter of them upright ones."""
+    upright = [1.0 if c >= 40 else 0.0 for c in range(64)]
+    values = [float((c - 20) % 64) for c in range(64)]
+    picked = [[20 + c for c in range(k)] if k < 4 else spectral.retained(values, upright, k, k // 4) for k in range(1, 13)]
+    return spectral.distinct_by_width(table(spark, d, "embeddings"), "embedding", picked, 1.5).withColumn("cell", F.round("cell", 9))
