@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.plans.storage import sized, written
+from terrane.operators.joins import nearest
+from terrane.plans.storage import written
 
 
 def ordinal(i: Column, j: Column, k: Column, nx: int, ny: int) -> Column:
@@ -109,10 +110,8 @@ def owners(cells: DataFrame, seeds: DataFrame, axes: Sequence[str]) -> DataFrame
         return done
     if starts.isEmpty():
         raise ValueError("no seeds to own the cells")
-    d2 = sum(((F.col(a) - F.col(f"__s_{a}")) * (F.col(a) - F.col(f"__s_{a}")) for a in axes), F.lit(0))
-    pairs = left.crossJoin(sized(starts.select("owner", *[F.col(a).alias(f"__s_{a}") for a in axes])))
-    nearest = pairs.groupBy(*axes).agg(F.min(F.struct(d2.alias("d"), "owner")).alias("m"))
-    return done.unionByName(nearest.select(*axes, F.col("m.owner").alias("owner"), F.lit(-1).alias("hops")))
+    far = nearest(left, starts, "owner", axes, "__near").select(*axes, F.col("__near").alias("owner"), F.lit(-1).alias("hops"))
+    return done.unionByName(far)
 
 
 def corner_points(cells: DataFrame, dx: str = "dx", dy: str = "dy", dz: str = "dz") -> DataFrame:

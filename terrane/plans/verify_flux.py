@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import flux, residual, spectral
+from terrane.operators import flux, mesh_build, residual, spectral
 from terrane.plans.registry import query, table
 from terrane.plans.storage import written
 from terrane.plans.verify_wells import _T, _sql
@@ -135,3 +135,25 @@ def distinct_by_selection(spark, d):
     values = [float((c - 20) % 64) for c in range(64)]
     picked = [[20 + c for c in range(k)] if k < 4 else spectral.retained(values, upright, k, k // 4) for k in range(1, 13)]
     return spectral.distinct_by_width(table(spark, d, "embeddings"), "embedding", picked, 1.5).withColumn("cell", F.round("cell", 9))
+
+
+@query("""
+WITH cell AS (SELECT c_custkey AS cell_id, c_custkey % 10 AS i, c_custkey // 10 % 5 AS j, c_custkey // 50 AS k, c_acctbal < 0 AS flat, 6.0 * (1 + c_nationkey % 3 * 0.1::DOUBLE) AS known FROM customer WHERE c_custkey % 17 <> 0),
+corner AS (SELECT cell_id, flat, s, i + s % 2 AS x, j + s // 2 % 2 AS y, CASE WHEN flat THEN k ELSE k + s // 4 END AS z, CASE WHEN flat AND s >= 4 THEN cell_id * 8 + s ELSE -1 END AS own FROM cell, range(8) AS r(s)),
+v AS (SELECT x, y, z, own, bool_or(NOT flat) AS used FROM corner GROUP BY 1, 2, 3, 4),
+o AS (SELECT * FROM (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) AS t(di, dj, dk)),
+f AS (SELECT c.cell_id, c.i, c.j, c.k, di, dj, dk FROM cell c, o WHERE NOT flat AND NOT EXISTS (SELECT 1 FROM cell n WHERE n.i = c.i + di AND n.j = c.j + dj AND n.k = c.k + dk)),
+b AS (SELECT DISTINCT i + s % 2 AS x, j + s // 2 % 2 AS y, k + s // 4 AS z FROM f, range(8) AS r(s) WHERE (di = 0 OR s % 2 = (di > 0)::INT) AND (dj = 0 OR s // 2 % 2 = (dj > 0)::INT) AND (dk = 0 OR s // 4 = (dk > 0)::INT)),
+e AS (SELECT abs(CASE WHEN flat THEN 0 ELSE 6 END - known) / known AS e FROM cell)
+SELECT 'cells' AS step, unnest(['active', 'valid', 'borrowing', 'volume']) AS measure, unnest([count(*), count(*) FILTER (NOT flat), count(*) FILTER (flat), 6 * count(*) FILTER (NOT flat)])::DOUBLE AS value FROM cell
+UNION ALL SELECT 'vertices', unnest(['made', 'reused']), unnest([count(*), 8 * (SELECT count(*) FROM cell) - count(*)])::DOUBLE FROM v UNION ALL SELECT 'kept', 'vertices', count(*) FILTER (used) FROM v
+UNION ALL SELECT 'boundary', 'quads', count(*) FROM f UNION ALL SELECT 'boundary', 'vertices', count(*) FROM b UNION ALL SELECT 'volume_error', unnest(['mean', 'largest']), round(unnest([avg(e), max(e)]), 6) FROM e""")
+def mesh_report(spark, d):
+    """A grid of customers, inactive and collapsed ones among them, as a repaired mesh: what each step did."""
+    c = F.col("c_custkey")
+    i, j, k = c % 10, F.floor(c / 10) % 5, F.floor(c / 50)
+    high = F.when(F.col("c_acctbal") < 0, 0).otherwise(3)
+    corner = lambda s: [(i + s % 2).cast("double"), ((j + s // 2 % 2) * 2).cast("double"), (k * 3 + s // 4 * high).cast("double")]
+    g = table(spark, d, "customer").select(c.alias("cell_id"), i.alias("i"), j.alias("j"), k.alias("k"), (c % 17 != 0).alias("active"), F.array(*[x for s in range(8) for x in corner(s)]).alias("corners"), (6.0 * (1 + F.col("c_nationkey") % 3 * 0.1)).alias("known"))
+    r = mesh_build.build(g, volume="known").report.filter("measure NOT IN ('by_centroid', 'most_hops')")
+    return r.select("step", "measure", F.when(F.col("step") == "volume_error", F.round("value", 6)).otherwise(F.round("value", 3)).alias("value"))
