@@ -50,11 +50,17 @@ def well_entries(report: DataFrame, controls: DataFrame, simulated: DataFrame, r
     """A row for each (ts, well, perforation, phase) that a control drives: kind, source, phase, weight, p_bh, rate.
 
     ``report`` is (ts, well), ``controls`` the schedule, ``simulated`` (well, ts, is_open, well_type) and
-    ``results`` (well, ts, summary channels) are read as of the report, ``perforations`` is (well, perf_id, weight).
-    The schedule goes before the simulation. A pressure control is kept on each perforation; a total
-    rate is split by phase and then over the perforations by weight, equally without any.
+    ``results`` (well, ts, summary channels) are read as of the report, ``perforations`` is (well, perf_id, weight) or,
+    where they change, (ts, well, perf_id, weight). The schedule goes before the simulation. A pressure control is kept on
+    each perforation; a rate goes to its phase and is dealt to the perforations by weight, equally without any; ``driven`` and
+    ``over_perforations`` are its two halves, between which ``well_metadata`` splits unphased totals.
     Wells that were simulated as shut, wells without control and rates of 0 have no rows.
     """
+    return over_perforations(driven(report, controls, simulated, results), perforations)
+
+
+def driven(report: DataFrame, controls: DataFrame, simulated: DataFrame, results: DataFrame) -> DataFrame:
+    """ts, well, kind (rate, bhp), source, phase, rate, p_bh, ``control`` (the schedule's code) and the observed channels of each controlled well."""
     channels = [*PRODUCED, *INJECTED, "wbhp"]
     x = wells.resolve_controls(report.select("well", "ts"), controls)
     x = temporal.asof(x, simulated.select("well", "ts", "is_open", "well_type"), ["well"], "ts", "ts", name="sim")
@@ -63,11 +69,63 @@ def well_entries(report: DataFrame, controls: DataFrame, simulated: DataFrame, r
     x = synthetic_control(x).withColumn("from_deck", F.col("kind").isNotNull())
     syn_phase = F.when(F.col("syn_phase") == "WATER", 1).when(F.col("syn_phase") == "GAS", 2).otherwise(0)
     pick = lambda own, syn: F.when(F.col("from_deck"), own).otherwise(syn)
-    x = x.select("ts", "well", pick(F.col("kind"), F.col("syn_kind")).alias("kind"), pick(F.col("source"), F.lit("SIMULATION")).alias("source"), pick(F.col("phase"), syn_phase).alias("phase"), pick(F.col("rate"), F.col("syn_rate")).alias("rate"), pick(F.col("bhpt"), F.col("syn_bhpt")).alias("p_bh"), *channels).filter("kind IN ('rate', 'bhp')")
-    heads = x.filter("kind = 'bhp' AND p_bh IS NOT NULL").join(perforations, "well").select("ts", "well", "perf_id", "kind", "source", "phase", "weight", "p_bh", F.lit(None).cast("double").alias("rate"))
-    flow = aggregates.allocate_or_equal(x.filter("kind = 'rate' AND rate <> 0").join(perforations, "well"), ["ts", "well"], "rate", "weight", out="rate_perf")
-    rates = flow.select("ts", "well", "perf_id", "kind", "source", "phase", "weight", F.lit(None).cast("double").alias("p_bh"), F.col("rate_perf").alias("rate"))
-    return heads.unionByName(rates)
+    x = x.select("ts", "well", pick(F.col("kind"), F.col("syn_kind")).alias("kind"), pick(F.col("source"), F.lit("SIMULATION")).alias("source"), pick(F.col("phase"), syn_phase).alias("phase"), pick(F.col("rate"), F.col("syn_rate")).alias("rate"), pick(F.col("bhpt"), F.col("syn_bhpt")).alias("p_bh"), F.when(F.col("from_deck"), F.col("control")).alias("control"), *channels)
+    return x.filter("kind IN ('rate', 'bhp')")
+
+
+def over_perforations(x: DataFrame, perforations: DataFrame) -> DataFrame:
+    """Rows of ``driven`` on their perforations: pressures on each, rates by weight within (ts, well, phase)."""
+    on = ["ts", "well"] if "ts" in perforations.columns else ["well"]
+    columns = ["ts", "well", "perf_id", "kind", "source", "phase", "weight"]
+    heads = x.filter("kind = 'bhp' AND p_bh IS NOT NULL").join(perforations, on).select(*columns, "p_bh", F.lit(None).cast("double").alias("rate"))
+    flow = aggregates.allocate_or_equal(x.filter("kind = 'rate' AND rate <> 0").join(perforations, on), ["ts", "well", "phase"], "rate", "weight", out="rate_perf")
+    return heads.unionByName(flow.select(*columns, F.lit(None).cast("double").alias("p_bh"), F.col("rate_perf").alias("rate")))
+
+
+#: Controls whose rate is of no one phase, by the phases that it adds up.
+TOTALS = {"LRAT": ("wopr", "wwpr"), "RESV": ("wopr", "wwpr", "wgpr")}
+
+
+def split_totals(x: DataFrame) -> DataFrame:
+    """Rows of ``driven`` with totals (TOTALS) dealt to their phases by the rates observed; without any they stay on the phase they had."""
+    flows = {c: F.coalesce(_flows(c), F.lit(0.0)) for c in PRODUCED}
+    out = F.array(F.struct(F.col("phase").alias("phase"), F.col("rate").alias("rate")))
+    for code, parts in TOTALS.items():
+        total = sum((flows[c] for c in parts), F.lit(0.0))
+        each = F.array(*[F.struct(F.lit(PRODUCED.index(c)).alias("phase"), (F.col("rate") * flows[c] / F.when(total > 0, total)).alias("rate")) for c in parts])
+        held = F.filter(each, lambda e: e["rate"] != 0)
+        out = F.when((F.col("kind") == "rate") & (F.upper("control") == code) & (total > 0), held).otherwise(out)
+    return x.withColumn("__p", F.explode(out)).withColumns({"phase": F.col("__p.phase"), "rate": F.col("__p.rate")}).drop("__p")
+
+
+def open_completions(report: DataFrame, completions: DataFrame) -> DataFrame:
+    """ts, well, cell_id, cf, r_w and skin of the completions that are open at each report: the newest row of a (well, cell) by then.
+
+    ``completions``: well, cell_id, ts, seq, status, cf, r_w, skin. A completion holds until a later row of its cell; before
+    its first it isn't there.
+    """
+    cells = report.select("ts", "well").distinct().join(completions.select("well", "cell_id").distinct(), "well")
+    x = temporal.asof(cells, completions, ["well", "cell_id"], "ts", "ts", ["seq"], name="c")
+    return x.filter(F.upper("c.status") == "OPEN").select("ts", "well", "cell_id", *[F.col(f"c.{n}").alias(n) for n in ("cf", "r_w", "skin")])
+
+
+def well_metadata(report: DataFrame, controls: DataFrame, simulated: DataFrame, results: DataFrame, completions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Everything of the wells at each report in one plan: the rows of ``well_entries`` with ``why`` a perforation has no index.
+
+    ``completions`` (see ``open_completions``) are read as of the report; ``blocks`` (cell_id, k: nine numbers, tx, ty, tz, hx, hy, hz) give
+    Peaceman's index where a completion brings no factor of its own. The control is resolved, totals are split
+    by the phases observed, and rates dealt by index. A perforation is its cell; one in no block, or without an index, weighs nothing.
+    """
+    open_ = open_completions(report, completions).join(blocks, "cell_id", "left")
+    bore = open_.withColumns({"r_w": F.coalesce("r_w", F.lit(0.5)), "skin": F.coalesce("skin", F.lit(0.0))})
+    shapes = bore.filter("k IS NOT NULL").select("cell_id", "k", "tx", "ty", "tz", "hx", "hy", "hz", "r_w", "skin").dropDuplicates(["cell_id", "r_w", "skin"])
+    index = wells.peaceman(shapes, ["cell_id", "r_w", "skin"]).select("cell_id", "r_w", "skin", "wi", "why")
+    x = bore.select("ts", "well", "cell_id", "cf", "r_w", "skin").join(index, ["cell_id", "r_w", "skin"], "left")
+    factor = F.when(F.col("cf") > 0, F.col("cf"))
+    why = F.when(factor.isNull(), F.when(F.col("wi").isNull(), F.coalesce("why", F.lit("no block"))))
+    perforations = x.select("ts", "well", F.col("cell_id").alias("perf_id"), F.coalesce(factor, "wi", F.lit(0.0)).alias("weight"), why.alias("why"))
+    entries = over_perforations(split_totals(driven(report, controls, simulated, results)), perforations.drop("why"))
+    return entries.join(perforations.select("ts", "well", "perf_id", "why"), ["ts", "well", "perf_id"])
 
 
 def packed(perforations: DataFrame) -> DataFrame:

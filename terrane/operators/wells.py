@@ -20,7 +20,7 @@ GRAVITY = 0.006944
 
 
 def resolve_controls(report: DataFrame, schedule: DataFrame) -> DataFrame:
-    """The control of each (well, ts) of ``report``: kind (closed, rate, bhp, null), source, mode, phase, signed rate and bhpt.
+    """The control of each (well, ts) of ``report``: kind (closed, rate, bhp, null), source, mode, phase, signed rate, bhpt and control.
 
     ``schedule`` has rows of ``terrane.sources.deck.controls``, with source EVENT for events.
     An event goes before all else; else the newest of producer, injector and history rows
@@ -40,7 +40,7 @@ def resolve_controls(report: DataFrame, schedule: DataFrame) -> DataFrame:
     source = F.when(has_event, "EVENT").otherwise(F.col("c.source"))
     rate = F.when(source == "WCONINJE", pick("rate")).otherwise(-F.abs(pick("rate")))
     phase = F.when(F.upper(pick("phase")) == "WATER", 1).when(F.upper(pick("phase")) == "GAS", 2).when(F.upper(pick("control")) == "WRAT", 1).when(F.upper(pick("control")) == "GRAT", 2).otherwise(0)
-    return x.select(*report.columns, F.when(at.isNotNull(), kind).alias("kind"), source.alias("source"), mode.alias("mode"), phase.alias("phase"), F.when(F.coalesce(kind == "rate", F.lit(False)), rate).alias("rate"), pick("bhpt").alias("bhpt"))
+    return x.select(*report.columns, F.when(at.isNotNull(), kind).alias("kind"), source.alias("source"), mode.alias("mode"), phase.alias("phase"), F.when(F.coalesce(kind == "rate", F.lit(False)), rate).alias("rate"), pick("bhpt").alias("bhpt"), pick("control").alias("control"))
 
 
 def tensor_index(k11: Column, k12: Column, k22: Column, d1: Column, d2: Column, h: Column, r_w: Column, skin: Column) -> dict[str, Column]:

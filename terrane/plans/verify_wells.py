@@ -71,6 +71,41 @@ def well_entries(spark, d):
     return out.select("well", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "perf_id", "kind", "source", "phase", _r("p_bh", 3).alias("p_bh"), _r("rate", 3).alias("rate"))
 
 
+@query("""
+WITH p AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase'),
+c AS (SELECT *, CASE WHEN event_type = 'signup' THEN ['LRAT', 'ORAT', 'RESV'][event_id % 3 + 1] END AS control FROM events WHERE event_type IN ('signup', 'error')), k AS (SELECT * FROM events WHERE event_type = 'click'),
+v AS (SELECT user_id, event_id % 26 AS cell, ts, value >= 8 AS is_open, CASE WHEN event_id % 5 = 0 THEN value END AS cf FROM events WHERE event_type = 'view'),
+j AS (SELECT p.user_id, p.ts, c.event_type AS ct, c.value AS cv, control, k.value AS kv, k.event_id AS ke FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts ASOF LEFT JOIN k ON p.user_id = k.user_id AND p.ts >= k.ts),
+x AS (SELECT *, CASE WHEN ct IS NULL THEN CASE WHEN kv IS NOT NULL THEN 'rate' END WHEN ct = 'signup' OR cv > 30 THEN 'rate' ELSE 'bhp' END AS kind, CASE WHEN ct IS NULL THEN 'SIMULATION' WHEN ct = 'error' THEN 'WCONINJE' ELSE 'WCONPROD' END AS source,
+  CASE WHEN ct IS NULL THEN -(kv + kv / 3 + CASE WHEN ke % 2 = 0 THEN kv / 7 ELSE 0 END) WHEN cv > 30 THEN CASE WHEN ct = 'error' THEN cv ELSE -cv END END AS total, kv AS f0, kv / 3 AS f1, CASE WHEN ke % 2 = 0 THEN kv / 7 ELSE 0 END AS f2 FROM j WHERE kv IS NULL OR kv >= 5),
+s AS (SELECT *, CASE WHEN kind = 'rate' AND kv IS NOT NULL AND control = 'LRAT' THEN [f0 / (f0 + f1), f1 / (f0 + f1), 0] WHEN kind = 'rate' AND kv IS NOT NULL AND control = 'RESV' THEN [f0 / (f0 + f1 + f2), f1 / (f0 + f1 + f2), f2 / (f0 + f1 + f2)] ELSE [1, 0, 0] END AS parts FROM x WHERE kind IS NOT NULL),
+q AS (SELECT *, total * parts[phase + 1] AS rate FROM s, range(3) AS n(phase) WHERE parts[phase + 1] > 0),
+b AS (SELECT n_nationkey AS cell, 10.0 + n_nationkey AS kx, 2 * (10.0 + n_nationkey) AS ky, 10.0 + n_nationkey AS h, sqrt(2::DOUBLE) AS ratio FROM nation),
+w AS (SELECT cell, 2 * pi() * h * sqrt(kx * ky) / (ln(0.28 * sqrt(ratio * 1e4 + 6400 / ratio) / (sqrt(ratio) + 1 / sqrt(ratio)) / 0.5) + 0.25) AS wi FROM b),
+o AS (SELECT t.user_id, t.cell, t.ts, v.cf FROM (SELECT p.user_id, p.ts, u.cell FROM p JOIN (SELECT DISTINCT user_id, cell FROM v) u ON u.user_id = p.user_id) t ASOF JOIN v ON t.user_id = v.user_id AND t.cell = v.cell AND t.ts >= v.ts WHERE is_open),
+m AS (SELECT o.*, coalesce(cf, wi, 0) AS weight, CASE WHEN cf IS NULL AND wi IS NULL THEN 'no block' END AS why FROM o LEFT JOIN w USING (cell)),
+z AS (SELECT q.user_id, q.ts, m.cell, kind, source, phase, rate, cv, weight, why, sum(weight) OVER g AS sw, count(*) OVER g AS n FROM q JOIN m ON m.user_id = q.user_id AND m.ts = q.ts WINDOW g AS (PARTITION BY q.user_id, q.ts, phase))
+SELECT user_id::VARCHAR AS well, epoch_us(ts) AS at, cell AS perf_id, kind, source, phase::INTEGER AS phase, round(weight, 4) AS weight, CASE WHEN kind = 'bhp' THEN round(cv * 10, 3) END AS p_bh,
+  CASE WHEN kind = 'rate' THEN round(rate * CASE WHEN sw > 0 THEN weight / sw ELSE 1 / n::DOUBLE END, 4) END AS rate, why FROM z WHERE kind = 'bhp' OR rate <> 0""")
+def well_metadata(spark, d):
+    """Controls, splits, completions by time and Peaceman's index of every report, in one plan."""
+    e = table(spark, d, "events").withColumn("well", F.col("user_id").cast("string"))
+    kind, v, n = F.col("event_type"), F.col("value"), F.col("event_id")
+    none = F.lit(None).cast("double")
+    report = e.filter("event_type = 'purchase'").select("well", "ts").distinct()
+    code = F.when(kind == "signup", F.element_at(F.array(*map(F.lit, ("LRAT", "ORAT", "RESV"))), (n % 3 + 1).cast("int")))
+    schedule = e.filter(kind.isin("signup", "error")).select("well", "ts", n.alias("seq"), F.when(kind == "signup", "WCONPROD").otherwise("WCONINJE").alias("source"), F.lit(None).cast("string").alias("mode"), code.alias("control"), F.lit(None).cast("string").alias("phase"), F.when(v > 30, v).alias("rate"), (v * 10).alias("bhpt"))
+    clicks = e.filter("event_type = 'click'")
+    results = clicks.select("well", "ts", v.alias("wopr"), (v / 3).alias("wwpr"), F.when(n % 2 == 0, v / 7).alias("wgpr"), none.alias("wwir"), none.alias("wgir"), (v * 100).alias("wbhp"))
+    simulated = clicks.select("well", "ts", (v >= 5).alias("is_open"), F.lit("PRODUCER").alias("well_type"))
+    completions = e.filter("event_type = 'view'").select("well", (n % 26).alias("cell_id"), "ts", n.alias("seq"), F.when(v >= 8, "OPEN").otherwise("SHUT").alias("status"), F.when(n % 5 == 0, v).alias("cf"), none.alias("r_w"), F.lit(0.25).alias("skin"))
+    k = F.col("n_nationkey").cast("double")
+    zero = F.lit(0.0)
+    blocks = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("cell_id"), F.array(10 + k, zero, zero, zero, 2 * (10 + k), zero, zero, zero, F.lit(1.0)).alias("k"), zero.alias("tx"), zero.alias("ty"), F.lit(1.0).alias("tz"), F.lit(100.0).alias("hx"), F.lit(80.0).alias("hy"), (10 + k).alias("hz"))
+    out = well_pack.well_metadata(report, schedule, simulated, results, completions, blocks)
+    return out.select("well", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "perf_id", "kind", "source", "phase", _r("weight", 4).alias("weight"), _r("p_bh", 3).alias("p_bh"), _r("rate", 4).alias("rate"), "why")
+
+
 @query("""
 SELECT l_suppkey AS well, l_partkey AS perf_id, dense_rank() OVER (ORDER BY l_suppkey, l_partkey) - 1 AS perf_no, dense_rank() OVER (ORDER BY l_suppkey) - 1 AS well_no
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
