@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from terrane.plans import verify_cells, verify_core, verify_flux, verify_residual, verify_schedule, verify_tables, verify_wells  # noqa: E402, F401
+from terrane.plans import verify_cells, verify_core, verify_decks, verify_flux, verify_residual, verify_schedule, verify_tables, verify_wells  # noqa: E402, F401
