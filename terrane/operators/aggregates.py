@@ -85,9 +85,9 @@ def group_losses(df: DataFrame, group: str, residual: str, weights: dict[str, fl
 
 
 def residual_rows(df: DataFrame, group: str, residual: str, weight: Column, out: str = "row") -> DataFrame:
-    """``sqrt(w / n) * r``: the squares of a group add up to its weighted loss. Counts come by a small join, so a large group isn't gathered."""
+    """``sqrt(w / n) * r``: the squares of a group add up to its weighted loss. Counts come by a join that Spark broadcasts only if they turn out small, so a large group isn't gathered."""
     n = df.groupBy(group).agg(F.count(residual).alias("__n"))
-    return df.join(F.broadcast(n), group).withColumn(out, F.sqrt(weight / F.col("__n")) * F.col(residual)).drop("__n")
+    return df.join(n, group).withColumn(out, F.sqrt(weight / F.col("__n")) * F.col(residual)).drop("__n")
 
 
 def quantized_distinct(df: DataFrame, vector: str, size: int, tol: float) -> DataFrame:

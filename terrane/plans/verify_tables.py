@@ -245,15 +245,15 @@ k AS (SELECT slot FROM range(2) AS r(slot)),
 m AS (
   SELECT run, i AS step, 0 AS g, n AS c, 'stage' AS kind, 0 AS iteration, NULL AS slot, [0.02, 0.18, 0.38, 0.55][n + 1]::DOUBLE AS total, 0.0 AS pde, '' AS said, NULL AS best FROM l, range(4) AS r(n) WHERE i = 1
   UNION ALL SELECT run, i, 1, 0, 'grid', 0, NULL, 0.0, 0.0, NULL, NULL FROM l WHERE i = 1
-  UNION ALL SELECT run, i, 2, 0, 'stage', 0, NULL, 0.6, 0.0, 'training for ' || coalesce(n_iter::VARCHAR, 'any number of') || ' iterations', NULL FROM l WHERE i = 1
+  UNION ALL SELECT run, i, 2, 0, 'stage', 0, NULL, 0.6, 0.0, 'steps to go: ' || coalesce(n_iter::VARCHAR, 'no end set'), NULL FROM l WHERE i = 1
   UNION ALL SELECT run, i, 3, slot, 'state', 0, slot, 0.0, 0.0, NULL, NULL FROM l, k WHERE i = 1
   UNION ALL SELECT run, i, 4, 0, 'loss', i, NULL, total, pde, NULL, NULL FROM l WHERE logged
   UNION ALL SELECT run, i, 5, 0, 'error', i, NULL, 0.0, 0.0, failure, NULL FROM l WHERE status = 'failed'
-  UNION ALL SELECT run, i, 6, 0, 'stage', 0, NULL, 0.95, 0.0, 'stopped early: stalled at iteration ' || i, NULL FROM l WHERE status = 'stalled'
+  UNION ALL SELECT run, i, 6, 0, 'stage', 0, NULL, 0.95, 0.0, 'no step helps after iteration ' || i, NULL FROM l WHERE status = 'stalled'
   UNION ALL SELECT run, i, 7, slot, 'state', i, slot, 0.0, 0.0, NULL, NULL FROM l, k WHERE logged AND NOT ended AND i % 6 = 0
   UNION ALL SELECT run, i, 8, slot, 'state', i, slot, 0.0, 0.0, NULL, NULL FROM l, k WHERE ended
   UNION ALL SELECT run, i, 9, 0, 'metrics', i, NULL, 0.0, 0.0, NULL, best FROM l WHERE ended
-  UNION ALL SELECT run, i, 10, 0, 'stage', 0, NULL, 1.0, 0.0, 'finished ' || i || ' iterations', NULL FROM l WHERE ended)
+  UNION ALL SELECT run, i, 10, 0, 'stage', 0, NULL, 1.0, 0.0, 'ended with iteration ' || i, NULL FROM l WHERE ended)
 SELECT run, step, row_number() OVER (PARTITION BY run, step ORDER BY g, c) - 1 AS place, kind, iteration::INTEGER AS iteration, slot::INTEGER AS slot, total, pde, said, best FROM m""")
 def run_messages(spark, d):
     """Events as the steps of their users' runs, streamed through the state of each run."""

@@ -154,17 +154,17 @@ def messages_of(followed: DataFrame, log_every: int = 1, snapshot_every: int = 5
     step, ended = F.col("kind") == "step", (F.col("kind") == "step") & status.isin(COMPLETED, STALLED)
     logged = step & (status != FAILED) & ((i % max(1, log_every) == 0) | ended)
     due = logged & ~ended & (i % snapshot_every == 0) if snapshot_every > 0 else F.lit(False)
-    goal = F.concat(F.lit("training for "), F.coalesce(F.col("n_iter").cast("string"), F.lit("any number of")), F.lit(" iterations"))
+    goal = F.concat(F.lit("steps to go: "), F.coalesce(F.col("n_iter").cast("string"), F.lit("no end set")))
     loss = F.to_json(F.struct(F.col("wall_s"), F.col("eta")), {"ignoreNullFields": "false"})
     head = [*[_stage(name, at, F.lit("")) for name, at in STAGES], _body("grid", F.lit(0), F.lit("")), _stage("train", TRAIN, goal)]
-    stalled = _stage("train", STOPPED, F.concat(F.lit("stopped early: stalled at iteration "), i.cast("string")))
+    stalled = _stage("train", STOPPED, F.concat(F.lit("no step helps after iteration "), i.cast("string")))
     metrics = F.to_json(F.struct(i.alias("iterations"), F.col("total").alias("last"), F.col("best")))
     beat = _stage("wait", TRAIN, F.concat(F.lit("beat "), F.col("beat").cast("string"), F.lit(" after iteration "), i.cast("string")))
     all_ = F.concat(
         some(step & (i == 1), *head), F.when(step & (i == 1), slots(F.lit(0))).otherwise(none),
         some(F.col("kind") == "beat", beat), some(logged, _body("loss", i, loss, losses=True)), some(step & (status == FAILED), _body("error", i, F.to_json(F.struct(F.col("failure").alias("message"))))),
         some(step & (status == STALLED), stalled), F.when(due, slots(i)).otherwise(none), F.when(ended, slots(i)).otherwise(none),
-        some(ended, _body("metrics", i, metrics), _stage("done", DONE, F.concat(F.lit("finished "), i.cast("string"), F.lit(" iterations")))))
+        some(ended, _body("metrics", i, metrics), _stage("done", DONE, F.concat(F.lit("ended with iteration "), i.cast("string")))))
     rows = followed.select("run", i.alias("step"), (F.col("beat") * 1_000_000).alias("__beat"), F.posexplode(all_).alias("__at", "m"))
     return rows.select("run", "step", (F.col("__beat") + F.col("__at")).alias("place"), "m.*")
 
