@@ -68,16 +68,21 @@ def near_contacts(vertices: DataFrame, xtol: float, samples: int = 5) -> DataFra
     """src and dst component, n (vertices of src whose nearest of dst is within ``xtol``), min_distance and ``samples`` of them.
 
     ``vertices`` is (vertex_id, component, x, y, z). Both sides meet in cells of ``xtol``, so
-    components that are further apart have no row. Of vertices as near the lowest id counts.
+    components that are further apart have no row. Of vertices as near the lowest id counts. Vertices of one
+    component and place look for their nearest once.
     """
     axes = "xyz"
-    own = vertices.select("vertex_id", "component", *axes, *[F.floor(F.col(a) / xtol).cast("long").alias(f"__{a}") for a in axes])
-    other = vertices.select(F.col("vertex_id").alias("other_id"), F.col("component").alias("dst"), *[F.col(a).alias(f"o{a}") for a in axes])
+    place = ["component", *axes]
+    own = vertices.select("vertex_id", *place)
+    places = written(own.groupBy(*place).agg(F.min("vertex_id").alias("other_id")).withColumns({f"__{a}": F.floor(F.col(a) / xtol).cast("long") for a in axes}))
+    other = places.select("other_id", F.col("component").alias("dst"), *[F.col(a).alias(f"o{a}") for a in axes], *[f"__{a}" for a in axes])
     for a in axes:
-        other = other.withColumn(f"__{a}", F.explode(F.array(*[F.floor(F.col(f"o{a}") / xtol).cast("long") + s for s in (-1, 0, 1)])))
+        other = other.withColumn(f"__{a}", F.explode(F.array(*[F.col(f"__{a}") + s for s in (-1, 0, 1)])))
     d2 = sum(((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in axes), F.lit(0.0))
-    met = own.join(other, [f"__{a}" for a in axes]).filter(F.col("component") != F.col("dst")).withColumn("d", F.sqrt(d2)).filter(F.col("d") <= xtol)
-    near = met.groupBy(F.col("component").alias("src"), "dst", "vertex_id").agg(F.min(F.struct("d", "other_id")).alias("m"))
+    # the 27 rows of a place are more than Spark reckons, so it mustn't broadcast them
+    met = places.drop("other_id").join(other.hint("merge"), [f"__{a}" for a in axes]).filter(F.col("component") != F.col("dst")).withColumn("d", F.sqrt(d2)).filter(F.col("d") <= xtol)
+    hit = met.groupBy(*place, "dst").agg(F.min(F.struct("d", "other_id")).alias("m"))
+    near = own.join(hit, place).groupBy(F.col("component").alias("src"), "dst", "vertex_id").agg(F.min("m").alias("m"))
     counts = near.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("m.d").alias("min_distance"))
     first = near.withColumn("__r", F.row_number().over(Window.partitionBy("src", "dst").orderBy("vertex_id"))).filter(F.col("__r") <= samples)
     shown = first.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("vertex_id", "m.other_id", F.col("m.d").alias("distance")))).alias("samples"))  # ``samples`` rows a pair

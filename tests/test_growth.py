@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import residual
+from terrane.operators import mesh, residual
 
 
 def perforations(spark, n, shapes=4):
@@ -45,3 +45,12 @@ def test_shares_of_perforations_alike(spark):
         assert all(got[v["vertex_id"], x["perf_no"]] == pytest.approx(gauss(v, x) * v["volume"] / total, abs=5.1e-7) for v in ns)
     plan = residual.nodal_partition(n, p)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan  # the product stays where it is made
+
+
+def test_contacts_of_vertices_in_few_places(spark):
+    k = F.col("id")
+    v = spark.range(120_000).select(k.alias("vertex_id"), (k % 3).cast("int").alias("component"), (k % 3 * 0.5 + F.floor(k / 3) % 4 * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    began = time.monotonic()
+    got = {(r["src"], r["dst"]): (r["n"], r["min_distance"], [tuple(s) for s in r["samples"]][:2]) for r in mesh.near_contacts(v, 0.6).collect()}
+    assert time.monotonic() - began < 30
+    assert got == {(a, b): (40_000, 0.5, [(a, b, 0.5), (a + 3, b + 3, 0.5)]) for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))}
