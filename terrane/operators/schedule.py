@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.plans.shipping import ship
+
 #: Oil saturation below which dissolved gas isn't observed, floor of a residual's scale.
 OIL_EPS, SCALE_FLOOR = 1e-3, 1e-12
 
@@ -101,23 +105,58 @@ def rank_in_run(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: s
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+#: Segments in a block, rows of a partition whose places make a block, and pairs that are worked out at once.
+SEGMENTS, ROW_BITS, PAIRS = 4096, 15, 1 << 18
+
+
 def nearest_segment(points: DataFrame, track: DataFrame, key: str, point: Sequence[str], order: str) -> DataFrame:
     """Each point (``id``, its coordinates) with the direction of the nearest segment of its key's track.
 
     Segments join consecutive places of the track (the same columns); those of no length
-    are passed over, and of equal distances the first counts.
+    are passed over, and of equal distances the first counts. Blocks of a key's distinct places meet blocks of its
+    segments, so that no row is made for a pair and long tracks spread over tasks.
     """
+    ship(points.sparkSession)
+    axes = range(len(point))
     w = Window.partitionBy(key).orderBy(order)
-    seg = track.select(key, F.col(order).alias("__at"), *[F.col(c).alias(f"__a{n}") for n, c in enumerate(point)], *[(F.lead(c).over(w) - F.col(c)).alias(f"__d{n}") for n, c in enumerate(point)])
     total = lambda parts: reduce(lambda a, b: a + b, parts)
-    axes = range(len(point))
-    length = total(F.col(f"__d{n}") * F.col(f"__d{n}") for n in axes)
-    seg = seg.withColumn("__l", length).filter(F.col("__l") > 1e-12)
-    j = points.join(seg, key)
-    tau = total((F.col(c) - F.col(f"__a{n}")) * F.col(f"__d{n}") for n, c in enumerate(point)) / F.col("__l")
-    j = j.withColumn("__t", F.least(F.greatest(tau, F.lit(0.0)), F.lit(1.0)))
-    gap = total(F.pow(F.col(c) - F.col(f"__a{n}") - F.col("__t") * F.col(f"__d{n}"), 2) for n, c in enumerate(point))
-    return j.groupBy(key, "id").agg(F.min_by(F.struct(*[F.col(f"__d{n}").alias(c) for n, c in enumerate(point)]), F.struct(gap.alias("g"), "__at")).alias("tangent"))
+    at, step = [f"__a{n}" for n in axes], [f"__d{n}" for n in axes]
+    double = lambda c: F.col(c).cast("double")
+    seg = track.select(key, F.col(order).alias("__at"), *[double(c).alias(a) for c, a in zip(point, at, strict=True)], *[(F.lead(double(c)).over(w) - double(c)).alias(s) for c, s in zip(point, step, strict=True)])
+    seg = seg.withColumn("__l", total(F.col(s) * F.col(s) for s in step)).filter(F.col("__l") > 1e-12)
+    seg = seg.groupBy(key, *at, *step, "__l").agg(F.min("__at").alias("__at")).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__at")) - 1)
+    seg = seg.groupBy(key, F.floor(F.col("__n") / SEGMENTS).alias("__block")).agg(F.sort_array(F.collect_list(F.struct("__n", *at, *step, "__l"))).alias("__s"))
+    rows = points.select(key, "id", *[double(c).alias(f"__p{n}") for n, c in enumerate(point)])
+    here = [f"__p{n}" for n in axes]
+    blocks = rows.select(key, *here).distinct().withColumn("__rows", F.shiftrightunsigned(F.monotonically_increasing_id(), ROW_BITS))
+    blocks = blocks.groupBy(key, "__rows").agg(F.collect_list(F.struct(*here)).alias("__p"))
+    pairs = blocks.join(seg, key).select(key, *[F.col(f"__p.{c}").alias(c) for c in here], *[F.col(f"__s.{c}").alias(c) for c in ("__n", *at, *step, "__l")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                col = lambda c: batch.column(c)[i].values  # noqa: B023, E731
+                place, s = [col(c) for c in here], {c: col(c).to_numpy(zero_copy_only=False) for c in ("__n", *at, *step, "__l")}
+                p = [x.to_numpy(zero_copy_only=False) for x in place]
+                gap, first = np.empty(len(p[0])), np.empty(len(p[0]), np.int64)
+                size = max(1, PAIRS // len(s["__l"]))
+                for j in range(0, len(gap), size):
+                    q = [x[j : j + size, None] for x in p]
+                    tau = total((x - s[a]) * s[d] for x, a, d in zip(q, at, step, strict=True)) / s["__l"]
+                    tau = np.minimum(np.maximum(tau, 0.0), 1.0)
+                    g = total((x - s[a] - tau * s[d]) ** 2 for x, a, d in zip(q, at, step, strict=True))
+                    g = np.where(np.isnan(g), np.inf, g)
+                    first[j : j + size] = k = g.argmin(1)
+                    gap[j : j + size] = g[np.arange(len(k)), k]
+                keys = pa.array([batch.column(key)[i].as_py()] * len(gap), batch.schema.field(key).type)
+                yield pa.RecordBatch.from_arrays([keys, *place, pa.array(gap), pa.array(s["__n"][first].astype(np.int64)), *[pa.array(s[d][first]) for d in step]], [key, *here, "__g", "__n", *step])
+
+    kind = points.schema[key].dataType.simpleString()
+    best = pairs.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} double' for c in here)}, __g double, __n long, {', '.join(f'{d} double' for d in step)}")
+    found = F.struct(F.struct("__g", "__n").alias("o"), F.struct(*[F.col(d).alias(c) for d, c in zip(step, point, strict=True)]).alias("tangent"))
+    best = best.groupBy(key, *here).agg(F.min(found).alias("__m")).select(F.col(key).alias("__key"), *[F.col(c).alias(f"_{c}") for c in here], "__m")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in here], F.col(key) == F.col("__key"))
+    return rows.join(best, same).groupBy(key, "id").agg(F.min("__m").alias("__m")).select(key, "id", "__m.tangent")
 
 
 def worst(rows: DataFrame, value: str, n: int = 4, ties: Sequence[str] = ()) -> DataFrame:

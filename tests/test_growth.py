@@ -3,10 +3,11 @@
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import mesh, residual
+from terrane.operators import mesh, residual, schedule
 
 
 def perforations(spark, n, shapes=4):
@@ -54,3 +55,19 @@ def test_contacts_of_vertices_in_few_places(spark):
     got = {(r["src"], r["dst"]): (r["n"], r["min_distance"], [tuple(s) for s in r["samples"]][:2]) for r in mesh.near_contacts(v, 0.6).collect()}
     assert time.monotonic() - began < 30
     assert got == {(a, b): (40_000, 0.5, [(a, b, 0.5), (a + 3, b + 3, 0.5)]) for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))}
+
+
+def test_nearest_of_a_long_track(spark):
+    k, n, m = F.col("id"), 30_000, 12_000
+    track = spark.range(m).select(F.lit("t").alias("k"), k.alias("o"), (k * 7919 % 10007).cast("double").alias("x"), (k * 104729 % 9973).cast("double").alias("y"))
+    points = spark.range(n).select(F.lit("t").alias("k"), "id", F.when(k != 5, (k * 6007 % 10009).cast("double")).alias("x"), (k * 7001 % 9967).cast("double").alias("y"))
+    began = time.monotonic()
+    got = {r["id"]: tuple(r["tangent"]) for r in schedule.nearest_segment(points, track, "k", ["x", "y"], "o").collect()}
+    assert time.monotonic() - began < 40 and len(got) == n
+    t = np.array([(r["x"], r["y"]) for r in track.orderBy("o").collect()])
+    d = np.diff(t, axis=0)
+    for r in points.filter("id % 997 = 0").collect():
+        tau = np.clip(((r["x"] - t[:-1, 0]) * d[:, 0] + (r["y"] - t[:-1, 1]) * d[:, 1]) / (d * d).sum(1), 0, 1)
+        g = (r["x"] - t[:-1, 0] - tau * d[:, 0]) ** 2 + (r["y"] - t[:-1, 1] - tau * d[:, 1]) ** 2
+        assert got[r["id"]] == tuple(d[g.argmin()])
+    assert got[5] == tuple(d[0])  # no place: the first
