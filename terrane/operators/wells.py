@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from terrane.functions import fluids, scalars
 from terrane.operators import aggregates, temporal
 from terrane.plans.shipping import ship
+from terrane.plans.storage import sized
 
 #: Observation channels with phase (0 oil, 1 water, 2 gas) and sign of flow.
 CHANNELS = (("wopr", 0, -1.0), ("wwpr", 1, -1.0), ("wgpr", 2, -1.0), ("wwir", 1, 1.0), ("wgir", 2, 1.0))
@@ -165,7 +166,10 @@ def head_range(steps: DataFrame, low: float, high: float, margin: float = 0.05)
 
 
 def residual_rows(heads: DataFrame, channels: DataFrame, bhp_scale: float, scales: DataFrame) -> DataFrame:
-    """group, report_step, well, channel and scaled residual: pressures first, then channels."""
+    """group, report_step, well, channel and scaled residual: pressures first, then channels.
+
+    A few phases would gather all channels in as many tasks, so the scales go to the channels.
+    """
     h = heads.filter("bhp_obs IS NOT NULL").select(F.lit("bhp").alias("grp"), "report_step", "well", F.lit(-1).alias("channel"), ((F.col("p_bh") - F.col("bhp_obs")) / bhp_scale).alias("residual"))
-    c = channels.filter("obs IS NOT NULL").join(scales, "phase").select(F.lit("channel").alias("grp"), "report_step", "well", "channel", ((F.col("predicted") - F.col("obs")) / F.col("scale")).alias("residual"))
+    c = channels.filter("obs IS NOT NULL").join(sized(scales), "phase").select(F.lit("channel").alias("grp"), "report_step", "well", "channel", ((F.col("predicted") - F.col("obs")) / F.col("scale")).alias("residual"))
     return h.unionByName(c)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import mesh, residual, schedule
+from terrane.operators import mesh, residual, schedule, wells
 
 
 def perforations(spark, n, shapes=4):
@@ -71,3 +71,12 @@ def test_nearest_of_a_long_track(spark):
         g = (r["x"] - t[:-1, 0] - tau * d[:, 0]) ** 2 + (r["y"] - t[:-1, 1] - tau * d[:, 1]) ** 2
         assert got[r["id"]] == tuple(d[g.argmin()])
     assert got[5] == tuple(d[0])  # no place: the first
+
+
+def test_residuals_are_not_gathered_by_phase(spark):
+    k = F.col("id")
+    c = spark.range(1000).select(k.alias("report_step"), k.alias("well"), F.lit(1).alias("channel"), (k % 3).cast("int").alias("phase"), (k * 2.0).alias("predicted"), k.cast("double").alias("obs"))
+    h = c.select("report_step", "well", F.col("predicted").alias("p_bh"), F.col("obs").alias("bhp_obs"))
+    r = wells.residual_rows(h, c, 70.0, spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "phase int, scale double"))
+    assert "hashpartitioning(phase" not in r._jdf.queryExecution().executedPlan().toString()
+    assert sum(x["residual"] for x in r.filter("grp = 'channel'").collect()) == sum(n / (1, 2, 4)[n % 3] for n in range(1000)) and r.count() == 2000
