@@ -1,8 +1,8 @@
 """The balance of water, oil and gas at the vertices of a mesh, from states alone, and its projection on modes.
 
-For each time slice and cell the eight vertex states are gathered once; in that batch the cell's blocks give
-the flux (mobility upwinded by donor weights, times the stiffness of the potentials) and what it stores (mass
-times the rate of change). Parts are added up by vertex, loads of wells are taken off, and the three balances
+Cells are held in blocks by their least vertex. For each time slice a block gets the states of its vertices, each once; there
+the cells' matrices give the flux (mobility upwinded by donor weights, times the stiffness of the potentials) and what it stores (mass
+times the rate of change), added up within the block. Parts are added up by vertex, loads of wells are taken off, and the three balances
 are recombined into pressure, water and free gas. Nothing is assembled and nothing leaves the executors; every step is a
 join or a sum by ids, so slices and cells spread over all tasks.
 
@@ -60,6 +60,8 @@ def donor_mobility(potential: np.ndarray, mobility: np.ndarray, beta: float = BE
     return (w * mobility).sum(1) / w.sum(1)
 
 
+#: Least vertices that share so many upper bits make a block of cells.
+BLOCK_BITS = 9
 #: Vertex terms that cells gather.
 GATHERED = [f"{k}_{p}" for k in ("phi", "f", "du") for p in PHASES] + ["f_x"]
 
@@ -70,28 +72,39 @@ def element_parts(cells: DataFrame, terms: DataFrame, time: str, consistent: boo
     ``consistent`` stores with the mass block, else with its row sums (lumped).
     """
     ship(cells.sparkSession)
-    corners = cells.select("cell_id", F.posexplode("v").alias("slot", "vertex_id"))
-    nodal = terms.select(time, "vertex_id", F.struct(*[F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) for c in GATHERED]).alias("n"))
-    held = corners.join(nodal, "vertex_id").groupBy(time, "cell_id").agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("e")).filter(F.size("e") == 8)  # eight a cell
-    of = lambda c: F.transform("e", lambda x: x["n"][c]).alias(c)
-    rows = held.join(cells.select("cell_id", "corners", "v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("kx", "ky", "kz")]), "cell_id").select(time, "corners", "v", "kx", "ky", "kz", *[of(c) for c in GATHERED])
+    whole = cells.filter(F.size("v") == 8).filter(F.forall("v", lambda x: x.isNotNull())).withColumn("__b", F.shiftright(F.array_min("v").cast("long"), BLOCK_BITS))
+    needed = whole.select("__b", F.explode(F.col("v").cast("array<bigint>")).alias("vertex_id")).distinct()
+    nodal = terms.select(time, "vertex_id", *[F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) for c in GATHERED])
+    held = nodal.join(needed, "vertex_id").repartition("__b").groupBy("__b", time).agg(F.collect_list(F.struct("vertex_id", *GATHERED)).alias("n"))  # a block's vertices in a slice
+    shapes = whole.repartition("__b").groupBy("__b").agg(F.collect_list(F.struct("corners", "v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("kx", "ky", "kz")])).alias("e"))
+    shapes = shapes.select("__b", F.flatten("e.corners").alias("corners"), F.flatten("e.v").alias("v"), *[F.col(f"e.{c}").alias(c) for c in ("kx", "ky", "kz")])
+    rows = held.join(shapes.hint("merge"), "__b").select(time, "corners", "v", "kx", "ky", "kz", F.col("n.vertex_id").alias("at"), *[F.col(f"n.{c}").alias(c) for c in GATHERED])
     kind = terms.schema[time].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = {c: np.array(pdf[c].tolist(), float) for c in GATHERED}
-            stiff, mass = _blocks(pdf, "stiffness"), _blocks(pdf, "mass")
-            if not consistent:
-                mass = mass.sum(2)[:, :, None] * np.eye(8)
-            flow = {p: np.einsum("nij,nj->ni", stiff, x[f"phi_{p}"]) for p in PHASES}
-            part = {p: donor_mobility(x[f"phi_{p}"], x[f"f_{p}"], beta)[:, None] * flow[p] for p in PHASES}
-            part["g"] = part["g"] + donor_mobility(x["phi_o"], x["f_x"], beta)[:, None] * flow["o"]
-            out = {time: np.repeat(pdf[time].to_numpy(), 8), "vertex_id": np.array(pdf["v"].tolist(), np.int64).ravel()}
-            r = np.stack([(c_f * part[p] + BARREL * np.einsum("nij,nj->ni", mass, x[f"du_{p}"])).ravel() for p in PHASES])
-            out["open"] = np.isnan(r).any(0)  # a term is missing
-            yield pd.DataFrame(out | {f"r_{p}": np.nan_to_num(r[k]) for k, p in enumerate(PHASES)})
+            for row in pdf.to_dict("records"):
+                at = np.asarray(row["at"], np.int64)
+                order = at.argsort()
+                at, v = at[order], np.asarray(row["v"], np.int64).reshape(-1, 8)
+                i = np.minimum(at.searchsorted(v), len(at) - 1)
+                met = (at[i] == v).all(1)
+                if not met.any():
+                    continue
+                i = i[met]
+                x = {c: np.asarray(row[c], float)[order][i] for c in GATHERED}
+                e = pd.DataFrame({"corners": list(np.asarray(row["corners"], float).reshape(-1, 24)[met])} | {c: np.asarray(row[c], float)[met] for c in ("kx", "ky", "kz")})
+                stiff, mass = _blocks(e, "stiffness"), _blocks(e, "mass")
+                if not consistent:
+                    mass = mass.sum(2)[:, :, None] * np.eye(8)
+                flow = {p: np.einsum("nij,nj->ni", stiff, x[f"phi_{p}"]) for p in PHASES}
+                part = {p: donor_mobility(x[f"phi_{p}"], x[f"f_{p}"], beta)[:, None] * flow[p] for p in PHASES}
+                part["g"] = part["g"] + donor_mobility(x["phi_o"], x["f_x"], beta)[:, None] * flow["o"]
+                r = np.stack([(c_f * part[p] + BARREL * np.einsum("nij,nj->ni", mass, x[f"du_{p}"])).ravel() for p in PHASES])
+                place, i = np.unique(i, return_inverse=True)
+                i = i.ravel()
+                missing = np.bincount(i, np.isnan(r).any(0), len(place)) > 0  # a term is missing
+                yield pd.DataFrame({time: [row[time]] * len(place), "vertex_id": at[place], "open": missing} | {f"r_{p}": np.bincount(i, np.nan_to_num(r[k]), len(place)) for k, p in enumerate(PHASES)})
 
     parts = rows.mapInPandas(run, f"`{time}` {kind}, vertex_id long, open boolean, r_w double, r_o double, r_g double")
     sums = parts.groupBy(time, "vertex_id").agg(F.max("open").alias("__open"), *[F.sum(f"r_{p}").alias(f"r_{p}") for p in PHASES])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import mesh, residual, schedule, wells
+from terrane.operators import flux, mesh, residual, schedule, wells
 
 
 def perforations(spark, n, shapes=4):
@@ -80,3 +80,20 @@ def test_residuals_are_not_gathered_by_phase(spark):
     r = wells.residual_rows(h, c, 70.0, spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "phase int, scale double"))
     assert "hashpartitioning(phase" not in r._jdf.queryExecution().executedPlan().toString()
     assert sum(x["residual"] for x in r.filter("grp = 'channel'").collect()) == sum(n / (1, 2, 4)[n % 3] for n in range(1000)) and r.count() == 2000
+
+
+def test_states_are_sent_once_a_block(spark):
+    n = 6
+    cells, rows = [], []
+    for c in range(n**3):
+        x, y, z = c % n, c // n % n, c // n // n
+        v = [x + (s & 1) + (n + 1) * (y + (s >> 1 & 1)) + (n + 1) ** 2 * (z + (s >> 2)) for s in range(8)]
+        cells.append((c, [float(u) for s in range(8) for u in (x + (s & 1), y + (s >> 1 & 1), z + (s >> 2))], v, 1.0, 1.0, 1.0))
+    rows = [(0, v, *[float(v % (n + 1))] * 3, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0) for v in range((n + 1) ** 3)]
+    fields = "t long, vertex_id long, " + ", ".join(f"{c} double" for c in (*flux.GATHERED[:6], "du_w", "du_o", "du_g", "f_x"))
+    df = spark.createDataFrame(cells, "cell_id long, corners array<double>, v array<long>, kx double, ky double, kz double")
+    parts = flux.element_parts(df, spark.createDataFrame(rows, fields), "t")
+    assert "hashpartitioning(t#" not in parts._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[1]  # never by slice and cell
+    got = {r["vertex_id"]: r["r_w"] for r in parts.collect()}
+    assert len(got) == (n + 1) ** 3 and all(abs(got[v]) < 1e-9 for v in got if 0 < v % (n + 1) < n)
+    assert sum(got[v] for v in got if v % (n + 1) == n) == pytest.approx(n * n)
