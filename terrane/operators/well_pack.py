@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators import aggregates, schedule, temporal, wells
-from terrane.operators.windows import sorted_ids
+from terrane.operators.windows import nested_ids
 
 PRODUCED, INJECTED = ("wopr", "wwpr", "wgpr"), ("wwir", "wgir")
 #: Phases (0 oil, 1 water, 2 gas) in the order of the residuals.
@@ -128,11 +128,9 @@ def well_metadata(report: DataFrame, controls: DataFrame, simulated: DataFrame,
     return entries.join(perforations.select("ts", "well", "perf_id", "why"), ["ts", "well", "perf_id"])
 
 
-def packed(perforations: DataFrame) -> DataFrame:
-    """Perforations with ``perf_no`` in order of (well, perf_id) and ``well_no`` in order of wells, both from 0."""
-    ids = sorted_ids(perforations.select("well", "perf_id"), ["well", "perf_id"], "perf_no")
-    names = sorted_ids(perforations.select("well"), ["well"], "well_no")
-    return perforations.join(ids, ["well", "perf_id"]).join(names, "well")
+def packed(perforations: DataFrame, once: bool = False) -> DataFrame:
+    """Perforations with ``perf_no`` in order of (well, perf_id) and ``well_no`` in order of wells, both from 0; with ``once`` a row each."""
+    return nested_ids(perforations, ["well", "perf_id"], ["well_no", "perf_no"], once)
 
 
 def dense_steps(steps: DataFrame, times: DataFrame, names: DataFrame) -> DataFrame:

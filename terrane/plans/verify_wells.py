@@ -110,8 +110,8 @@ def well_metadata(spark, d):
 SELECT l_suppkey AS well, l_partkey AS perf_id, dense_rank() OVER (ORDER BY l_suppkey, l_partkey) - 1 AS perf_no, dense_rank() OVER (ORDER BY l_suppkey) - 1 AS well_no
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
 def packed_ids(spark, d):
-    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("well"), F.col("l_partkey").alias("perf_id")).distinct()
-    return well_pack.packed(p).select("well", "perf_id", "perf_no", "well_no")
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("well"), F.col("l_partkey").alias("perf_id"))
+    return well_pack.packed(p, once=True).select("well", "perf_id", "perf_no", "well_no")
 
 
 @query("""

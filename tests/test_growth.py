@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import flux, mesh, residual, schedule, wells
+from terrane.operators import flux, mesh, residual, schedule, well_pack, wells
 
 
 def perforations(spark, n, shapes=4):
@@ -97,3 +97,26 @@ def test_states_are_sent_once_a_block(spark):
     got = {r["vertex_id"]: r["r_w"] for r in parts.collect()}
     assert len(got) == (n + 1) ** 3 and all(abs(got[v]) < 1e-9 for v in got if 0 < v % (n + 1) < n)
     assert sum(got[v] for v in got if v % (n + 1) == n) == pytest.approx(n * n)
+
+
+def test_packed_ids_join_no_rows(spark, capsys):
+    rows = [(w, p) for w in (1, 3, 5, 8, None) for p in (*range(200), None)] + [(3, p) for p in range(3000)]
+    want = {k: n for n, k in enumerate(sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)))}
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = well_pack.packed(spark.createDataFrame(rows, "well long, perf_id long").repartition(3), once=True)
+        got = out.collect()
+        every = well_pack.packed(spark.createDataFrame(rows, "well long, perf_id long")).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["well"], r["perf_id"]): r["perf_no"] for r in got} == want and len(got) == len(want) and every == len(rows)
+    wells_ = {1: 0, 3: 1, 5: 2, 8: 3, None: 4}
+    assert all(r["well_no"] == wells_[r["well"]] for r in got)
+    out.explain()
+    said = capsys.readouterr().out
+    plan = said.split("Initial Plan")[-1]
+    assert plan.count("Join ") == plan.count("BroadcastHashJoin") == 2  # with the parts' offsets and, for those, with their last numbers
