@@ -120,3 +120,27 @@ def test_packed_ids_join_no_rows(spark, capsys):
     said = capsys.readouterr().out
     plan = said.split("Initial Plan")[-1]
     assert plan.count("Join ") == plan.count("BroadcastHashJoin") == 2  # with the parts' offsets and, for those, with their last numbers
+
+
+def test_many_short_runs_cost_little_each():
+    import pandas as pd
+
+    from terrane.streaming.run_stream import FOLLOWED, RUNNING, Follower
+
+    class Place:
+        def get(self):
+            return None
+
+        def update(self, place):
+            self.place = place
+
+    f = Follower(adapt_every=4)
+    f.place = Place()
+    n = 60
+    steps = pd.DataFrame({"run": "a", "step": range(n, 0, -1), "total": [float("nan"), *range(n - 1)], **{c: 0.0 for c in ("pde", "ic", "data", "well", "wall_s")}, "eta": 0.5, "failure": None, "n_iter": [40.0] * n})
+    began = time.process_time()
+    for _ in range(300):
+        out, = f.handleInputRows(("a",), iter([steps.iloc[:20], steps.iloc[20:]]), None)
+    assert time.process_time() - began < 300 * 3e-3
+    assert list(out.columns) == [c.split()[0] for c in FOLLOWED.split(", ")] and len(out) == 40 and f.place.place == (40, 19.0, "completed", 0)
+    assert list(out["status"]) == [RUNNING] * 39 + ["completed"] and list(out["best"]) == [float(n - 2 - k) for k in range(40)] and list(out["iteration"][out["redraw"]]) == [5, 9, 13, 17, 21, 25, 29, 33, 37]
