@@ -5,11 +5,11 @@ place) has a set with a Jaccard similarity of 0.8 or more, whether or not that l
 
 1. Words, known by hashes, are counted in a table of 2^16 hash buckets, which gives their
    order of rarity. The table only orders: any total order gives the same result.
-2. Lines with equal sets form a class by its size, a 64-bit digest and a 128-bit parity; its first line stands
+2. Lines with equal sets form a class by its size, a 64-bit digest and a parity of 64 bits, 128 for more than 64 words; its first line stands
    for it, so a line that fills a third of the corpus is one row from there on.
 3. Each set's prefix - the rarest words of which a similar set must hold one - is joined
    by word, in a semi join that keeps a row once it finds one candidate: lengths, the
-   places of the word, and a 128-bit parity of the words bound the overlap. However many
+   places of the word, and the parity of the words bound the overlap. However many
    lines are alike, each makes one row a prefix word at most.
 4. Candidates, by then few, are verified on their full sets, again in semi joins with the
    earlier ones: first at each set's rarest word, then for sets still open at the others.
@@ -33,6 +33,8 @@ from terrane.llm.common import SPACE_CHARS
 from terrane.plans.storage import discard, sized, written
 
 BUCKETS = 1 << 16
+#: Sets of more words have a parity of 128 bits; of up to so many, 64 tell as much and cost half.
+NARROW = 64
 KEY = ["doc", "line", "n", "s0", "s1"]
 CLASS = ["h1", "n", "s0", "s1"]
 
@@ -53,7 +55,7 @@ def _bucket(hashed: Column) -> Column:
 
 def rarity(docs: DataFrame, text_col: str) -> bytes:
     """For each bucket a class that grows with its words' count, 4 classes a doubling."""
-    words = docs.select(F.explode(_split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("t")).select(F.explode(_split(F.col("t"))).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     table = counts.select("b", F.least(F.ceil(F.log2("count") * 4) + 1, F.lit(126)).cast("int").alias("c")).toPandas()  # BUCKETS rows at most
     classes = np.ones(BUCKETS + 1, np.uint8)
@@ -82,8 +84,10 @@ def sketched(lines: DataFrame, classes: bytes) -> DataFrame:
     rows = lines.select("doc", "line", F.sort_array(F.array_remove(F.array_distinct(ranks), none)).alias("r"))
     shift = lambda name, x, n: F.call_function(name, x, n)
     one = lambda x, by: shift("shiftleft", by, x.bitwiseAND(F.lit(63)).cast("int"))
-    fold = lambda by: F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(one(x, by(x))))
-    all_, high = fold(lambda x: F.lit(1).cast("long")), fold(lambda x: shift("shiftrightunsigned", x, F.lit(6)).bitwiseAND(F.lit(1)))
+    zero, unit = F.lit(0).cast("long"), F.lit(1).cast("long")
+    fold = lambda merge: F.aggregate("r", zero, merge)
+    all_ = fold(lambda a, x: a.bitwiseXOR(one(x, unit)))
+    high = F.when(F.size("r") > NARROW, fold(lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(one(x, unit))))).otherwise(zero)
     rows = rows.select("doc", "line", F.size("r").alias("n"), F.xxhash64("r").alias("h1"), all_.alias("s"), high.alias("s1"), "r")
     return rows.select("doc", "line", "n", "h1", F.col("s").bitwiseXOR(F.col("s1")).alias("s0"), "s1", "r")
 
@@ -108,7 +112,9 @@ def _earlier(b: str, a: str) -> Column:
 
 def _candidate(a: str, b: str) -> Column:
     """Whether lengths, places and parity allow two sets at one word a similarity of 4/5."""
-    differ = F.bit_count(_of("s0", a).bitwiseXOR(_of("s0", b))) + F.bit_count(_of("s1", a).bitwiseXOR(_of("s1", b)))
+    s0, s1 = (_of(k, a).bitwiseXOR(_of(k, b)) for k in ("s0", "s1"))
+    # s0 xor s1 is the 64-bit parity of a set, whatever its size
+    differ = F.when((_of("n", a) > NARROW) & (_of("n", b) > NARROW), F.bit_count(s0) + F.bit_count(s1)).otherwise(F.bit_count(s0.bitwiseXOR(s1)))
     return (_of("n", b) <= _of("most", a)) & (_of("n", a) <= _of("most", b)) & (differ * 9 <= _of("n", a) + _of("n", b))
 
 

@@ -157,3 +157,15 @@ def test_lines_match_brute_force(spark):
     want = all_lines(rows)
     assert {i: t for i, t in by_id.items() if i is not None} == want and by_id[None] == rows[0][1]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_lines_on_both_sides_of_the_narrow_parity(spark):
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[a:b]) for a, b in ((0, 64), (0, 65), (0, 70), (3, 70), (0, 90), (80, 144), (80, 160))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    want = [any(9 * len(a & b) >= 4 * (len(a) + len(b)) for b in sets[:k]) for k, a in enumerate(sets)]
+    got = {r["doc_id"]: r["__n_removed"] for r in line_dedup.dedup_lines(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [int(w) for w in want]
+    lines = line_dedup.lines_of(df, "doc_id", "text")
+    assert all((r["s1"] == 0) == (r["n"] <= line_dedup.NARROW) for r in line_dedup.sketched(lines, line_dedup.rarity(df, "text")).collect())
