@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,34 +36,64 @@ _TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
 class Tokenizer:
-    """Byte-level BPE from a ranks file; the ids of recent words are kept.
+    """Byte-level BPE from a ranks file; the distinct words of many texts are encoded once.
 
     Between a character that is no space, one space, and another that is none, the pattern
-    always cuts before the space, so such words are encoded one by one.
+    always cuts before the space, so words parted by single blanks are encoded apart.
     """
 
-    def __init__(self, ranks: bytes, room: int = 300_000) -> None:
+    def __init__(self, ranks: bytes) -> None:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.end = max(table.values()) + 1
-        encode = self.encoding.encode_ordinary
-
-        class Words(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                found = self[word] = tuple(encode(" " + word))
-                return found
-
-        self.words, self.room = Words(), room
-
-    def ids(self, text: str) -> list[int]:
-        if _TWO_SPACES.search(text):
-            return self.encoding.encode_ordinary(text)
-        if len(self.words) > self.room:
-            self.words.clear()
-        head, *rest = text.split(" ")
-        return [*self.encoding.encode_ordinary(head), *chain.from_iterable(map(self.words.__getitem__, rest))]
+        self.sizes = np.zeros(self.end, np.int64)
+        self.sizes[list(table.values())] = list(map(len, table))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in one piece, each with a blank before it, and how many each has."""
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.encoding.encode_ordinary(" " + joined), np.int64)
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64) + 1
+        starts, places = np.cumsum(sizes) - sizes, np.cumsum(self.sizes[ids]) - self.sizes[ids]
+        first = np.searchsorted(places, starts)
+        if (places[first] != starts).any():
+            raise ValueError("an id reaches over a blank between words")
+        return ids, np.diff(first, append=len(ids))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in one piece, the end id after each, and how many each has (its end id too)."""
+        parts = pc.split_pattern(texts, " ")
+        heads, coded = parts.offsets.to_numpy()[:-1], parts.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        text_of = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        # a text with blanks side by side or at an end has such a word
+        odd = pc.match_substring_regex(words, r"^$|[^\x21-\x7E]").to_numpy(zero_copy_only=False).copy()
+        odd[odd] = [not w or _TWO_SPACES.search(w) is not None for w in words.filter(pa.array(odd)).to_pylist()]
+        whole = np.zeros(len(texts), bool)
+        whole[text_of[odd[codes]]] = True
+        alone = [self.encoding.encode_ordinary(texts[k].as_py() if whole[k] else words[codes[h]].as_py()) for k, h in enumerate(heads)]
+
+        inner = ~whole[text_of]
+        inner[heads] = False
+        used = np.zeros(len(words), bool)
+        used[codes[inner]] = True
+        found, counts = self._words(words.filter(pa.array(used)))
+        of_word = np.cumsum(used) - 1
+        ids = np.concatenate([found, np.fromiter(chain.from_iterable(alone), np.int64), [self.end]])
+        # pieces in order: the head (or the whole text), its other words, the end id
+        at = np.arange(len(codes)) + text_of
+        starts, sizes = (np.zeros(len(codes) + len(texts), np.int64) for _ in range(2))
+        starts[at[inner]], sizes[at[inner]] = (np.cumsum(counts) - counts)[of_word[codes[inner]]], counts[of_word[codes[inner]]]
+        own = np.fromiter(map(len, alone), np.int64, len(alone))
+        starts[at[heads]], sizes[at[heads]] = len(found) + np.cumsum(own) - own, own
+        ends = np.append(at[heads][1:], len(starts)) - 1
+        starts[ends], sizes[ends] = len(ids) - 1, 1
+        places = np.cumsum(sizes)
+        return ids[np.repeat(starts - places + sizes, sizes) + np.arange(places[-1])], np.diff(places[ends], prepend=0)
 
 
 class Rooms:
@@ -148,7 +179,8 @@ def pack(docs: DataFrame, ranks_file: str, length: int = 2048, id_col: str = "do
 
         tokenizer = workers.kept(("bpe", key), lambda: Tokenizer(shared.value))
         table = table.sort_by([("i", "ascending"), ("t", "ascending")])
-        ids = [np.array([*tokenizer.ids(t), tokenizer.end], np.int64) for t in table.column("t").to_pylist()]
+        flat, counts = tokenizer.ids(pa.concat_arrays(table.column("t").chunks))
+        ids = np.split(flat, np.cumsum(counts)[:-1])
         names = table.column("i").to_pylist()
         out = pack_ids(ids, length, tokenizer.end)
         as_bytes = lambda k: pa.array([r[k].astype(dtype).tobytes() for r in out], pa.binary())

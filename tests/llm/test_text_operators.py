@@ -216,6 +216,22 @@ def test_packed_rows_hold_every_token(spark):
     assert packing.pack(df.limit(0), RANKS).count() == 0
 
 
+def test_distinct_words_are_encoded_once(monkeypatch):
+    with open(RANKS, "rb") as f:
+        tokenizer = packing.Tokenizer(f.read())
+    rng = random.Random(4)
+    words = ["the", "cat's", "a\nb", "é", "漢字", "12ab", "\x00!", "don't", "😀", "x" * 40]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(300)]
+    odd = ["", " ", " a", "a ", "a  b the", "the\n cat's", "\n\n", "a\x1c b"]
+    encode, seen = tokenizer.encoding.encode_ordinary, []
+    monkeypatch.setattr(tokenizer.encoding, "encode_ordinary", lambda t: seen.append(len(t)) or encode(t))
+    for some in (texts, odd, texts + odd):
+        seen.clear()
+        ids, counts = tokenizer.ids(pa.array(some))
+        assert sum(seen) <= sum(len(t.split(" ")[0]) for t in some) + sum(map(len, odd)) + sum(len(w) + 1 for w in words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*encode(t), tokenizer.end] for t in some]
+
+
 def test_equal_rows_spread_over_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_BYTES", 1 << 12)
     df = spark.createDataFrame([(1, "the same words again and again")] * 2000, "doc_id long, text string")
