@@ -136,7 +136,8 @@ def late_sets(docs: DataFrame, sets: DataFrame, classes: bytes, id_col: str, tex
 
     ids = written(live.select("doc", "line").distinct())
     some = docs.join(sized(written(ids.select(F.col("doc").alias("__doc")).distinct())), F.col(id_col) == F.col("__doc"), "left_semi")
-    full = written(sketched(lines_of(some, id_col, text_col, sized(ids)), classes).select(*KEY, "r").dropDuplicates(KEY))
+    # two sets at one place may have one KEY; and whole rows are hashed, where a first array of each KEY would be sorted for
+    full = written(sketched(lines_of(some, id_col, text_col, sized(ids)), classes).select(*KEY, "r").distinct())
 
     open_ = written(live.alias("a").join(live.alias("b"), same_word & _candidate("a", "b") & _earlier("b", "a"), "left_semi"))
     first = written(open_.groupBy(*KEY).agg(F.max("most").alias("most"), F.max_by("word", "most").alias("word")))

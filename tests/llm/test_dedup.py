@@ -169,3 +169,20 @@ def test_lines_on_both_sides_of_the_narrow_parity(spark):
     assert [got[k] for k in range(len(texts))] == [int(w) for w in want]
     lines = line_dedup.lines_of(df, "doc_id", "text")
     assert all((r["s1"] == 0) == (r["n"] <= line_dedup.NARROW) for r in line_dedup.sketched(lines, line_dedup.rarity(df, "text")).collect())
+
+
+def test_sets_of_one_place_and_parity_are_both_verified(spark):
+    """Rows of one id hold two sets with the same size and parity at one place; only one is similar to an earlier line."""
+    bits = spark.range(4000).selectExpr("concat('v', id) AS w").selectExpr("w", "shiftrightunsigned(xxhash64(w), 8) & 63 AS b").collect()
+    by_bit = {}
+    for r in bits:
+        by_bit.setdefault(r["b"], []).append(r["w"])
+    rows = []
+    for k in range(8):  # which of the two comes first differs
+        twins = [by_bit[b][2 * k : 2 * k + 2] for b in range(9)]
+        first = [w for w, _ in twins]
+        near, far = first[:8] + [twins[8][1]], first[:6] + [w for _, w in twins[6:]]
+        pair = [(100 + k, " ".join(near)), (100 + k, " ".join(far))]
+        rows += [(k, " ".join(first)), *(pair if k % 2 else pair[::-1])]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["__n_removed"]} == set(range(100, 108))
