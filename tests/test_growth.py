@@ -48,6 +48,28 @@ def test_shares_of_perforations_alike(spark):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan  # the product stays where it is made
 
 
+def test_vertices_of_one_file_are_spread(spark):
+    n, p = nodes(spark, 40_000).coalesce(1), perforations(spark, 8_000)
+    shares = residual.nodal_partition(n, p)
+    assert n.rdd.getNumPartitions() == 1 and shares.rdd.getNumPartitions() >= 16  # all cores take part in 320 million rows
+    got = shares.agg(F.count("*"), F.sum("share"), F.sum("vertex_id"), F.sum("perf_no")).first()
+    assert tuple(got) == (320_000_000, pytest.approx(8_000, rel=1e-6), 8_000 * 799_980_000, 40_000 * 31_996_000)
+    many = perforations(spark, 120, shapes=120)
+    for df in (residual.envelope(n, many), residual.source_density(n, many, ["q"])):
+        assert "RoundRobinPartitioning" in df._jdf.queryExecution().executedPlan().toString()
+    few = residual.nodal_partition(nodes(spark, 20).coalesce(1), perforations(spark, 5))
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 100 and residual.nodal_partition(n, p.limit(0)).count() == 0
+
+
+def test_small_shares_are_rounded_as_others(spark):
+    values = [s * v for v in (0.0, 1e-300, 3.9999e-10, 4e-10, 4.0001e-10, 4.9999e-10, 5e-10, 5.0001e-10, 1.5e-9, 0.123456789, 0.1234567885, 0.4, 0.5, 39.0, 50.0, 1e300, math.inf) for s in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in [*values, math.nan, None]], "v double")
+    for digits in (9, 0, -2):
+        assert all(repr(a) == repr(b) for a, b in df.select(residual._rounded(F.col("v"), digits), F.round("v", digits)).collect())
+    plan = residual.nodal_partition(nodes(spark, 5), perforations(spark, 2), 9)._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN (abs(" in plan  # a decimal is made only where the result isn't surely 0
+
+
 def test_contacts_of_vertices_in_few_places(spark):
     k = F.col("id")
     v = spark.range(120_000).select(k.alias("vertex_id"), (k % 3).cast("int").alias("component"), (k % 3 * 0.5 + F.floor(k / 3) % 4 * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
